@@ -49,6 +49,13 @@ def blocks(weights: list[float], window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
+def _may_head(line: str) -> bool:
+    """Three words or more, the unfilled blanks of a template not counted."""
+    for m in blanks(line):
+        line = line.replace(m.group(), " ")
+    return sum(any(c.isalpha() for c in w) for w in line.split()) >= 3
+
+
 def main_lines(body: str | None) -> list[int]:
     """Indexes of the main-content lines of a body already turned to text, split at \\n."""
     if not body:
@@ -56,7 +63,7 @@ def main_lines(body: str | None) -> list[int]:
     raw = body.split("\n")
     lines = [collapse(x) for x in raw]
     kinds = [kind(r, x) for r, x in zip(raw, lines, strict=True)]
-    return _kept(lines, kinds, [k == "short" and len(x.split()) >= 3 and not blanks(x) for k, x in zip(kinds, lines, strict=True)])
+    return _kept(lines, kinds, [k == "short" and _may_head(x) for k, x in zip(kinds, lines, strict=True)])
 
 
 def _kept(lines: list[str], kinds: list[str], may_head: list[bool], window: int = WINDOW) -> list[int]:
@@ -104,7 +111,7 @@ def main_html_lines(source: str | None) -> list[str]:
         e = elements[x.element]
         k = kind(x.text, x.text)
         heading = re.fullmatch(r"h[1-6]", e.tag) is not None
-        if heading and k in ("text", "short", "teaser", "menu") and x.text and not blanks(x.text):
+        if heading and k in ("text", "short", "teaser", "menu") and _may_head(x.text):
             k = "short"
         if aside[e.id] or (x.link_chars > 0.6 * len(x.text)):
             k = "menu"
