@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import capping, main_content, outranking, repeated_lines, residue
+from webloom.llm import capping, leakage, main_content, mixing, outranking, repeated_lines, residue, splitting
 from webloom.registry import Registry
 from webloom.tables import load
 
@@ -96,3 +96,33 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = main_content.main_line_keys(load(spark, sf_dir, "site_pages"), "page_id", "body_text", html=False)
     html = main_content.main_line_keys(load(spark, sf_dir, "crawled_pages"), "fetch_id", "body", html=True)
     return text.select(F.lit("site_pages").alias("src"), "row_id", "line_key").unionAll(html.select(F.lit("crawled_pages").alias("src"), "row_id", "line_key"))
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a held-out item."""
+    return leakage.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+@registry.query("p9_mixture")
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with how often each is used."""
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")).documents
+
+
+@registry.query("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.report_frame(spark, mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")).report)
+
+
+@registry.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are cut because they pass 2,048 tokens."""
+    return splitting.oversized(load(spark, sf_dir, "documents"))
+
+
+@registry.query("p10_pieces")
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their pieces."""
+    return splitting.split_texts(load(spark, sf_dir, "documents"))
