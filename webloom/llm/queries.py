@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import capping, leakage, main_content, mixing, outranking, repeated_lines, residue, splitting
+from webloom.llm import capping, knn, leakage, main_content, mixing, outranking, repeated_lines, residue, splitting
 from webloom.registry import Registry
 from webloom.tables import load
 
@@ -72,6 +72,28 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outranking.outrank(rows, "query_id", "cand_id", _SCORES)
 
 
+_VECTORS = (("rank_candidates", "cand_id", "embedding"), ("embedding_entries", "entry_id", "vector"))
+
+
+@registry.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.9 or more, each among the ten most similar of the other."""
+    parts = [
+        knn.mutual_pairs(load(spark, sf_dir, table), key, vec, 0.9).select(F.lit(table).alias("tbl"), "id_a", "id_b") for table, key, vec in _VECTORS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@registry.query("p4_neighbours")
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 50, among all."""
+    parts = [
+        knn.neighbours(load(spark, sf_dir, table), key, vec, query_step=50).select(F.lit(table).alias("tbl"), "id", "other", F.round("similarity", 6).alias("similarity"), "place")
+        for table, key, vec in _VECTORS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 _HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(domain)), ':\d*$', ''), '\.+$', ''), '^www\.', '')"
 _ORDER = "ORDER BY (score IS NULL OR isnan(score)), score DESC, div_id"
 
