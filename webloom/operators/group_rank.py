@@ -33,14 +33,15 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def exact_rank(df: DataFrame, keys: list[str], score: str, tie: str, out: str = "rank_in_group", share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+def exact_rank(df: DataFrame, keys: list[str], score: str, tie: str, out: str = "rank_in_group", share: float = HOT_SHARE, floor: int = HOT_FLOOR, sized_by: DataFrame | None = None) -> DataFrame:
     """Add `out`: 1, 2, ... within `keys` by score descending, null and NaN last, then tie ascending.
 
     tie must be a number and unique within its group for the order to be fixed; a null tie comes first.
+    sized_by: a cheaper frame with the same groups and sizes, to find the large ones in.
     """
     df = df.withColumns({"__bad": F.col(score).isNull() | F.isnan(F.col(score).cast("double")), "__v": -F.col(score).cast("double")})
     order = [F.col("__bad"), F.col("__v"), F.col(tie).asc_nulls_first()]
-    hot = hot_groups(df, keys, share, floor)
+    hot = hot_groups(df if sized_by is None else sized_by, keys, share, floor)
     if hot is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop("__bad", "__v")
     hot = hot.select(*keys)
