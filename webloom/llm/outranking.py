@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.group_rank import exact_rank
+from webloom.session import stage_table
 
 CELL_ROWS = 50_000
 
@@ -78,7 +79,8 @@ def flows(pct: DataFrame, preference: float, indifference: float, cell_rows: int
 
 def outrank(df: DataFrame, query: str, row: str, scores: dict[str, tuple[bool, float]], preference: float = 0.5, indifference: float = 0.02, missing: str = "last") -> DataFrame:
     """(query, row, net_flow, final_rank) of every row. scores: column -> (higher is better, weight)."""
-    pct = percentiles(df, query, row, {c: up for c, (up, _) in scores.items()})
+    # five plans read the percentiles, so they are computed once
+    pct = stage_table(percentiles(df, query, row, {c: up for c, (up, _) in scores.items()}), "percentiles")
     flow = flows(pct, preference, indifference)
     weight = F.create_map(*[F.lit(x) for c, (_, w) in scores.items() for x in (c, float(w))])
     per_row = pct.select("q", "r", "name", "pct").join(flow.select("q", "name", "pct", "flow"), ["q", "name", "pct"])
@@ -89,4 +91,4 @@ def outrank(df: DataFrame, query: str, row: str, scores: dict[str, tuple[bool, f
     lacking = (total - F.coalesce("w", F.lit(0.0))) * (-1.0 if missing == "last" else 0.0)
     net = F.round((F.coalesce("f", F.lit(0.0)) + lacking) / total, 9)
     out = joined.select(F.col("q").alias(query), F.col("r").alias(row), F.when(F.col("w").isNotNull(), net).alias("net_flow"))
-    return exact_rank(out, [query], "net_flow", row, out="final_rank")
+    return exact_rank(out, [query], "net_flow", row, out="final_rank", sized_by=df.select(query))
