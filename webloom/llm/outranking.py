@@ -10,10 +10,10 @@ differences of prefix sums over the sorted percentiles, looked up at four shifte
 Skew: ties are pre-aggregated; ranks come from exact_rank; the prefix sums run in cells of the percentile
 scale, as many as the query has rows / CELL_ROWS, so no task sees a whole hot query.
 
-Defined results: a null or NaN score compares with nothing and adds no flow of its own; as it also wins
-nothing, the row's flow by that score is that of a row behind every present one when `missing` is "last"
-(the default: an engine that didn't return the row) and 0 when it is "neutral". Infinite scores are the
-extremes. Ties in the final flow go to the smaller id. Rows without any score come last.
+Defined results: a null or NaN score compares with nothing. By default ("present") a row's net flow is the
+weighted mean over the scores it has; "neutral" counts a missing score as a flow of 0, "last" as that of a
+row behind all others. Infinite scores are the extremes. Ties in the net flow go to the smaller id. Rows
+without any score have a null flow and come last.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def flows(pct: DataFrame, preference: float, indifference: float, cell_rows: int
     return wide.select("q", "name", "pct", "n", ((plus - minus) / F.greatest(F.col("n"), F.lit(1))).alias("flow"))
 
 
-def outrank(df: DataFrame, query: str, row: str, scores: dict[str, tuple[bool, float]], preference: float = 0.5, indifference: float = 0.02, missing: str = "last") -> DataFrame:
+def outrank(df: DataFrame, query: str, row: str, scores: dict[str, tuple[bool, float]], preference: float = 0.5, indifference: float = 0.02, missing: str = "present") -> DataFrame:
     """(query, row, net_flow, final_rank) of every row. scores: column -> (higher is better, weight)."""
     # five plans read the percentiles, so they are computed once
     pct = stage_table(percentiles(df, query, row, {c: up for c, (up, _) in scores.items()}), "percentiles")
@@ -88,7 +88,10 @@ def outrank(df: DataFrame, query: str, row: str, scores: dict[str, tuple[bool, f
     by_row = per_row.groupBy("q", "r").agg(F.sum(F.col("flow") * weight[F.col("name")]).alias("f"), F.sum(weight[F.col("name")]).alias("w"))
     base = df.select(F.col(query).alias("q"), F.col(row).alias("r"))
     joined = base.join(by_row, [base["q"].eqNullSafe(by_row["q"]), base["r"].eqNullSafe(by_row["r"])], "left").select(base["q"], base["r"], "f", "w")
-    lacking = (total - F.coalesce("w", F.lit(0.0))) * (-1.0 if missing == "last" else 0.0)
-    net = F.round((F.coalesce("f", F.lit(0.0)) + lacking) / total, 9)
+    lacking = total - F.coalesce("w", F.lit(0.0))
+    if missing == "present":
+        net = F.round(F.col("f") / F.col("w"), 9)
+    else:
+        net = F.round((F.coalesce("f", F.lit(0.0)) - (lacking if missing == "last" else 0.0)) / total, 9)
     out = joined.select(F.col("q").alias(query), F.col("r").alias(row), F.when(F.col("w").isNotNull(), net).alias("net_flow"))
     return exact_rank(out, [query], "net_flow", row, out="final_rank", sized_by=df.select(query))
