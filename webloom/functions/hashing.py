@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.text import words
+from webloom.functions.text import let, words
 
 
 def content_hash(text: Column) -> Column:
@@ -23,10 +28,9 @@ def md5_60(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Runs of `size` words as written; empty below that."""
-    w = words(text)
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    runs = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(none)
+    return let(words(text), runs)
 
 
 def simhash(text: Column, bits: int = 60, hashed=md5_60) -> Column:
@@ -39,15 +43,23 @@ def simhash(text: Column, bits: int = 60, hashed=md5_60) -> Column:
     return total
 
 
+def _votes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        h = np.asarray(lists.flatten(), np.int64)
+        size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        fp = np.zeros(len(size), np.int64)
+        for b in range(bits):
+            vote = np.bincount(row, weights=np.where((h >> b) & 1, 1.0, -1.0), minlength=len(size))
+            fp |= np.where(vote > 0, np.int64(1) << np.int64(b), np.int64(0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+
+
 def simhash_frame(df: DataFrame, id_col: str, text_col: str, bits: int = 60, hashed=md5_60) -> DataFrame:
-    """(id, fp) by exploding shingles: the votes of all bits are sums of one aggregation, pre-added on the map side."""
-    h = df.select(F.col(id_col).alias("id"), F.explode_outer(shingles(F.col(text_col))).alias("s")).withColumn("h", hashed(F.col("s")))
-    sums = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b)) != 0, 1).when(F.col("h").isNotNull(), -1)).alias(f"b{b}") for b in range(bits)]
-    votes = h.groupBy("id").agg(*sums)
-    fp = F.lit(0).cast("long")
-    for b in range(bits):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
-    return votes.select("id", fp.alias("fp"))
+    """(id, fp): shingles are hashed natively, the votes counted over whole Arrow batches; no shuffle."""
+    h = df.select(F.col(id_col).cast("long").alias("id"), F.transform(shingles(F.coalesce(F.col(text_col), F.lit(""))), hashed).alias("h"))
+    return h.mapInArrow(lambda it: _votes(it, bits), "id long, fp long")
 
 
 def hamming(a: Column, b: Column) -> Column:

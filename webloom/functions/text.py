@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 
 from webloom.functions.lexicons import EMBED_STOPWORDS, SUMMARY_STOPWORDS
 
+# white space of every script, no-break spaces included
+WHITE = r"[\s\x0b\x85\p{Z}]"
 BREAK = r"[^\p{L}\p{N}]+"
 BREAK_KEEP_APOSTROPHE = r"[^\p{L}\p{N}']+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; inside a lambda an outer expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def _in(x: Column, words: list[str]) -> Column:
     return F.array_contains(F.array(*[F.lit(w) for w in words]), x)
 
@@ -34,34 +45,38 @@ def embed_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(text, WHITE + "+"), lambda x: x != ""))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, WHITE + "+"), lambda x: x != "")
 
 
 def key_phrases(text: Column, most: int = 20) -> Column:
     """Sentences of 5 to 50 words, the first `most`."""
-    parts = F.transform(F.split(text, "[.!?]"), lambda x: F.trim(x))
+    parts = F.transform(F.split(text, "[.!?]"), lambda x: strip(x))
     return F.slice(F.filter(parts, lambda x: word_count(x).between(5, 50)), 1, most)
 
 
 def snippet(text: Column, query: Column, longest: int = 1500) -> Column:
     """The sentence with most query words, the one before and the two after; the text's start where nothing can be scored."""
     terms = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.octet_length(w) > 2)
-    parts = F.filter(F.transform(F.split(text, "[.!?\n]"), lambda x: F.trim(x)), lambda x: F.octet_length(x) > 20)
-    scores = F.transform(parts, lambda s: F.size(F.filter(terms, lambda t: F.contains(F.lower(s), t))))
-    best = F.greatest(F.array_position(scores, F.array_max(scores)).cast("int"), F.lit(1))
-    start = F.greatest(best - 1, F.lit(1))
-    joined = F.array_join(F.slice(parts, start, best + 3 - start), ". ")
-    cut = F.when(F.octet_length(joined) > longest, F.concat(F.substring(joined, 1, longest), F.lit("..."))).otherwise(joined)
+    parts = F.filter(F.transform(F.split(text, "[.!?\n]"), lambda x: strip(x)), lambda x: F.octet_length(x) > 20)
+
+    def around(x: Column) -> Column:
+        ps, best = x["p"], F.greatest(F.array_position(x["s"], F.array_max(x["s"])).cast("int"), F.lit(1))
+        start = F.greatest(best - 1, F.lit(1))
+        return F.array_join(F.slice(ps, start, best + 3 - start), ". ")
+
+    scored = let(F.struct(parts.alias("p"), terms.alias("t")), lambda x: F.struct(x["p"].alias("p"), F.transform(x["p"], lambda s: F.size(F.filter(x["t"], lambda t: F.contains(F.lower(s), t)))).alias("s")))
+    joined = let(scored, around)
+    cut = let(joined, lambda j: F.when(F.octet_length(j) > longest, F.concat(F.substring(j, 1, longest), F.lit("..."))).otherwise(j))
     return F.when((F.size(terms) <= 0) | (F.size(parts) <= 0), F.substring(text, 1, longest)).otherwise(cut)
 
 
 def chunk_sentences(text: Column) -> Column:
     """Sentences ending in . ! or ? before white space."""
-    return F.filter(F.split(text, r"(?<=[.!?])(?=[ \n\r])"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(text, r"(?<=[.!?])(?=[ \n\r])"), lambda x: strip(x) != "")
 
 
 def clean_for_inference(text: Column) -> Column:

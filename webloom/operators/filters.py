@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloom.functions import lexicons as X
-from webloom.functions.text import contains_any, hits, plain_marks, word_count, words
+from webloom.functions.text import contains_any, hits, let, plain_marks, word_count, words
 
 
 def parsable_type(content_type: Column) -> Column:
@@ -59,9 +59,12 @@ def relevant(query: Column, title: Column, body: Column) -> Column:
     )
     terms = F.filter(terms, lambda t: t != "")
     doc = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
-    n = F.size(terms)
-    found = F.size(F.filter(terms, lambda t: F.contains(doc, t)))
-    return (n < 2) | (found >= F.greatest(F.lit(2), F.ceil(0.3 * n)))
+
+    def enough(x: Column) -> Column:
+        n = F.size(x["t"])
+        return (n < 2) | (F.size(F.filter(x["t"], lambda t: F.contains(x["d"], t))) >= F.greatest(F.lit(2), F.ceil(0.3 * n)))
+
+    return let(F.struct(terms.alias("t"), doc.alias("d")), enough)
 
 
 def code_line(line: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.text import snippet
+from webloom.functions.text import let, snippet
 from webloom.operators import enrich, filters
 from webloom.operators.retrieval import candidate_fusion
 
@@ -44,7 +44,8 @@ def anchored(score: Column, query: Column, title: Column, body: Column) -> Colum
     terms = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.octet_length(w) >= 4)
     head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 500))
     t = F.lower(F.coalesce(title, F.lit("")))
-    missing = (F.size(terms) > 0) & ~F.exists(terms, lambda w: F.contains(t, w) | F.contains(head, w))
+    text = F.struct(t.alias("t"), head.alias("h"), terms.alias("w"))
+    missing = let(text, lambda x: (F.size(x["w"]) > 0) & ~F.exists(x["w"], lambda w: F.contains(x["t"], w) | F.contains(x["h"], w)))
     return F.when(missing, score * 0.5).otherwise(score)
 
 
@@ -60,7 +61,7 @@ def instant(results: DataFrame, query: Column, title: Column, text: Column) -> C
     """Share of query terms (over two bytes) found in title and snippet."""
     terms = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.octet_length(w) > 2)
     doc = F.lower(F.concat_ws(" ", title, text))
-    return F.size(F.filter(terms, lambda t: F.contains(doc, t))) / F.greatest(F.size(terms), F.lit(1))
+    return let(F.struct(terms.alias("w"), doc.alias("d")), lambda x: F.size(F.filter(x["w"], lambda t: F.contains(x["d"], t))) / F.greatest(F.size(x["w"]), F.lit(1)))
 
 
 def fast_confidence(bm25: Column) -> Column:

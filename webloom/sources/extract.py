@@ -187,7 +187,8 @@ def language_of(text: Column) -> Column:
     n = {k: F.length(F.regexp_replace(bare, f"[^{cls}]", "")) for k, cls in _SCRIPTS}
     quarter = F.floor(total / 4)
     w = F.split(F.lower(text), r"\s+")
-    counts = {k: F.size(F.filter(w, lambda x, ws=ws: F.array_contains(F.array(*map(F.lit, ws)), x))) for k, ws in LANGUAGE_WORDS.items()}
+    among = lambda ws: F.size(F.filter(w, lambda x: F.array_contains(F.array(*map(F.lit, ws)), x)))
+    counts = {k: among(ws) for k, ws in LANGUAGE_WORDS.items()}
     top = F.greatest(*counts.values())
     latin = F.when(top < 3, "en")
     for k, c in counts.items():
@@ -431,7 +432,10 @@ def looks_scripted(source: Column) -> Column:
     """A shell that scripts fill: an empty mount point, or little visible text with scripts in a large page, or a long noscript notice."""
     text = F.coalesce(source, F.lit(""))
     mount = text.rlike(r"(?i)<div id=\"(?:root|app|__next|__nuxt)\">\s*</div>")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?si)<(script|style|noscript)\b[^>]*>.*?</\1>", ""), "<[^>]*>", ""), r"\s+", "")
+    bare = text
+    for tag in ("script", "style", "noscript"):
+        bare = F.regexp_replace(bare, rf"(?si)<{tag}\b[^>]*>.*?</{tag}>", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", ""), r"\s+", "")
     scripted = F.contains(F.lower(text), F.lit("<script"))
     notice = F.length(F.regexp_extract(text, r"(?si)<noscript[^>]*>(.*?)</noscript>", 1)) > 100
     return mount | ((F.length(bare) < 500) & scripted & (F.octet_length(text) > 5000)) | notice

@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.text import strip
 from webloom.functions.urls import feed_form
 from webloom.sources import markup
 
@@ -107,7 +108,7 @@ def news_entries(sitemaps: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """(id, loc, title, publication_date, publication_name) of news sitemaps; entries without loc are left out."""
     each = F.explode(F.regexp_extract_all(F.col(body_col), F.lit(r"(?si)<url>(.*?)</url>"), F.lit(1)))
     rows = sitemaps.select(F.col(id_col).alias("id"), each.alias("e"))
-    get = lambda tag: F.nullif(F.trim(F.regexp_extract("e", rf"(?si)<{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1)), F.lit(""))
+    get = lambda tag: F.nullif(strip(F.regexp_extract("e", rf"(?si)<{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1)), F.lit(""))
     return rows.select("id", get("loc").alias("loc"), get("news:title").alias("title"), get("news:publication_date").alias("publication_date"), get("news:name").alias("publication_name")).where("loc is not null")
 
 

@@ -26,7 +26,8 @@ def header(headers: Column, name: str) -> Column:
 
 
 def visible_length(body: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?si)<(script|style)\b[^>]*>.*?</\1>", ""), "<[^>]*>", "")
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?si)<script\b[^>]*>.*?</script>", ""), r"(?si)<style\b[^>]*>.*?</style>", "")
+    bare = F.regexp_replace(bare, "<[^>]*>", "")
     return F.length(F.regexp_replace(bare, r"\s+", ""))
 
 
