@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from webloom.functions import hashing, text, urls, vectors
 from webloom.functions import lexicons as X
 from webloom.operators import chunking, dedup, enrich, entities, evaluation, filters, ranking, retrieval, synthesis, verification
+from webloom.plans import crawl, tools
 from webloom.registry import Registry
+from webloom.session import stage_table
 from webloom.sources import extract, feeds, responses, stores
 from webloom.streaming import events as E
 from webloom.tables import load
@@ -397,7 +399,7 @@ SELECT id, min(id) OVER (PARTITION BY fp) AS class_id, coalesce(links, 0) AS lin
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its class of equal fingerprints and the number of other fingerprints within three bits."""
-    return dedup.near_duplicates(hashing.simhash_frame(load(spark, sf_dir, "documents"), "doc_id", "text"))
+    return dedup.near_duplicates(stage_table(hashing.simhash_frame(load(spark, sf_dir, "documents"), "doc_id", "text"), "fingerprints"))
 
 
 @query("recrawled_urls", "SELECT page_id, row_number() OVER (PARTITION BY url ORDER BY crawled_at, page_id) > 1 AS duplicate FROM site_pages")
@@ -688,3 +690,28 @@ def governor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pace, budget and breaker of every user's event stream, errors counting as soft blocks."""
     ev = load(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "error", "soft_block").otherwise("real_content"))
     return E.governed(ev, "user_id", "ts", "kind", "event_id")
+
+
+# --- crawl and tools
+
+
+@query(
+    "crawl_levels",
+    """WITH RECURSIVE k AS (SELECT DISTINCT url FROM site_pages), e AS (SELECT DISTINCT p.url AS src, n.url AS url FROM (SELECT url, unnest(list_distinct([l.url FOR l IN links])) AS u FROM site_pages) p JOIN k n ON n.url = p.u) SELECT url, CAST(0 AS INT) AS depth FROM k WHERE contains(url, '/science/') UNION ALL SELECT url, CAST(1 AS INT) FROM (SELECT DISTINCT url FROM e WHERE contains(src, '/science/')) WHERE NOT contains(url, '/science/')""",
+)
+def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages reached from the science section, by depth."""
+    pages = load(spark, sf_dir, "site_pages").select("url", "links")
+    return crawl.crawl(pages, pages.where(F.contains("url", F.lit("/science/"))), 1)
+
+
+@query("tool_search_index")
+def tool_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index tool's answer to a fixed question."""
+    return tools.Tools(spark, sf_dir).search_index("recent report on the climate budget", 20)
+
+
+@query("tool_deep_research")
+def tool_deep_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The research tool's answer to a fixed question."""
+    return tools.Tools(spark, sf_dir).deep_research("impact of the storm on the harbour")
