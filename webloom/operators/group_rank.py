@@ -39,7 +39,9 @@ def exact_rank(df: DataFrame, keys: list[str], score: str, tie: str, out: str =
     tie must be a number and unique within its group for the order to be fixed; a null tie comes first.
     sized_by: a cheaper frame with the same groups and sizes, to find the large ones in.
     """
-    df = df.withColumns({"__bad": F.col(score).isNull() | F.isnan(F.col(score).cast("double")), "__v": -F.col(score).cast("double")})
+    value = F.col(score).cast("double")
+    bad = value.isNull() | F.isnan(value)
+    df = df.withColumns({"__bad": bad, "__v": F.when(~bad, -value)})
     order = [F.col("__bad"), F.col("__v"), F.col(tie).asc_nulls_first()]
     hot = hot_groups(df if sized_by is None else sized_by, keys, share, floor)
     if hot is None:

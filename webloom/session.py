@@ -38,9 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    chosen = os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    return os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:

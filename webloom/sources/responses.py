@@ -52,7 +52,7 @@ def retry_after(value: Column, now: Column, default: int = 30) -> Column:
     """Seconds to wait: a number, the distance to an HTTP date (0 if past), else the default."""
     number = F.trim(value).try_cast("long")
     at = F.try_to_timestamp(F.regexp_replace(F.trim(value), "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    return F.coalesce(F.when(number >= 0, number), F.greatest(F.lit(0), F.unix_timestamp(at) - F.unix_timestamp(now)), F.lit(default))
+    return F.coalesce(F.when(number >= 0, number), F.when(at.isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(at) - F.unix_timestamp(now))), F.lit(default))
 
 
 def signed_in(url: Column, headers: Column) -> Column:
