@@ -65,6 +65,7 @@ def capped_by_share(df: DataFrame, scope: list[str], contributor: str, score: st
     """The kept rows, with rank_in_contributor and level."""
     rows = ranked(df, scope, contributor, score, tie)
     levels = share_levels(df, scope, contributor, max_share)
-    renamed = levels.select(*[F.col(c).alias(f"__{c}") for c in scope], "level")
+    renamed = levels.select(*[F.col(c).alias(f"__{c}") for c in scope], F.col("level").alias("__level"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in scope]
-    return rows.join(renamed, on, "left").where(F.col("rank_in_contributor") <= F.col("level")).drop(*[f"__{c}" for c in scope])
+    kept = rows.join(renamed, on, "left").where(F.col("rank_in_contributor") <= F.col("__level"))
+    return kept.withColumn("level", F.col("__level")).drop("__level", *[f"__{c}" for c in scope])

@@ -95,7 +95,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(domain)), ':\d*$', ''), '\.+$', ''), '^www\.', '')"
-_ORDER = "ORDER BY (score IS NULL OR isnan(score)), score DESC, div_id"
+_ORDER = "ORDER BY (score IS NULL OR isnan(score)), CASE WHEN NOT isnan(score) THEN score END DESC, div_id"
 
 
 @registry.query("p6_found", f"SELECT div_id FROM (SELECT div_id, row_number() OVER (PARTITION BY query_id, {_HOST} {_ORDER}) AS r FROM diversity_candidates) WHERE r > 2")
