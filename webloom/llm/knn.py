@@ -89,8 +89,29 @@ def kmeans(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.nda
     return c
 
 
+def probes_for(sample: np.ndarray, order: np.ndarray, home: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+    """The fewest lists to visit for a share `recall` of the k nearest, measured on the sample by brute force.
+
+    Neighbours within the sample lie farther off than those among all rows, so this errs to more lists.
+    """
+    lists = order.shape[1]
+    if len(sample) < 2 or recall >= 1.0:
+        return lists
+    asked = np.arange(0, len(sample), max(1, len(sample) // queries))
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -9
+    m = min(k, len(sample) - 1)
+    near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    place = np.argsort(np.argsort(-order[asked], axis=1), axis=1)
+    need = np.take_along_axis(place, home[near], axis=1).ravel()
+    return int(np.searchsorted(np.cumsum(np.bincount(need, minlength=lists)) / need.size, recall) + 1)
+
+
 def fit(rows: DataFrame, dim: int, k: int, probes: int | float, min_similarity: float | None = None, seed: int = 7, list_rows: int = LIST_ROWS) -> Index:
-    """The lists and the rotation, from a hash sample of at most about SAMPLE_PER_LIST * lists rows."""
+    """The lists and the rotation, from a hash sample of at most about SAMPLE_PER_LIST * lists rows.
+
+    probes: how many lists a query visits, or as a float the recall to visit as many as the sample shows to need.
+    """
     n = rows.count()
     lists = int(min(MAX_LISTS, max(1, n // list_rows)))
     want = max(lists * SAMPLE_PER_LIST, 256)
@@ -100,10 +121,11 @@ def fit(rows: DataFrame, dim: int, k: int, probes: int | float, min_similarity:
     lists = max(1, min(lists, len(sample)))
     centroids = kmeans(sample, lists, seed) if len(sample) else np.eye(1, dim, dtype=np.float32)
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0].astype(np.float32)
-    home = (sample @ centroids.T).argmax(1) if len(sample) else np.zeros(0, int)
+    order = sample @ centroids.T
+    home = order.argmax(1) if len(sample) else np.zeros(0, int)
     rows_in = np.bincount(home, minlength=lists) * (n / max(1, len(sample)))
     chunks = np.maximum(1, np.ceil(rows_in / CELL_ROWS)).astype(np.int64)
-    visits = max(1, round(probes * lists)) if isinstance(probes, float) else max(1, min(probes, lists))
+    visits = probes_for(sample, order, home, k, probes) if isinstance(probes, float) else max(1, probes)
     return Index(centroids, rotation, chunks, min(visits, lists), k, min_similarity)
 
 
@@ -233,7 +255,7 @@ def candidates(rows: DataFrame, index: Index, query_step: int = 1) -> DataFrame:
     return cells.groupBy("cell").applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, probes: int | float = 0.6, query_step: int = 1, seed: int = 7) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, probes: int | float = 0.95, query_step: int = 1, seed: int = 7) -> DataFrame:
     """(id, other, similarity, place): the k most similar vectors of every asking vector."""
     rows = usable(df, id_col, vec_col, dim)
     index = fit(rows, dim, k, probes, seed=seed)
@@ -263,7 +285,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch], index: Index, query_step: int)
                 yield out
 
 
-def mutual_pairs(df: DataFrame, id_col: str, vec_col: str, min_similarity: float, dim: int = 64, k: int = 10, probes: int | float = 3, seed: int = 7) -> DataFrame:
+def mutual_pairs(df: DataFrame, id_col: str, vec_col: str, min_similarity: float, dim: int = 64, k: int = 10, probes: int | float = 4, seed: int = 7) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: pairs of at least min_similarity, each among the k most similar of the other.
 
     Whatever is nearer than such a pair is at least as similar, so ranks among the found pairs are ranks
