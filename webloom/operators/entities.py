@@ -22,6 +22,8 @@ PATTERNS = [
     (r"\b\d+\.?\d*\s+percent\b", "percentage"),
     (r"\+?\d{1,3}[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "phone"),
 ]
+# what a text must hold for a pattern to be worth running, as a cheaper test
+_NEEDS = {0: "@", 1: "://", 6: "[$€£¥]", 7: "dollars|euros|pounds|USD|EUR|GBP", 8: "%", 9: "percent", 10: r"\d{3}[-.\s]?\d{4}"}
 CONNECTORS = frozenset("of the and for in de van von".split())
 SKIPPED = frozenset("The This That These Those It He She They We However Therefore Moreover Furthermore In On At For But And Or".split())
 _SIGNS = [
@@ -42,7 +44,15 @@ def guess(name: str) -> str:
 
 def by_pattern(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, name, type): distinct names of three bytes or more; a name of several types has the first."""
-    each = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(t).alias("type"), F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(0)).alias("names")) for i, (rx, t) in enumerate(PATTERNS)])
+
+    def found(i: int, rx: str):
+        all_ = F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(0))
+        if i not in _NEEDS:
+            return all_
+        need = F.col(text).rlike(_NEEDS[i]) if any(c in _NEEDS[i] for c in "[|\\") else F.contains(text, F.lit(_NEEDS[i]))
+        return F.when(need, all_).otherwise(F.array().cast("array<string>"))
+
+    each = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(t).alias("type"), found(i, rx).alias("names")) for i, (rx, t) in enumerate(PATTERNS)])
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.inline(each)).select("id", "p", "type", F.explode("names").alias("name"))
     rows = rows.withColumn("name", F.trim("name")).where(F.octet_length("name") >= 3)
     return rows.groupBy("id", "name").agg(F.min_by("type", "p").alias("type"))

@@ -13,7 +13,7 @@ from webloom.registry import Registry
 from webloom.session import stage_table
 from webloom.sources import extract, feeds, responses, stores
 from webloom.streaming import events as E
-from webloom.tables import load
+from webloom.tables import load, spread
 
 registry = Registry()
 query = registry.query
@@ -360,13 +360,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails, URLs, dates, money, percentages and phones of every document."""
-    return entities.by_pattern(load(spark, sf_dir, "documents"), "doc_id", "text").select("id", "name", "type")
+    return entities.by_pattern(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("id", "name", "type")
 
 
 @query("all_entities")
 def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern entities and capitalised runs."""
-    return entities.entities(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return entities.entities(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 # --- duplicates and caches
@@ -388,7 +388,7 @@ _SIMHASH = (
 @query("fingerprints", f"SELECT doc_id AS id, coalesce(fp, 0) AS fp FROM documents LEFT JOIN ({_SIMHASH}) f ON f.id = doc_id")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """60-bit similarity fingerprints of all documents."""
-    return hashing.simhash_frame(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return hashing.simhash_frame(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(
@@ -399,7 +399,7 @@ SELECT id, min(id) OVER (PARTITION BY fp) AS class_id, coalesce(links, 0) AS lin
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its class of equal fingerprints and the number of other fingerprints within three bits."""
-    return dedup.near_duplicates(stage_table(hashing.simhash_frame(load(spark, sf_dir, "documents"), "doc_id", "text"), "fingerprints"))
+    return dedup.near_duplicates(stage_table(hashing.simhash_frame(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"), "fingerprints"))
 
 
 @query("recrawled_urls", "SELECT page_id, row_number() OVER (PARTITION BY url ORDER BY crawled_at, page_id) > 1 AS duplicate FROM site_pages")
@@ -490,7 +490,7 @@ SELECT doc_id AS doc, term, round(tf * (ln((SELECT count(*) FROM d) / df) + 1),
 )
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term weights of all documents."""
-    return synthesis.tfidf(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc", "term", F.round("w", 6).alias("w"))
+    return synthesis.tfidf(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc", "term", F.round("w", 6).alias("w"))
 
 
 @query("summaries")
@@ -535,7 +535,7 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extracted_pages")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, metadata, headings, links and tables of every crawled page."""
-    return extract.extracted(load(spark, sf_dir, "crawled_pages"), "fetch_id", "body", "url").drop("json_ld")
+    return extract.extracted(spread(load(spark, sf_dir, "crawled_pages").select("fetch_id", "body", "url")), "fetch_id", "body", "url").drop("json_ld")
 
 
 @query("page_records")
@@ -543,7 +543,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical page records of every crawled page."""
     raw = load(spark, sf_dir, "crawled_pages")
     crawl = raw.select(F.col("fetch_id").alias("id"), "content_type", "status", "response_time_ms", "fetched_at")
-    return stores.to_page(extract.extracted(raw, "fetch_id", "body", "url"), crawl)
+    return stores.to_page(extract.extracted(spread(raw.select("fetch_id", "body", "url")), "fetch_id", "body", "url"), crawl)
 
 
 _CLEAN = "body"

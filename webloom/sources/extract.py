@@ -44,8 +44,15 @@ def sanitise(source: Column) -> Column:
     return F.regexp_replace(out, r"(?si)\sstyle\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
 
 
+_CSS_RULE = re.compile(r"(?:(?<=\s)|^)[.#@]?[\w-][\w\s,>.#:()-]{0,200}\{[^{}]*\}", re.M)
+
+
 def without_css(text: str) -> str:
-    lines = [x for x in re.sub(r"[.#]?[\w-]+(?:[\s,>.#:\w-]*)\{[^{}]*\}", "", text).split("\n") if not re.match(r"\s*(?:@media|@import|\.[\w-]+\s*\{)", x)]
+    """Style rules left in text go; runs of blank lines and blanks are closed."""
+    if "{" in text:
+        # only text before a brace can be a selector, so the pattern runs over those stretches alone
+        text = _CSS_RULE.sub("", text) if len(text) < 200_000 else re.sub(r"[^\n{}]{1,200}\{[^{}]*\}", "", text)
+    lines = [x for x in text.split("\n") if not re.match(r"\s*(?:@media|@import|\.[\w-]+\s*\{)", x)]
     return re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(lines))).strip()
 
 
@@ -62,10 +69,25 @@ class Tree:
         for line in self.page.lines:
             for e in self.page.ancestors(line.element):
                 self.own.setdefault(e.id, []).append(line)
+        self.inside: dict[int, list[int]] = {}
+        for p in self.page.elements:
+            if p.tag == "p":
+                for a in self.page.ancestors(p.id):
+                    self.inside.setdefault(a.id, []).append(p.id)
+        self._names: dict[int, str] = {}
+        self._plain: dict[int, bool] = {}
 
     def name(self, i: int) -> str:
-        a = self.attrs.get(i, {})
-        return f"{a.get('class', '')} {a.get('id', '')}".lower()
+        if i not in self._names:
+            a = self.attrs.get(i, {})
+            self._names[i] = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        return self._names[i]
+
+    def marked(self, i: int) -> bool:
+        """Whether the element itself is boilerplate by tag or name."""
+        if i not in self._plain:
+            self._plain[i] = self.page.elements[i].tag in BOILER_TAGS or any(b in self.name(i) for b in BOILER_NAMES)
+        return self._plain[i]
 
     def text(self, i: int, sep: str = " ") -> str:
         return sep.join(x.text for x in self.own.get(i, []))
@@ -77,7 +99,7 @@ class Tree:
         for n, e in enumerate(self.page.ancestors(self.page.elements[i].parent)):
             if n >= depth:
                 return False
-            if e.tag in BOILER_TAGS or any(b in self.name(e.id) for b in BOILER_NAMES):
+            if self.marked(e.id):
                 return True
         return False
 
@@ -113,7 +135,7 @@ def _clear_text(t: Tree, i: int) -> str:
 
 def box_pass(t: Tree) -> tuple[str, float]:
     """The best container; else the best div of two long paragraphs; else all longer paragraphs."""
-    paragraphs = lambda i: [p.id for p in t.page.elements if p.tag == "p" and any(a.id == i for a in t.page.ancestors(p.id))]
+    paragraphs = lambda i: t.inside.get(i, [])
 
     def rate(i: int, text: str) -> float:
         e, size = t.page.elements[i], len(text.encode())
