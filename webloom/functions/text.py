@@ -26,7 +26,7 @@ def strip(text: Column) -> Column:
 
 
 def _in(x: Column, words: list[str]) -> Column:
-    return F.array_contains(F.array(*[F.lit(w) for w in words]), x)
+    return x.isin(*words)
 
 
 def index_tokens(text: Column) -> Column:

@@ -209,7 +209,7 @@ def language_of(text: Column) -> Column:
     n = {k: F.length(F.regexp_replace(bare, f"[^{cls}]", "")) for k, cls in _SCRIPTS}
     quarter = F.floor(total / 4)
     w = F.split(F.lower(text), r"\s+")
-    among = lambda ws: F.size(F.filter(w, lambda x: F.array_contains(F.array(*map(F.lit, ws)), x)))
+    among = lambda ws: F.size(F.filter(w, lambda x: x.isin(*ws)))
     counts = {k: among(ws) for k, ws in LANGUAGE_WORDS.items()}
     top = F.greatest(*counts.values())
     latin = F.when(top < 3, "en")
