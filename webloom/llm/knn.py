@@ -33,6 +33,7 @@ MAX_LISTS = 4096
 SAMPLE_PER_LIST = 64
 CELL_ROWS = 4096
 EPSILON = 2.1
+PARTITION_BYTES = 8 << 20
 BLOCKS = (16, 32, 64)
 
 
@@ -44,6 +45,7 @@ class Index:
     probes: int
     k: int
     min_similarity: float | None
+    rows: int = 0
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -126,7 +128,7 @@ def fit(rows: DataFrame, dim: int, k: int, probes: int | float, min_similarity:
     rows_in = np.bincount(home, minlength=lists) * (n / max(1, len(sample)))
     chunks = np.maximum(1, np.ceil(rows_in / CELL_ROWS)).astype(np.int64)
     visits = probes_for(sample, order, home, k, probes) if isinstance(probes, float) else max(1, probes)
-    return Index(centroids, rotation, chunks, min(visits, lists), k, min_similarity)
+    return Index(centroids, rotation, chunks, min(visits, lists), k, min_similarity, n)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], index: Index, query_step: int) -> Iterator[pa.RecordBatch]:
@@ -249,10 +251,19 @@ def _search(table: pa.Table, index: Index) -> pa.Table:
     return pa.table({"id": cat(0, np.int64), "other": cat(1, np.int64), "similarity": cat(2, np.float64)})
 
 
+def _grouped(cells: DataFrame, index: Index, query_step: int):
+    """cells grouped, over as many partitions as keep each at about PARTITION_BYTES whatever the number of rows."""
+    row_bytes = 4 * index.centroids.shape[1] + 24
+    visits = 1 + index.probes / query_step
+    parts = -(-int(index.rows * visits * row_bytes) // PARTITION_BYTES)
+    least = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(max(least, parts), "cell").groupBy("cell")
+
+
 def candidates(rows: DataFrame, index: Index, query_step: int = 1) -> DataFrame:
     """(id, other, similarity): each asking vector's best k of every cell it visits. query_step: ids divisible by it ask."""
     cells = rows.mapInArrow(lambda it: _cells(it, index, query_step), "cell long, role tinyint, id long, raw binary")
-    return cells.groupBy("cell").applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
+    return _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
 
 
 def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, probes: int | float = 0.95, query_step: int = 1, seed: int = 7) -> DataFrame:
@@ -265,7 +276,8 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int =
     found = candidates(scanned, index, query_step)
     if asking is not None:
         both = scanned.select("id", "v", F.lit(False).alias("asks")).unionByName(asking.select("id", "v", F.lit(True).alias("asks")))
-        found = both.mapInArrow(lambda it: _cells_of(it, index, query_step), "cell long, role tinyint, id long, raw binary").groupBy("cell").applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
+        cells = both.mapInArrow(lambda it: _cells_of(it, index, query_step), "cell long, role tinyint, id long, raw binary")
+        found = _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
     place = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
