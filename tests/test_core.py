@@ -329,3 +329,18 @@ def test_text_functions(spark):
     assert "storm hit the harbour" in s
     assert one(spark, text.clean_for_inference(F.lit("a [1]  b , c ."))) == "a  b, c."
     assert one(spark, text.snippet(F.lit(None).cast("string"), F.lit("x"))) is None
+
+
+def test_query_syntax(spark):
+    assert retrieval.parse_query('+storm -title:harbour "old mill" town') == {"must": [(None, ["storm"])], "not": [("title", ["harbour"])], "phrase": [(None, ["old", "mill"])], "should": [(None, ["town"])]}
+    df = spark.createDataFrame([(1, "The Old Mill", "storm"), (2, None, "storm at the old mill"), (3, "harbour", "storm old mill"), (4, "old", "mill storm"), (5, None, None)], "i long, title string, text string")
+    got = df.where(retrieval.matches('+storm -title:harbour "old mill"', {"title": F.col("title"), "text": F.col("text")}))
+    assert [r.i for r in got.orderBy("i").collect()] == [1, 2]
+
+
+def test_dedup_state(spark, tmp_path):
+    urls_ = spark.createDataFrame([("a", 100), ("b", 5000)], "url string, s long").select("url", F.timestamp_seconds("s").alias("at"))
+    hashes, fps = spark.createDataFrame([("h", "a")], "hash string, url string"), spark.createDataFrame([(1, "a")], "fp long, url string")
+    stores.save_dedup_state(urls_, hashes, fps, str(tmp_path / "s"))
+    got = stores.load_dedup_state(spark, str(tmp_path / "s"), 6000, 3600)
+    assert [r.url for r in got[0].collect()] == ["b"] and got[1].count() == got[2].count() == 1

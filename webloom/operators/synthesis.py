@@ -132,3 +132,18 @@ def sentence_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pos, sentence): sentences of five words and 20 bytes or more, split at . ! ?"""
     parts = F.filter(F.transform(F.split(F.col(text), "(?<=[.!?])"), lambda x: F.trim(x)), lambda x: (word_count(x) >= 5) & (F.octet_length(x) >= 20))
     return docs.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("pos", "sentence"))
+
+
+def sentence_edges(weights: DataFrame, scope: DataFrame, least: float = 0.05) -> DataFrame:
+    """(scope, a, b, similarity): cosine over shared terms within a scope, above `least`.
+
+    weights: (doc, term, w) as from tfidf; scope: (doc, scope), at most MOST_SENTENCES sentences a scope as
+    the summariser takes, so the pairs that meet on a term stay within that bound.
+    """
+    rows = weights.join(scope, "doc")
+    norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    a, b = rows.select("scope", "term", F.col("doc").alias("a"), F.col("w").alias("wa")), rows.select("scope", "term", F.col("doc").alias("b"), F.col("w").alias("wb"))
+    dots = a.join(b, ["scope", "term"]).where(F.col("a") < F.col("b")).groupBy("scope", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("d"))
+    na, nb = norms.select(F.col("doc").alias("a"), F.col("n").alias("na")), norms.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
+    out = dots.join(na, "a").join(nb, "b").withColumn("similarity", F.col("d") / (F.col("na") * F.col("nb")))
+    return out.where(F.col("similarity") > least).select("scope", "a", "b", "similarity")

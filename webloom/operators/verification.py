@@ -97,3 +97,15 @@ def inference_label(logits: Column, labels: list[str], least_spread: float = 0.5
     best = F.array_max(p)
     names = F.array(*map(F.lit, labels))
     return F.when(spread >= least_spread, F.struct(F.element_at(names, F.array_position(p, best).cast("int")).alias("label"), best.alias("confidence")))
+
+
+def inference_pairs(rows: DataFrame, scope: str, row: str, text: str, rank: str, docs: int = 5, least_words: int = 8) -> DataFrame:
+    """(scope, a, b, sentence_a, sentence_b): the first longer sentences of a scope's best `docs` rows, each pair once.
+
+    At most docs * (docs - 1) / 2 pairs a scope, since the rows are cut to the best before they meet.
+    """
+    parts = F.filter(F.transform(F.split(F.col(text), "[.!?]"), lambda x: F.trim(x)), lambda x: F.size(words(x)) >= least_words)
+    best = rows.where(F.col(rank) <= docs).select(F.col(scope).alias("scope"), F.col(row).alias("r"), F.col(rank).alias("k"), F.get(parts, F.lit(0)).alias("s")).where("s is not null")
+    a = best.select("scope", F.col("r").alias("a"), F.col("k").alias("ka"), F.col("s").alias("sentence_a"))
+    b = best.select("scope", F.col("r").alias("b"), F.col("k").alias("kb"), F.col("s").alias("sentence_b"))
+    return a.join(b, "scope").where(F.col("ka") < F.col("kb")).select("scope", "a", "b", "sentence_a", "sentence_b")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import hashing, text, urls, vectors
 from webloom.functions import lexicons as X
 from webloom.operators import chunking, dedup, enrich, entities, evaluation, filters, ranking, retrieval, synthesis, verification
-from webloom.plans import crawl, tools
+from webloom.plans import crawl, ingest, tools
 from webloom.registry import Registry
 from webloom.session import stage_table
 from webloom.sources import extract, feeds, responses, stores
@@ -715,3 +715,34 @@ def tool_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_deep_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The research tool's answer to a fixed question."""
     return tools.Tools(spark, sf_dir).deep_research("impact of the storm on the harbour")
+
+
+@query("ingested_pages")
+def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages worth indexing, extracted and filtered."""
+    return ingest.ingest(load(spark, sf_dir, "crawled_pages"))
+
+
+@query(
+    "inference_pairs",
+    f"""WITH r AS (SELECT query_id, cand_id, body_text, row_number() OVER (PARTITION BY query_id ORDER BY round({_RRF}, 9) DESC, cand_id) AS k FROM rank_candidates),
+s AS (SELECT query_id, cand_id, k, list_filter(list_transform(regexp_split_to_array(body_text, '[.!?]'), lambda x: trim(x)), lambda x: len({_WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")}) >= 8)[1] AS s FROM r WHERE k <= 5)
+SELECT a.query_id AS scope, a.cand_id AS a, b.cand_id AS b, a.s AS sentence_a, b.s AS sentence_b FROM s a JOIN s b ON a.query_id = b.query_id AND a.k < b.k WHERE a.s IS NOT NULL AND b.s IS NOT NULL""",
+)
+def inference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence pairs of each query's five best candidates, for an inference model."""
+    return verification.inference_pairs(ranking.fused(load(spark, sf_dir, "rank_candidates")), "query_id", "cand_id", "body_text", "rank")
+
+
+@query("query_filter", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])storm([^\\p{L}\\p{N}]|$)') AND NOT coalesce(regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}])harbour([^\\p{L}\\p{N}]|$)'), false)".replace("\\\\", "\\"))
+def query_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that satisfy a query with a required and an excluded part."""
+    docs = load(spark, sf_dir, "documents")
+    return docs.where(retrieval.matches("+text:storm -title:harbour", {"title": F.col("title"), "text": F.col("text")})).select("doc_id")
+
+
+@query("sentence_graph")
+def sentence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity edges between the candidates of each query."""
+    c = load(spark, sf_dir, "rank_candidates")
+    return synthesis.sentence_edges(synthesis.tfidf(c, "cand_id", "body_text"), c.select(F.col("cand_id").alias("doc"), F.col("query_id").alias("scope")))

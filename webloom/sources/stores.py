@@ -87,3 +87,17 @@ def markdown_report(coverage: list[dict], ranking: list[dict]) -> str:
     if ranking:
         lines.append(f"| mean | {sum(r['ndcg'] for r in ranking) / len(ranking):.4f} | {sum(r['precision'] for r in ranking) / len(ranking):.4f} |")
     return "\n".join(lines) + "\n"
+
+
+def save_dedup_state(urls: DataFrame, contents: DataFrame, fingerprints: DataFrame, path: str) -> None:
+    """urls: (url, at); contents: (hash, url); fingerprints: (fp, url). Written as one folder a state."""
+    for name, df in (("urls", urls), ("contents", contents), ("fingerprints", fingerprints)):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def load_dedup_state(spark: SparkSession, path: str, now_seconds: int, ttl_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three states, expired URLs left out; a ttl of 0 keeps all."""
+    urls, contents, fps = (spark.read.parquet(f"{path}/{n}") for n in ("urls", "contents", "fingerprints"))
+    if ttl_seconds:
+        urls = urls.where(F.lit(now_seconds) - F.unix_timestamp("at") <= ttl_seconds)
+    return urls, contents, fps
