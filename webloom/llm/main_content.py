@@ -25,7 +25,6 @@ from webloom.llm.page_lines import blanks, collapse, kind
 from webloom.sources import markup
 
 WINDOW = 3
-MIN_SHARE = 0.1
 _ASIDE_TAGS = frozenset("nav aside footer dialog form".split())
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:nav|menu|sidebar|side|footer|foot|bottom|cookie|consent|promo|share|social|related|recommend|more|teaser|advert|ads?|banner|comments?|newsletter|breadcrumbs?|legal)(?:$|[\s_-])",
@@ -72,24 +71,23 @@ def _kept(lines: list[str], kinds: list[str], may_head: list[bool], window: int
     found = blocks(weights, window)
     if not found:
         return []
-    sums = [sum(weights[a:b]) for a, b in found]
-    largest = max(sums)
     out: list[int] = []
     seen = [kinds[i] for i in order]
-    for (a, b), total in zip(found, sums, strict=True):
-        if total < MIN_SHARE * largest:
-            continue
-        # headings lead text: those inside the block, and those before it with no more than a window of other lines between
-        j = a - 1
-        while j >= 0 and seen[j] != "text" and a - j <= window:
-            if may_head[order[j]]:
-                a = j
-            j -= 1
+    done = 0
+    for a, b in found:
+        # headings lead text or follow the last of it: those inside the block, and those within a window of it
         last = max(j for j in range(a, b) if seen[j] == "text")
-        out += [order[j] for j in range(a, last + 1) if seen[j] == "text" or may_head[order[j]]]
+        first = min([j for j in range(max(done, a - window), a) if may_head[order[j]]], default=a)
+        last = max([j for j in range(last + 1, min(len(order), last + 1 + window)) if may_head[order[j]]], default=last)
+        out += [order[j] for j in range(first, last + 1) if seen[j] == "text" or may_head[order[j]]]
+        done = last + 1
     return out
 
 
+def _is_h1(elements: list[markup.Element], line: markup.Line) -> bool:
+    return elements[line.element].tag == "h1"
+
+
 def main_html_lines(source: str | None) -> list[str]:
     """The main-content lines of an HTML page, h1 included, in page order."""
     if not source or "<" not in source[:2000]:
@@ -137,6 +135,9 @@ def main_html_lines(source: str | None) -> list[str]:
     inside = [any(a.id == main for a in page.ancestors(h)) for h in homes]
     kinds = [k if ok else "menu" for k, ok in zip(kinds, inside, strict=True)]
     kept = _kept(texts, kinds, heads)
+    if kept:
+        # in HTML a heading of the container is known by its tag, wherever it stands
+        kept = sorted({*kept, *(i for i, (k, h) in enumerate(zip(kinds, heads, strict=True)) if h and k == "short" and not _is_h1(elements, page.lines[i]))})
     h1 = [i for i, x in enumerate(page.lines) if elements[x.element].tag == "h1" and not aside[x.element] and not blanks(x.text)]
     if kept and h1 and h1[0] < kept[0] + 1 and h1[0] not in kept:
         kept = [h1[0], *kept]

@@ -83,7 +83,7 @@ BLANK = re.compile(
 )
 # the upper-case styles must stay so although the rest ignores case
 _UPPER_ONLY = re.compile(r"^(?:%[^%]|\[[A-Z_]+\]$|«)")
-FILLER_CUE = re.compile(r"^\W*lorem ipsum|text coming here|placeholder (?:copy|text)|sample text for layout|^dummy text|your page title here|headline goes here|blindtext|texto de relleno|faux[- ]texte", re.I)
+FILLER_CUE = re.compile(r"^\W*(?:lorem ipsum|(?:body )?(?:copy|text) (?:to follow|to come|coming here|goes here)|(?:this is )?(?:placeholder|dummy|filler|sample) (?:copy|text)|your page title here|headline goes here|blindtext|texto de relleno|faux[- ]texte)", re.I)
 
 
 # A line without any of these has none of the cues above, and their patterns needn't run.
@@ -122,7 +122,7 @@ def blanks(text: str) -> list[re.Match]:
 
 def is_filler(line: str, words: list[str]) -> bool:
     """Filler: a known cue at the start, or a longer lower-case run of words with no function word of any known language."""
-    if FILLER_CUE.search(line) and (len(words) < 8 or line.lstrip().lower().startswith("lorem ipsum")):
+    if FILLER_CUE.search(line) and (line.count(" ") < 10 or line.lstrip().lower().startswith("lorem ipsum")):
         return True
     if len(words) < 5:
         return False
@@ -153,6 +153,7 @@ def _talked_about(cue: re.Pattern, bare: str, most: int) -> bool:
     return all(s.count(" ") >= most for s in re.split(r"(?<=[.!?:;]) ", bare) if cue.search(s))
 
 
+_ASKS_SCRIPTS = re.compile(r"(?:allow|enable|activate|switch on|turn on|aktivieren|active|activez|habilite|autorisez)\b.{0,30}(?:java ?script|scripts?|skript)", re.I)
 _SCRIPT = re.compile(r"java ?script|\bscripts?\b|skript", re.I)
 
 
@@ -192,7 +193,7 @@ def _kind(raw: str, line: str) -> str:
             return "share"
         if _NOTICE.search(bare):
             script = _SCRIPT.search(bare)
-            if not script or re.search("cookie", bare, re.I):
+            if not script or (re.search("cookie", bare, re.I) and not _ASKS_SCRIPTS.search(bare)):
                 return "notice"
             if not _talked_about(_SCRIPT, bare, 17):
                 return "error"
