@@ -65,17 +65,39 @@ def p2_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = {"bm25_score": (True, 1.0), "vector_score": (True, 1.0), "bm25_rank": (False, 1.0), "vector_rank": (False, 1.0)}
 
 
-@registry.query("p3_ranking")
+_PREFER = "least(1, greatest(0, ({0} - 0.02) / 0.48))"
+
+
+@registry.query(
+    "p3_ranking",
+    f"""WITH l AS (SELECT query_id, cand_id, unnest([1, 2, 3, 4]) AS name, unnest([bm25_score, vector_score, -CAST(bm25_rank AS DOUBLE), -CAST(vector_rank AS DOUBLE)]) AS v FROM rank_candidates),
+r AS (SELECT *, rank() OVER (PARTITION BY query_id, name ORDER BY v DESC) AS rk, count(*) OVER (PARTITION BY query_id, name, v) AS ties, count(*) OVER (PARTITION BY query_id, name) AS n FROM l WHERE v IS NOT NULL AND NOT isnan(v)),
+p AS (SELECT query_id, cand_id, name, n, 1 - (rk + (ties - 1) / 2 - 0.5) / n AS pct FROM r),
+f AS (SELECT a.query_id, a.cand_id, a.name, sum({_PREFER.format("(a.pct - b.pct)")} - {_PREFER.format("(b.pct - a.pct)")}) / any_value(a.n) AS flow FROM p a JOIN p b ON a.query_id = b.query_id AND a.name = b.name GROUP BY ALL),
+g AS (SELECT c.query_id, c.cand_id, round(avg(flow), 9) AS net FROM rank_candidates c LEFT JOIN f USING (query_id, cand_id) GROUP BY ALL)
+SELECT query_id, cand_id, round(net, 6) + CAST(0 AS DOUBLE) AS net_flow, row_number() OVER (PARTITION BY query_id ORDER BY net DESC NULLS LAST, cand_id) AS final_rank FROM g""",
+)
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order of each query's candidates from two scores and two ranks."""
     rows = load(spark, sf_dir, "rank_candidates").select("query_id", "cand_id", *_SCORES)
-    return outranking.outrank(rows, "query_id", "cand_id", _SCORES)
+    return outranking.outrank(rows, "query_id", "cand_id", _SCORES).withColumn("net_flow", F.round("net_flow", 6) + 0.0)
 
 
 _VECTORS = (("rank_candidates", "cand_id", "embedding"), ("embedding_entries", "entry_id", "vector"))
 
 
-@registry.query("p4_found")
+_PAIRS = """SELECT '{t}' AS tbl, a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS s FROM {t}_v x JOIN {t}_v y ON x.id <> y.id) WHERE s >= 0.9) WHERE r <= 10"""
+_USABLE = """{t}_v AS (SELECT {k} AS id, {v}::DOUBLE[] AS v FROM {t} WHERE len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter({v}, lambda x: x <> 0)) > 0)"""
+
+
+@registry.query(
+    "p4_found",
+    "WITH "
+    + ", ".join(_USABLE.format(t=t, k=k, v=v) for t, k, v in _VECTORS)
+    + ", m AS ("
+    + " UNION ALL ".join(_PAIRS.format(t=t) for t, _, _ in _VECTORS)
+    + ") SELECT m.tbl, m.a AS id_a, m.b AS id_b FROM m JOIN m n ON m.tbl = n.tbl AND m.a = n.b AND m.b = n.a WHERE m.a < m.b",
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of cosine 0.9 or more, each among the ten most similar of the other."""
     parts = [
@@ -105,7 +127,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.over_count(rows, ["query_id"], "host", "score", "div_id", 2).select("div_id")
 
 
-@registry.query("p6_share_capped")
+@registry.query(
+    "p6_share_capped",
+    f"""WITH d AS (SELECT query_id, div_id, {_HOST} AS host, row_number() OVER (PARTITION BY query_id, {_HOST} {_ORDER}) AS r FROM diversity_candidates), c AS (SELECT query_id, host, count(*) AS n FROM d GROUP BY ALL),
+t AS (SELECT query_id, unnest(range(1, max(n) + 1)) AS level FROM c GROUP BY query_id), o AS (SELECT query_id, level FROM t JOIN c USING (query_id) GROUP BY ALL HAVING max(least(n, level)) <= 0.2 * sum(least(n, level)) + 1e-9),
+b AS (SELECT q.query_id, coalesce(max(level), 1) AS level FROM (SELECT DISTINCT query_id FROM c) q LEFT JOIN o USING (query_id) GROUP BY ALL)
+SELECT query_id, div_id, host, r AS rank_in_contributor, level FROM d JOIN b USING (query_id) WHERE r <= level""",
+)
 def p6_share_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's rows with no host above a fifth of what is kept, the best by score staying."""
     rows = load(spark, sf_dir, "diversity_candidates").select("query_id", "div_id", "score", capping.host_of(F.col("domain")).alias("host"))
