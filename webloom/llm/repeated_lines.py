@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # what Python's \s matches, no-break spaces included
 WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+INK = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 def normalised(line: Column) -> Column:
@@ -33,9 +34,9 @@ def lines_of(pages: DataFrame, id_col: str, doc_col: str, source_col: str, text_
             F.xxhash64(F.coalesce(F.col(doc_col).cast("string"), F.col(id_col).cast("string"))).alias("doc"),
             F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"),
         )
-        .withColumn("line", normalised(F.col("line")))
-        .where("line <> ''")
-        .select("row_id", "line_no", "source", "doc", F.xxhash64("line").alias("h"))
+        # a raw line with any other sign isn't blank; so the normal form is made once, in the hash
+        .where(F.col("line").rlike(INK))
+        .select("row_id", "line_no", "source", "doc", F.xxhash64(normalised(F.col("line"))).alias("h"))
     )
 
 
