@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: set[str] = set()
+
+
 def local_session(cores: str = "*", app: str = "webloom", memory: str = "6g", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings its own."""
     builder = (
@@ -36,9 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
+    own = os.path.join(tempfile.gettempdir(), f"webloom-{os.getpid()}")
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, True)
+    return own
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
