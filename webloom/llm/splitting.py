@@ -188,11 +188,11 @@ def _cut(row: int, data: bytes, cuts: list[int], plan: Plan, texts: bool) -> lis
     out = []
     for k in range(len(edges) - 1):
         if not texts:
-            out.append((row, k, 0, edges[k], edges[k + 1], None, None))
+            out.append((row, len(out), 0, edges[k], edges[k + 1], None, None))
             continue
         before = data[edges[k - 1] : edges[k]] if k else b""
-        for half, (a, b, text, n) in enumerate(pieces_between(before, data[edges[k] : edges[k + 1]], edges[k], plan)):
-            out.append((row, k, half, a, b, n, text))
+        for a, b, text, n in pieces_between(before, data[edges[k] : edges[k + 1]], edges[k], plan):
+            out.append((row, len(out), 0, a, b, n, text))
     return out
 
 
@@ -288,9 +288,14 @@ def _emit_file(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Rec
 
 
 def _numbered(pieces: DataFrame, id_col: str) -> DataFrame:
-    """Pieces numbered from 0 within their item."""
-    order = Window.partitionBy("row_id").orderBy("cut_no", "half")
-    return pieces.select(F.col("row_id").alias(id_col), (F.row_number().over(order) - 1).alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
+    """Pieces of files, which are emitted one by one, numbered from 0 within their file by (cut, half)."""
+    extra = pieces.where("half > 0").select(F.col("row_id").alias("__r"), F.col("cut_no").alias("__c"))
+    # halves are rare, so a piece's number is its cut's number plus the halves before it; the texts stay where they are
+    before = extra.groupBy("__r").agg(F.collect_list("__c").alias("__cs"))
+    joined = pieces.join(before, F.col("row_id") == F.col("__r"), "left")
+    shift = F.coalesce(F.size(F.filter("__cs", lambda c: c < F.col("cut_no"))), F.lit(0))
+    shift = F.when(F.col("__cs").isNull(), 0).otherwise(shift)
+    return joined.select(F.col("row_id").alias(id_col), (F.col("cut_no") + shift + F.col("half")).alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
 
 
 def _sides(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -308,7 +313,8 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = stitched_cuts(large.mapInArrow(lambda it: _ranges(it, plan), _RANGE_DDL), plan)
     chosen = cuts.groupBy("row_id").agg(F.collect_list("offset").alias("cuts"))
     wide = chosen.join(large, "row_id").select("row_id", "cuts", "text").mapInArrow(lambda it: _emit_text(it, plan), _PIECE_DDL)
-    return _numbered(narrow.unionByName(wide), id_col)
+    # a text is cut in one call here, which numbers its pieces itself
+    return narrow.unionByName(wide).select(F.col("row_id").alias(id_col), F.col("cut_no").alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
 
 
 def oversized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
