@@ -333,14 +333,34 @@ def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.key_phrases(F.col("text"))).alias("position", "phrase"))
 
 
-@query("snippets")
+_STRIPPED_PARTS = "list_filter(list_transform(regexp_split_to_array(body_text, '[.!?\\n]'), lambda x: " + _STRIP.format("x") + "), lambda x: strlen(x) > 20)"
+
+
+@query(
+    "snippets",
+    f"""WITH a AS (SELECT cand_id, body_text, list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda x: strlen(x) > 2) AS t, {_STRIPPED_PARTS} AS p FROM {_ASKED}),
+b AS (SELECT *, list_transform(p, lambda x: len(list_filter(t, lambda y: contains(lower(x), y)))) AS s FROM a), c AS (SELECT *, coalesce(list_position(s, list_max(s)), 1) AS i FROM b),
+d AS (SELECT *, array_to_string(p[greatest(i - 1, 1):i + 2], '. ') AS j FROM c)
+SELECT cand_id, CASE WHEN len(t) = 0 OR len(p) = 0 THEN left(body_text, 300) WHEN strlen(j) > 300 THEN left(j, 300) || '...' ELSE j END AS snippet FROM d""",
+)
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passage of every candidate for its query."""
     c = load(spark, sf_dir, "rank_candidates").join(load(spark, sf_dir, "search_queries"), "query_id")
     return c.select("cand_id", text.snippet(F.col("body_text"), F.col("query_text"), 300).alias("snippet"))
 
 
-@query("languages")
+_LANG_WORDS = ", ".join(f"len(list_filter(w, lambda x: list_contains({_list(ws)}, x))) AS {k}" for k, ws in X.LANGUAGE_WORDS.items())
+_LANG_SCRIPTS = ", ".join(f"length(regexp_replace(b, '[^{cls}]', '', 'g')) AS n_{k}" for k, cls in extract._SCRIPTS)
+_LANG_TOP = "greatest(" + ", ".join(X.LANGUAGE_WORDS) + ")"
+
+
+@query(
+    "languages",
+    rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[!-/:-@\[-`{{-~]', '', 'g') AS b, regexp_split_to_array(lower(text), '\s+') AS w FROM documents),
+c AS (SELECT doc_id, length(b) AS n, floor(length(b) / 4) AS q, {_LANG_SCRIPTS}, {_LANG_WORDS} FROM a)
+SELECT doc_id, CASE WHEN n < 50 THEN NULL WHEN n_cjk > q AND n_kana > 0 THEN 'ja' WHEN n_cjk > q THEN 'zh' WHEN n_hangul > q THEN 'ko' WHEN n_arabic > q THEN 'ar' WHEN n_cyrillic > q THEN 'ru' WHEN n_devanagari > q THEN 'hi'
+WHEN n_latin > q THEN CASE WHEN {_LANG_TOP} < 3 THEN 'en' {" ".join(f"WHEN {k} = {_LANG_TOP} THEN '{k}'" for k in X.LANGUAGE_WORDS)} END END AS language FROM c""",
+)
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by script and common words."""
     return load(spark, sf_dir, "documents").select("doc_id", extract.language_of(F.col("text")).alias("language"))
@@ -408,7 +428,12 @@ def recrawled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.url_duplicates(load(spark, sf_dir, "site_pages").select("page_id", "url", "crawled_at"), "url", "crawled_at", "page_id", 0).select("page_id", "duplicate")
 
 
-@query("ttl_duplicates")
+@query(
+    "ttl_duplicates",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+w AS (SELECT event_id, user_id, k, s AS taken, false AS duplicate FROM e WHERE k = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.k, CASE WHEN e.s - w.taken <= 3600 THEN w.taken ELSE e.s END, e.s - w.taken <= 3600 FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1) SELECT event_id, duplicate FROM w""",
+)
 def ttl_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a user's event came within an hour of the last one taken up."""
     ev = load(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("ts"))
@@ -573,7 +598,17 @@ def response_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "crawled_pages").select("fetch_id", responses.classify(F.col("status"), F.col("body"), F.col("final_url")).alias("class"))
 
 
-@query("script_shells")
+_BARE = "coalesce(body, '')"
+for _tag in ("script", "style", "noscript"):
+    _BARE = rf"regexp_replace({_BARE}, '<{_tag}\b[^>]*>.*?</{_tag}>', '', 'gis')"
+_BARE = rf"length(regexp_replace(regexp_replace({_BARE}, '<[^>]*>', '', 'g'), '\s+', '', 'g'))"
+
+
+@query(
+    "script_shells",
+    rf"""SELECT fetch_id, is_spa, regexp_matches(coalesce(body, ''), '<div id="(root|app|__next|__nuxt)">\s*</div>', 'i') OR ({_BARE} < 500 AND contains(lower(coalesce(body, '')), '<script') AND strlen(coalesce(body, '')) > 5000)
+OR length(regexp_extract(coalesce(body, ''), '<noscript[^>]*>(.*?)</noscript>', 1, 'is')) > 100 AS shell FROM crawled_pages""",
+)
 def script_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page is a shell for scripts."""
     return load(spark, sf_dir, "crawled_pages").select("fetch_id", extract.looks_scripted(F.col("body")).alias("shell"), "is_spa")
@@ -645,7 +680,7 @@ def sitemap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(docs.select(F.col("news_id").alias("id"), "domain"), "id").select("domain", F.col("id").alias("news_id"), "loc", "title", "publication_date")
 
 
-@query("feed_roundtrip")
+@query("feed_roundtrip", f"SELECT page_id AS id, nullif({_STRIP.format('url')}, '') AS url, nullif({_STRIP.format('title')}, '') AS title FROM site_pages")
 def feed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as RSS and read back."""
     esc = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
