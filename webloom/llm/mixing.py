@@ -5,8 +5,9 @@ share within its cap. Sainte-Laguë apportionment (highest quotients w / (2k + 1
 whole blocks of equal tokens for each source, never more than the source can give, and again splits a
 source's blocks over shards of its documents in proportion to their tokens. Within a shard the documents
 lie in a seeded random order on a line of tokens, and the first blocks of that line are taken: whole
-rounds first, then a part. A document belongs to the part if its middle does, so the errors of whole
-documents cancel out.
+rounds first, then a part. A document belongs to the part if its middle does. Documents longer than a block
+lie on a line of their own and are drawn first; the short ones fill what those leave, so that a share is
+missed by less than a block where a shard has short documents.
 
 Only sums over (source, shard) reach the driver: as many rows as sources times shards, where the number
 of shards follows the tokens (SHARD_TOKENS each); the document table stays distributed, a hot source is
@@ -104,11 +105,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     sizes = stage_table(token_sizes(docs, tokenizer=tokenizer), "mix-sizes")
     all_tokens = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, round(all_tokens / shard_tokens))
-    sharded = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    sums = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).where(F.col("source").isin(list(weight)) if weight else F.lit(False)).collect()
+    sharded = sizes.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"), "long": F.col("n_tokens") > block})
+    sums = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t"), F.sum(F.when(F.col("long"), F.col("n_tokens")).otherwise(0)).alias("tl")).where(F.col("source").isin(list(weight)) if weight else F.lit(False)).collect()
     have: dict[str, dict[int, int]] = {}
+    in_long: dict[tuple[str, int], int] = {}
     for r in sums:
         have.setdefault(r.source, {})[r.shard] = r.t
+        in_long[r.source, r.shard] = r.tl
     total_of = {s: sum(x.values()) for s, x in have.items()}
     live = {s: w for s, w in weight.items() if w > 0 and cap[s] > 0 and total_of.get(s)}
     norm = sum(live.values())
@@ -122,11 +125,19 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         share = sainte_lague({h: float(t) for h, t in parts.items()}, round(rest / block), {h: -(-t // block) for h, t in parts.items()})
         plan += [(s, h, int(whole), int(share[h] * block)) for h in parts]
     spark = docs.sparkSession
-    quotas = spark.createDataFrame(plan, "source string, shard int, whole long, part long")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sharded.join(quotas, ["source", "shard"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(line), F.lit(0)))
-    taken = F.col("whole") + F.when(F.col("before") + F.col("n_tokens") / 2 <= F.col("part"), 1).otherwise(0)
-    out = placed.withColumn("repeats", taken.cast("long")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    ddl = "source string, shard int, long boolean, whole long, part long"
+
+    def placed(quotas: list[tuple]) -> DataFrame:
+        """Documents of the given quotas with `part_taken`: their middle lies within the part of their line."""
+        line = Window.partitionBy("source", "shard", "long").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        joined = sharded.join(spark.createDataFrame(quotas, ddl), ["source", "shard", "long"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(line), F.lit(0)))
+        return joined.withColumn("part_taken", F.when(F.col("before") + F.col("n_tokens") / 2 <= F.col("part"), 1).otherwise(0))
+
+    # documents longer than a block have a line of their own; what they miss or pass their part by, the short ones make up
+    longs = [(s, h, True, w, round(p * in_long[s, h] / max(1, have[s][h]))) for s, h, w, p in plan]
+    drawn_long = {(r.source, r.shard): r.t for r in placed(longs).groupBy("source", "shard").agg(F.sum(F.col("n_tokens") * F.col("part_taken")).alias("t")).collect()}
+    shorts = [(s, h, False, w, max(0, p - (drawn_long.get((s, h)) or 0))) for s, h, w, p in plan]
+    out = placed(longs + shorts).withColumn("repeats", (F.col("whole") + F.col("part_taken")).cast("long")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     got = {r.source: r for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.max("repeats").alias("m")).collect()}
     drawn = sum(r.t for r in got.values())
     all_weight = sum(weight.values()) or 1.0
