@@ -69,7 +69,7 @@ SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_nu
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every search query."""
-    return retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "search_queries"), "doc_id", ["text"], "query_id", "query_text")
+    return retrieval.bm25(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), load(spark, sf_dir, "search_queries"), "doc_id", ["text"], "query_id", "query_text")
 
 
 @query(
