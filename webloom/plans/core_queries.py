@@ -557,10 +557,15 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages, links, feeds, captures
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """Nested columns as JSON, which every client can read and compare."""
+    return rows.withColumns({n: F.to_json(n) for n, t in rows.dtypes if t.startswith(("array<struct", "struct"))})
+
+
 @query("extracted_pages")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, metadata, headings, links and tables of every crawled page."""
-    return extract.extracted(spread(load(spark, sf_dir, "crawled_pages").select("fetch_id", "body", "url")), "fetch_id", "body", "url").drop("json_ld")
+    return extract.extracted(spread(load(spark, sf_dir, "crawled_pages").select("fetch_id", "body", "url")), "fetch_id", "body", "url").drop("json_ld").transform(_flat)
 
 
 @query("page_records")
@@ -568,7 +573,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical page records of every crawled page."""
     raw = load(spark, sf_dir, "crawled_pages")
     crawl = raw.select(F.col("fetch_id").alias("id"), "content_type", "status", "response_time_ms", "fetched_at")
-    return stores.to_page(extract.extracted(spread(raw.select("fetch_id", "body", "url")), "fetch_id", "body", "url"), crawl)
+    return stores.to_page(extract.extracted(spread(raw.select("fetch_id", "body", "url")), "fetch_id", "body", "url"), crawl).transform(_flat)
 
 
 _CLEAN = "body"
