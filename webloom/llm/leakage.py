@@ -4,8 +4,8 @@ Words are folded (case, accents, punctuation, mark-up and spacing don't count).
 consecutive hashes of `K` words the smallest is kept, of items and documents alike, which guarantees a
 common fingerprint for every shared run of WINDOW + K - 1 = 4 words. A run of at least 15 item words with
 at least 5 in 6 unchanged always holds such runs: the changed words cut it into stretches of which at
-least two fingerprints survive. Pairs with two hits near one diagonal are extended by an alignment of
-the item with that part of the document and kept if the alignment holds such a run.
+least two fingerprints survive. Pairs with two hits near one diagonal are extended by a local alignment of
+the item with the document along these diagonals and kept if one holds such a run.
 
 Items up to `max_item_bytes` (measured first) travel to the executors as one dictionary, and the documents are fingerprinted,
 looked up and extended in one narrow stage: word hashes that no item has can't be hits and are never
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 K = 3
 WINDOW = 2
 MIN_RUN = 15
+# a run of this length holds a shorter one, or the changes would be more than 1 in 6
+LONGEST_RUN = 36
 MIN_HITS = 2
 DRIFT = 6
 MAX_ITEM_BYTES = 64 << 20
@@ -94,41 +96,30 @@ def fingerprints(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def has_run(item: np.ndarray, part: np.ndarray) -> bool:
-    """Whether part holds, in order, a run of MIN_RUN item words or more with 5 in 6 unchanged.
+def has_run(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
+    """Whether doc holds, in order, a run of MIN_RUN item words or more with 5 in 6 unchanged on the diagonals low to high.
 
-    The two are aligned to their longest common subsequence with few gaps; words of part beyond those they
-    replace count as changes.
+    Local alignment from every item word at once: a replaced, left out or put in word is one change, runs
+    begin and end with an unchanged word. A run of twice MIN_RUN unchanged words and more has a shorter one in
+    it, so LONGEST_RUN words are as far as any must be followed.
     """
-    n, m = len(item), len(part)
-    if min(n, m) < 2:
+    n, m, width = len(item), len(doc), high - low + 1
+    if n < MIN_RUN or width <= 0:
         return False
-    same = item[:, None] == part[None, :]
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :m], np.where(same[i], best[i + 1, 1:] + 1, 0))
-        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
-    i = j = 0
-    pairs: list[tuple[int, int]] = []
-    while i < n and j < m and best[i, j]:
-        if same[i, j] and best[i, j] == best[i + 1, j + 1] + 1:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    for a in range(len(pairs)):
-        changes, good = 0, 1
-        for b in range(a + 1, len(pairs)):
-            di, dj = pairs[b][0] - pairs[b - 1][0] - 1, pairs[b][1] - pairs[b - 1][1] - 1
-            changes += max(di, dj)
-            good += 1
-            run = pairs[b][0] - pairs[a][0] + 1
-            if run >= MIN_RUN and 6 * changes <= run:
-                return True
-            if changes > 12 and changes > good:
-                break
+    at = np.arange(n)[:, None] + np.arange(low, high + 1)[None, :]
+    same = (item[:, None] == doc[np.clip(at, 0, max(0, m - 1))]) & (at >= 0) & (at < m) if m else np.zeros((n, width), bool)
+    most, step = LONGEST_RUN // 6 + 1, np.arange(width, dtype=np.int16)
+    # changes of the best alignment from each item word to the word k further on, by the diagonal it is on
+    changes = np.where(same, 0, most).astype(np.int16)
+    for k in range(1, min(n, LONGEST_RUN)):
+        before = changes[: n - k]
+        changes = before + ~same[k:]
+        np.minimum(changes[:, :-1], before[:, 1:] + 1, out=changes[:, :-1])
+        changes = np.minimum.accumulate(changes - step, axis=1) + step
+        if k + 1 >= MIN_RUN and (same[k:] & (6 * changes <= k + 1)).any():
+            return True
+        if changes.min() >= most:
+            return False
     return False
 
 
@@ -147,8 +138,7 @@ def _near_diagonal(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def confirmed(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]]) -> bool:
     """hits: (document position - item position, item position)."""
     for a, b in _near_diagonal(hits):
-        lo, hi = max(0, a - DRIFT), min(len(doc), b + len(item) + DRIFT)
-        if has_run(item, doc[lo:hi]):
+        if has_run(item, doc, a - DRIFT, b + DRIFT):
             return True
     return False
 
