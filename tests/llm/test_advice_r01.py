@@ -6,7 +6,17 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.llm import leakage
+from webloom.llm import leakage, main_content
+
+SENTENCE = "The council of the town met on Monday to talk about the bridge and its repair, which is dear and slow. "
+
+
+def test_isolated_sentence_is_no_block():
+    main = [SENTENCE * 8 + "It ends here." for _ in range(4)]
+    body = "\n".join([*main, *["Home | News | Sport"] * 6, "The mill is old and grey."])
+    assert main_content.main_lines(body) == [0, 1, 2, 3]
+    assert main_content.main_lines(body + "\n" + SENTENCE) == [0, 1, 2, 3, 10, 11]
+    assert main_content.dense([0, 1, 0, 0, 0, 90, 0, 1]) == [0, 0, 0, 0, 0, 90, 0, 1]
 
 
 def test_run_beside_its_own_words():

@@ -1,9 +1,9 @@
 """Main content of a page by the distribution of its text over lines.
 
 Markup is stripped to lines; every line weighs as much as the running text in it (menus, notices, teasers
-and the like weigh nothing); the weights are summed over a sliding window of lines. Where the sum rises
-from nothing a block surges, where it falls back to nothing it dives. The text lines between are kept with
-the headings that lead them. In HTML the block must lie in one container, which shuts out a stray
+and the like weigh nothing); the weights are summed over a sliding window of lines. Lines in no window
+that reaches a share of the page's largest sum (`SURGE_SHARE`) lose their weight: a block surges where such
+windows begin and dives where they end. The text lines between are kept with the headings that lead them. In HTML the block must lie in one container, which shuts out a stray
 sentence of a sidebar. A page is handled as a whole by one Python call inside Arrow batches; there is no
 shuffle.
 
@@ -25,6 +25,8 @@ from webloom.llm.page_lines import blanks, collapse, kind
 from webloom.sources import markup
 
 WINDOW = 3
+# Fixed value: sums below this share of a page's largest are no block.
+SURGE_SHARE = 0.05
 _ASIDE_TAGS = frozenset("nav aside footer dialog form".split())
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:nav|menu|sidebar|side|footer|foot|bottom|cookie|consent|promo|share|social|related|recommend|more|teaser|advert|ads?|banner|comments?|newsletter|breadcrumbs?|legal)(?:$|[\s_-])",
@@ -33,6 +35,13 @@ _ASIDE_NAME = re.compile(
 _STRUCTURE = frozenset("#root html body div section article main header footer nav aside td th form details dialog center".split())
 
 
+def dense(weights: list[float], window: int = WINDOW, share: float = SURGE_SHARE) -> list[float]:
+    """The weights of lines in a window whose sum reaches the page's threshold, a share of its largest sum; of others nothing."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    least = share * max(sums, default=0.0)
+    return [w if any(s >= least for s in sums[max(0, i - window + 1) : i + 1]) else 0.0 for i, w in enumerate(weights)]
+
+
 def blocks(weights: list[float], window: int = WINDOW) -> list[tuple[int, int]]:
     """Stretches [surge, dive) of lines in which the window sum of the weights stays above nothing."""
     found, start = [], None
@@ -67,12 +76,12 @@ def main_lines(body: str | None) -> list[int]:
 
 def _kept(lines: list[str], kinds: list[str], may_head: list[bool], window: int = WINDOW) -> list[int]:
     order = [i for i, k in enumerate(kinds) if k != "blank"]
-    weights = [float(len(lines[i])) if kinds[i] == "text" else 0.0 for i in order]
+    weights = dense([float(len(lines[i])) if kinds[i] == "text" else 0.0 for i in order], window)
     found = blocks(weights, window)
     if not found:
         return []
     out: list[int] = []
-    seen = [kinds[i] for i in order]
+    seen = ["thin" if kinds[i] == "text" and not w else kinds[i] for i, w in zip(order, weights, strict=True)]
     done = 0
     for a, b in found:
         # headings lead text or follow the last of it: those inside the block, and those within a window of it
