@@ -157,6 +157,38 @@ _ASKS_SCRIPTS = re.compile(r"(?:allow|enable|activate|switch on|turn on|aktivier
 _SCRIPT = re.compile(r"java ?script|\bscripts?\b|skript", re.I)
 
 
+_SENTENCES = re.compile(r"(?<=[.!?:;]) ")
+
+
+def _message(s: str) -> str | None:
+    """What kind of message a sentence of a longer line is."""
+    short = s.count(" ") < 17
+    if _SHARE.search(s):
+        return "share"
+    if _NOTICE.search(s):
+        if not _SCRIPT.search(s) or (re.search("cookie", s, re.I) and not _ASKS_SCRIPTS.search(s)):
+            return "notice"
+        return "error" if short else None
+    if short and _ERROR.search(s):
+        return "error"
+    return "syndication" if short and _SYNDICATED.search(s) else None
+
+
+def _mostly_message(bare: str) -> str | None:
+    """The commonest kind of message in a line of any length of which at least half the sentences, and two if it has two, are messages."""
+    parts = [s for s in _SENTENCES.split(bare) if s.strip()]
+    told = [k for k in map(_message, parts) if k]
+    return max(dict.fromkeys(told), key=told.count) if 2 * len(told) >= len(parts) and len(told) >= min(2, len(parts)) > 0 else None
+
+
+def _mostly_filler(line: str) -> bool:
+    """Whether filler leads a long line by name, or stands in more than half of its pieces of at most 40 words."""
+    if line.lstrip().lower().startswith("lorem ipsum"):
+        return True
+    pieces = [" ".join(w[i : i + 40]) for w in (s.split() for s in _SENTENCES.split(line)) for i in range(0, len(w), 40)]
+    return 2 * sum(map(_filler_start, pieces)) > len(pieces)
+
+
 def kind(raw: str, line: str | None = None) -> str:
     """One of: blank, menu, notice, share, byline, tags, teaser, comment, syndication, error, filler, text, short.
 
@@ -172,8 +204,6 @@ def _kind(raw: str, line: str) -> str:
         return "blank"
     spaces = line.count(" ")
     ended = bool(_ENDED.search(line[-12:]))
-    if spaces > 70 and ended and not (":" in line[:90] and _COMMENT.search(line)):
-        return "filler" if _filler_start(line) else "text"
     cue = next(_FINDER.iter(line.lower()), None) is not None
     start = _START.match(line) is not None
     colon = 0 < line.find(":", 0, 90)
@@ -185,10 +215,12 @@ def _kind(raw: str, line: str) -> str:
         if start and _TEASER.search(line):
             return "teaser"
     if not cue and ended and spaces >= 12:
-        return "filler" if _filler_start(line) else "text"
-    words = _WORD.findall(line[:1000])
-    if cue and spaces <= 70:
+        return "filler" if (_mostly_filler(line) if spaces > 70 else _filler_start(line)) else "text"
+    words = _WORD.findall(line)
+    bare = ""
+    if cue:
         bare = _QUOTED.sub(" ", line) if any(q in line for q in '`"“„«') else line
+    if cue and spaces <= 70:
         if _SHARE.search(bare) and len(words) <= 32:
             return "share"
         if _NOTICE.search(bare):
@@ -203,13 +235,15 @@ def _kind(raw: str, line: str) -> str:
             return "byline"
         if len(words) <= 18 and _SYNDICATED.search(line):
             return "syndication"
+    if cue and (told := _mostly_message(bare)):
+        return told
     if start and len(words) <= 8 and _NAV.search(line):
         return "menu"
     if start and len(words) <= 12 and _BYLINE.search(line) and not ended:
         return "byline"
     if is_menu(raw, line, words):
         return "menu"
-    if is_filler(line, words):
+    if _mostly_filler(line) if spaces > 70 else is_filler(line, words):
         return "filler"
     if ended and len(words) >= 4:
         return "text"
