@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.llm import leakage, main_content
+from webloom.llm import leakage, main_content, residue
 from webloom.llm import page_lines as L
 
 SENTENCE = "The council of the town met on Monday to talk about the bridge and its repair, which is dear and slow. "
@@ -83,3 +83,31 @@ def test_run_equals_plain_search(seed):
     doc = [1, 2] + doc
     got = leakage.has_run(np.array(item, np.uint64), np.array(doc, np.uint64), -len(item), len(doc))
     assert got == plain_run(item, doc)
+
+
+UNLISTED = ["Sorry, our machines are having a bad day.\nCome back in a few minutes and it should be fine again.", "This part of the site rests right now.\nOur staff were told and look into it."]
+
+
+def test_messages_of_unlisted_wording(spark):
+    rng = random.Random(3)
+    verbs, things = "moved opened closed painted sold measured".split(), "bridge mill harbour school station market".split()
+    rows, want = [], set()
+    for i in range(900):
+        bad = rng.random() < 0.25
+        body = rng.choice(UNLISTED) if bad else "\n".join(f"The council of the town has {rng.choice(verbs)} the {rng.choice(things)} and the {rng.choice(things)} in {rng.randrange(1900, 2020)}." for _ in range(rng.randrange(1, 4)))
+        host = i % 40
+        if bad:
+            want.add(i)
+        # half of the hosts answer 200 on every page; the wording is known from the others
+        rows.append((i, f"A {rng.choice(things)}", body, f"h{host}.example", (503 if bad and host % 2 else 200,)))
+    pages = spark.createDataFrame(rows, "page_id long, title string, body_text string, domain string, metadata struct<status_code:int>")
+    got = {r.page_id for r in residue.residue_pages(pages).collect()}
+    assert not any(L.kind(x) == "error" for text in UNLISTED for x in text.split("\n"))
+    assert {i for i in want if i % 2} <= got and not got - want
+
+
+def test_only_empty_pages_are_exempt():
+    counts = lambda t, b: residue.describe(t, b)[1]
+    assert all(counts("A bridge", b)["empty"] for b in (None, "", "Home | News | Sport\n\nWe use cookies to count visits."))
+    assert not any(counts(t, b)["empty"] for t, b in (("{{ title }}", ""), ("404 Not Found", ""), ("A bridge", SENTENCE)))
+    assert residue.weak_label(counts("A bridge", "Home | News | Sport"), 404) == -1 and residue.weak_label(counts("Oh", UNLISTED[0]), 503) == 1

@@ -1,13 +1,14 @@
 """Pages that hold template residue, filler or an error message instead of an article.
 
-A regularised logistic regression over hashed word n-grams of the suspicious parts of a page (title,
-messages, filler, sentences around blanks), its length and title features. It is trained on weak labels
-from response status and phrases, on a bounded sample of pages (`sample_rows`), and validated on hosts
-that the training never saw. Every page is scored whole, in one narrow Arrow stage; only the weights
-travel.
-
-Defined results: null title and body count as empty; a page without any text line and without message
-is no case; if the sample lacks one class the weak labels themselves are the result.
+A regularised logistic regression over hashed word n-grams of title and whole body, once more of the
+suspicious parts (messages, filler, sentences around blanks), length and title features. It is trained on
+weak labels from response status and phrases, on a bounded sample of pages (`sample_rows`), and validated
+on hosts that the training never saw. Every page is scored whole by the model, in one narrow Arrow stage;
+only the weights travel.
+
+Defined results: null title and body count as empty; a page that is empty, menus and other furniture
+aside, is no case unless its title shows a blank, filler or an error; if the sample lacks one class the
+weak labels themselves are the result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.page_lines import _ERROR, BLANK, FILLER_CUE, blanks, collapse, kind
 
 SAMPLE_ROWS = 20_000
-BITS = 14
+BITS = 18
+_SLOTS = np.uint64((1 << BITS) - 64)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\x00\w+|[^\W\d_]+|\d+")
+_LINE_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 # Words of sentences that explain template syntax rather than show its failure.
 _EXPLAINS = re.compile(
@@ -60,7 +65,7 @@ def describe(title: str | None, body: str | None) -> tuple[list[str], dict[str,
     """Tokens of the suspicious parts, and counts."""
     title, body = collapse(title or ""), body or ""
     raw = body.split("\n")
-    n_text = text_chars = errors = fillers = bare = told = 0
+    n_text = text_chars = errors = fillers = bare = told = shorts = 0
     parts: list[str] = []
     for r in raw:
         line = collapse(r)
@@ -76,6 +81,8 @@ def describe(title: str | None, body: str | None) -> tuple[list[str], dict[str,
         elif k == "text":
             n_text += 1
             text_chars += len(line)
+        elif k == "short":
+            shorts += 1
         if k != "error" and blanks(line):
             for s in _SENTENCE.split(line):
                 uses = blank_uses(s)
@@ -92,10 +99,11 @@ def describe(title: str | None, body: str | None) -> tuple[list[str], dict[str,
     counts = {
         "n_text": n_text, "text_chars": text_chars, "errors": errors, "fillers": fillers, "bare": bare, "told": told,
         "title_bare": sum(u == "bare" for u in title_uses), "title_error": title_error, "title_filler": title_filler, "title_empty": not title,
+        "empty": not (n_text or errors or fillers or bare or told or shorts or title_error or title_filler or any(u == "bare" for u in title_uses)),
     }
     tokens: list[str] = []
-    for name, text in [("t", shown), *(("b", p) for p in parts[:200])]:
-        words = [w.lower() for w in _TOKEN.findall(text)][:60]
+    for name, text in [("t", shown), *(("b", p) for p in parts)]:
+        words = [w.lower() for w in _TOKEN.findall(text)]
         tokens += [f"{name}:{w}" for w in words]
         tokens += [f"{name}:{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
     return tokens, counts
@@ -117,6 +125,35 @@ def _window(text: str, around: int = 5) -> str:
     return " ".join(words[j] for j in keep)
 
 
+class _Hashes(dict):
+    """Word hashes of one part of a page; a line break has none (0)."""
+
+    def __init__(self, part: str) -> None:
+        self.part = part
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        got = self[word] = 0 if word == "\n" else xxhash.xxh3_64_intdigest((self.part + word).encode("utf-8", "surrogatepass")) or 1
+        return got
+
+
+_TITLE_HASHES, _BODY_HASHES = _Hashes("t"), _Hashes("w")
+
+
+def _whole(title: str | None, body: str | None) -> np.ndarray:
+    """Distinct hashes of the words and word pairs of title and whole body, pairs within a line."""
+    found = []
+    for hashes, text in ((_TITLE_HASHES, title), (_BODY_HASHES, body)):
+        tokens = _LINE_TOKEN.findall((text or "").lower())
+        h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+        word = h != 0
+        pair = ((h[:-1] * _PAIR) ^ h[1:]) * _PAIR
+        found += [h[word], pair[word[:-1] & word[1:]]]
+    every = np.sort(np.concatenate(found))
+    return every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+
+
 def features(title: str | None, body: str | None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     tokens, c = describe(title, body)
     named = {
@@ -125,17 +162,13 @@ def features(title: str | None, body: str | None) -> tuple[np.ndarray, np.ndarra
         "n:bare": float(c["bare"] > 0), "n:told": float(c["told"] > 0), "n:title_bare": float(c["title_bare"] > 0), "n:title_error": float(c["title_error"]),
         "n:title_error_only": float(c["title_error"] and c["n_text"] == 0), "n:title_filler": float(c["title_filler"]), "n:title_empty": float(c["title_empty"]),
     }
-    weight: dict[int, float] = {}
     grams = dict.fromkeys(tokens)
-    scale = 1 / np.sqrt(max(1, len(grams)))
-    for t in grams:
-        h = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-        i = 64 + (h >> 1) % ((1 << BITS) - 64)
-        weight[i] = weight.get(i, 0.0) + (scale if h & 1 else -scale)
-    for i, v in enumerate(named.values()):
-        if v:
-            weight[i] = float(v)
-    return np.fromiter(weight.keys(), np.int32, len(weight)), np.fromiter(weight.values(), np.float32, len(weight)), c
+    own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in grams), np.uint64, len(grams))
+    idx, val = [np.flatnonzero(list(named.values()))], [np.array([v for v in named.values() if v], np.float32)]
+    for h in (own, _whole(title, body)):
+        idx.append((64 + (h >> np.uint64(1)) % _SLOTS).astype(np.int64))
+        val.append(np.where(h & np.uint64(1), 1.0, -1.0).astype(np.float32) / np.float32(np.sqrt(max(1, len(h)))))
+    return np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32), c
 
 
 def weak_label(c: dict[str, float], status: int | None) -> int:
@@ -144,33 +177,44 @@ def weak_label(c: dict[str, float], status: int | None) -> int:
         return 1
     if c["fillers"] and c["n_text"] <= 2 * c["fillers"]:
         return 1
-    if c["n_text"] == 0 and (c["errors"] or (status or 0) >= 400):
+    if c["empty"]:
+        return -1
+    if c["n_text"] == 0 and c["errors"]:
         return 1
-    if c["n_text"] >= 2 and not c["fillers"] and (status is None or status < 400 or not c["title_error"]):
+    if (status or 0) >= 400:
+        return 1 if c["n_text"] <= 2 else -1
+    if c["n_text"] >= 2 and not c["fillers"]:
+        return 0
+    if c["n_text"] == 0 and status is not None and not c["title_error"] and not c["fillers"]:
         return 0
     if c["n_text"] >= 1 and not c["errors"] and not c["title_error"] and not c["fillers"]:
         return 0
     return -1
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], steps: int = 250, ridge: float = 1e-4, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, ridge: float = 1e-4, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Logistic regression with L2 and balanced classes, by Adagrad over the whole sample; the same result every time."""
     y = np.array([r[2] for r in rows], np.float64)
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    idx = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
-    val = np.concatenate([np.asarray(r[1], np.float64) for r in rows])
+    # an unused column makes every row hold something; sums run over rows, and over features in their own order
+    idx = np.concatenate([np.append(np.asarray(r[0], np.int64), 1 << BITS) for r in rows])
+    val = np.concatenate([np.append(np.asarray(r[1], np.float32), np.float32(0)) for r in rows])
+    sizes = np.array([len(r[0]) + 1 for r in rows])
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(idx, kind="stable")
+    used, first = np.unique(idx[order], return_index=True)
+    at, sorted_val, held = np.repeat(np.arange(len(rows)), sizes)[order], val[order], np.empty(len(val), np.float32)
     cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros(1 << BITS), 0.0
-    gw, gb = np.full(1 << BITS, 1e-8), 1e-8
+    w, b = np.zeros((1 << BITS) + 1), 0.0
+    gw, gb = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(at, val * w[idx], len(rows)) + b
+        z = np.add.reduceat(np.multiply(val, w.astype(np.float32).take(idx, out=held, mode="clip"), out=held), begin) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        g = np.bincount(idx, val * d[at], 1 << BITS) + ridge * w
+        g = np.add.reduceat(np.multiply(sorted_val, d.astype(np.float32).take(at, out=held, mode="clip"), out=held), first) + ridge * w[used]
         gw += g * g
         gb += d.sum() ** 2
-        w -= rate * g / np.sqrt(gw)
+        w[used] -= rate * g / np.sqrt(gw)
         b -= rate * d.sum() / np.sqrt(gb)
-    return w, b
+    return w[:-1], b
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +223,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [features(t, b) for t, b in zip(cols[0], cols[1], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([g[0].tolist() for g in got], pa.list_(pa.int32())),
-                pa.array([g[1].tolist() for g in got], pa.list_(pa.float32())),
+                pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                pa.array([g[1] for g in got], pa.list_(pa.float32())),
                 pa.array([weak_label(g[2], s) for g, s in zip(got, cols[2], strict=True)], pa.int32()),
                 pa.array([zlib.crc32((d or "").encode()) % 5 == 0 for d in cols[3]], pa.bool_()),
             ],
@@ -197,10 +241,15 @@ def train(pages: DataFrame, id_col: str = "page_id", sample_rows: int = SAMPLE_R
         .mapInArrow(_featured, "idx array<int>, val array<float>, label int, held_out boolean")
         .where("label >= 0")
         .toArrow()
-        .to_pylist()
+        .combine_chunks()
     )
-    own = [(r["idx"], r["val"], r["label"]) for r in got if not r["held_out"]]
-    held = [(r["idx"], r["val"], r["label"]) for r in got if r["held_out"]]
+    rows = []
+    for batch in got.to_batches():
+        flat = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("idx"), batch.column("val"))]
+        for n, (label, out) in enumerate(zip(batch.column("label").to_pylist(), batch.column("held_out").to_pylist(), strict=True)):
+            rows.append((*(v[o[n] : o[n + 1]] for o, v in flat), label, out))
+    own = [r[:3] for r in rows if not r[3]]
+    held = [r[:3] for r in rows if r[3]]
     report = {"train_rows": len(own), "train_positive": sum(r[2] for r in own), "held_out_rows": len(held), "held_out_positive": sum(r[2] for r in held)}
     if not 0 < report["train_positive"] < len(own):
         return Model(None, 0.0, report)
@@ -220,8 +269,8 @@ def scored(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFrame
             out = []
             for t, b, s in zip(cols[1], cols[2], cols[3], strict=True):
                 i, v, c = features(t, b)
-                if not any(c[k] for k in ("bare", "title_bare", "errors", "fillers", "title_error", "title_filler")):
-                    out.append(-10.0)  # nothing on the page says so, an empty page is only empty
+                if c["empty"]:
+                    out.append(-10.0)  # an empty page is only empty
                 else:
                     out.append(float(np.dot(model.weights[i], v) + model.bias) if model.weights is not None else float(weak_label(c, s) == 1) - 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["page_id", "score"])
