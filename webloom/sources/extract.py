@@ -44,14 +44,29 @@ def sanitise(source: Column) -> Column:
     return F.regexp_replace(out, r"(?si)\sstyle\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
 
 
-_CSS_RULE = re.compile(r"(?:(?<=\s)|^)[.#@]?[\w-][\w\s,>.#:()-]{0,200}\{[^{}]*\}", re.M)
+_BRACES = re.compile(r"\{[^{}]*+\}")
+_SELECTOR = re.compile(r"(?:(?<=\s)|^)[.#@]?[\w-][\w\s,>.#:()-]{0,200}\Z", re.M)
+
+
+def _without_rules(text: str) -> str:
+    """Without every brace pair that a selector leads, and the selector; linear, as only the signs back to the brace before are looked at."""
+    out, done, bound = [], 0, 0
+    for m in _BRACES.finditer(text):
+        a = m.start()
+        # one sign more than a selector has, for the white space before it
+        low = max(bound, text.rfind("{", bound, a) + 1, text.rfind("}", bound, a) + 1, a - 203)
+        head = _SELECTOR.search(text, low, a)
+        if head:
+            out.append(text[done : head.start()])
+            done = m.end()
+        bound = m.end()
+    return "".join([*out, text[done:]])
 
 
 def without_css(text: str) -> str:
     """Style rules left in text go; runs of blank lines and blanks are closed."""
     if "{" in text:
-        # only text before a brace can be a selector, so the pattern runs over those stretches alone
-        text = _CSS_RULE.sub("", text) if len(text) < 200_000 else re.sub(r"[^\n{}]{1,200}\{[^{}]*\}", "", text)
+        text = _without_rules(text)
     lines = [x for x in text.split("\n") if not re.match(r"\s*(?:@media|@import|\.[\w-]+\s*\{)", x)]
     return re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(lines))).strip()
 
