@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from webloom.llm import leakage, main_content, residue
 from webloom.llm import page_lines as L
-from webloom.sources import extract
+from webloom.sources import extract, feeds
 
 SENTENCE = "The council of the town met on Monday to talk about the bridge and its repair, which is dear and slow. "
 
@@ -131,3 +131,9 @@ def test_css_rules_of_long_pages():
     long = "\n".join([page] * 4_000)
     assert len(long) > 200_000 and extract.without_css(long) == "\n".join([want] * 4_000)
     assert extract.without_css("{" * 300_000) and extract.without_css("a " * 200_000 + "{") and extract.without_css("a{" * 200_000)
+
+
+def test_results_close_together():
+    links = "".join(f'<li><a class="result__a" href="https://s{i}.example/p">Title {i}</a> Words {i}.</li>' for i in range(8))
+    got = feeds.parse_results("https://html.duckduckgo.com/html/?q=x", f'<a href="/">Home</a> {links}')
+    assert [(r["url"], r["title"], r["snippet"]) for r in got] == [(f"https://s{i}.example/p", f"Title {i}", f"Words {i}.") for i in range(8)]

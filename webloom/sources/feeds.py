@@ -244,7 +244,7 @@ def parse_results(url: str | None, body: str | None, most: int = 20) -> list[dic
             if target.startswith("http") and "ycombinator.com" not in target:
                 found.setdefault(target, {"title": x.get("title") or "", "snippet": x.get("content") or x.get("story_text") or ""})
     else:
-        for m in re.finditer(r"<a\b([^>]*)>(.*?)</a\s*>(.{0,600})", body, re.I | re.S):
+        for m in re.finditer(r"<a\b([^>]*)>(.*?)</a\s*>(?=(.{0,600}))", body, re.I | re.S):
             a = markup.attributes(m[1])
             href = H.unescape(a.get("href", ""))
             target = urljoin(url, redirect_target(href))
@@ -256,7 +256,7 @@ def parse_results(url: str | None, body: str | None, most: int = 20) -> list[dic
                 continue
             if any(n in target for n in NOISE):
                 continue
-            text = " ".join(H.unescape(re.sub(r"<[^>]*>", " ", m[3].split("<a ")[0])).split())
+            text = " ".join(H.unescape(re.sub(r"<[^>]*>", " ", re.split(r"<a\b", m[3], maxsplit=1, flags=re.I)[0])).split())
             found.setdefault(target, {"title": title, "snippet": text[:300]})
     return [{"engine": engine, "url": u, **v, "position": i + 1} for i, (u, v) in enumerate(list(found.items())[: _MOST.get(engine, most)])]
 
