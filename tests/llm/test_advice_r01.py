@@ -137,3 +137,8 @@ def test_results_close_together():
     links = "".join(f'<li><a class="result__a" href="https://s{i}.example/p">Title {i}</a> Words {i}.</li>' for i in range(8))
     got = feeds.parse_results("https://html.duckduckgo.com/html/?q=x", f'<a href="/">Home</a> {links}')
     assert [(r["url"], r["title"], r["snippet"]) for r in got] == [(f"https://s{i}.example/p", f"Title {i}", f"Words {i}.") for i in range(8)]
+
+
+def test_html_after_a_long_lead():
+    page = f"<div><p>{SENTENCE}</p><p>{SENTENCE}It ends.</p></div>"
+    assert main_content.main_html_lines(" " * 5_000 + page) == main_content.main_html_lines(page) != []

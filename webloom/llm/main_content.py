@@ -99,7 +99,7 @@ def _is_h1(elements: list[markup.Element], line: markup.Line) -> bool:
 
 def main_html_lines(source: str | None) -> list[str]:
     """The main-content lines of an HTML page, h1 included, in page order."""
-    if not source or "<" not in source[:2000]:
+    if not source or "<" not in source:
         return []
     page = markup.read(source)
     elements = page.elements
