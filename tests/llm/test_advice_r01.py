@@ -87,6 +87,12 @@ def test_run_equals_plain_search(seed):
     assert got == plain_run(item, doc)
 
 
+def test_item_words_are_never_forgotten(monkeypatch):
+    monkeypatch.setattr(leakage, "CACHE_WORDS", 20)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(5)]
+    assert sorted(leakage.Items(rows).found_in([t for _, t in rows])) == [(i, i) for i in range(5)]
+
+
 UNLISTED = ["Sorry, our machines are having a bad day.\nCome back in a few minutes and it should be fine again.", "This part of the site rests right now.\nOur staff were told and look into it."]
 
 

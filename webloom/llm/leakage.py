@@ -37,6 +37,7 @@ LONGEST_RUN = 36
 MIN_HITS = 2
 DRIFT = 6
 MAX_ITEM_BYTES = 64 << 20
+CACHE_WORDS = 2_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:nbsp|shy|zwj|zwnj|#\d{2,5});|[­​-‍⁠﻿]")
 _INNER = re.compile(r"(?<=\w)['’`´](?=\w)")
@@ -55,10 +56,10 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def word_ids(tokens: list[str], ids: dict[str, int], grow: bool) -> np.ndarray:
-    """64-bit word hashes; without grow, words that ids lacks are 0."""
+def word_ids(tokens: list[str], ids: dict[str, int], grow: bool, bounded: bool = True) -> np.ndarray:
+    """64-bit word hashes; without grow, words that ids lacks are 0. A cache is bounded, an item dictionary must keep every word."""
     if grow:
-        if len(ids) > 2_000_000:
+        if bounded and len(ids) > CACHE_WORDS:
             ids.clear()
         for w in set(tokens) - ids.keys():
             ids[w] = xxhash.xxh3_64_intdigest(w) or 1
@@ -151,7 +152,7 @@ class Items:
         self.words: dict[int, np.ndarray] = {}
         hashes, owners, places = [], [], []
         for item_id, text in rows:
-            w = word_ids(words(text), self.ids, grow=True)
+            w = word_ids(words(text), self.ids, grow=True, bounded=False)
             self.words[item_id] = w
             h, at = fingerprints(w)
             hashes.append(h)
