@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +17,34 @@ BANDS = 4
 def url_duplicates(rows: DataFrame, url: str, at: str, tie: str, ttl_seconds: int) -> DataFrame:
     """rows with `duplicate`: the URL was taken up less than or exactly ttl seconds before (0: ever).
 
-    Only taken-up rows start a new period, so a run of visits is decided in order within its URL; the
-    events of one URL are folded by an aggregate over their sorted times, not by Python.
+    A pause beyond the ttl always starts anew, so runs between such pauses are independent; the rows of a
+    run are walked in order in Arrow batches with one number of state, and the runs of one busy URL spread over
+    tasks. A null URL is a URL of its own; a null time is no duplicate and takes nothing up.
     """
     seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
     w = Window.partitionBy(url).orderBy(at, tie)
     if ttl_seconds == 0:
         return rows.withColumn("duplicate", F.row_number().over(w) > 1)
-    gap = seconds - F.lag(seconds).over(w)
-    # a pause beyond the ttl always starts anew, so runs between pauses are independent and short
-    run = rows.withColumns({"__s": seconds, "__new": F.coalesce(gap > ttl_seconds, F.lit(True)).cast("int")}).withColumn("__run", F.sum("__new").over(w))
-    order = F.array_sort(F.collect_list(F.struct("__s", F.col(tie).alias("__t"))))
-    folded = run.groupBy(url, "__run").agg(order.alias("__v"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:{dict(rows.dtypes)[tie]},d:boolean>>").alias("out"))
-    fold = F.aggregate(
-        "__v",
-        start,
-        lambda s, x: F.struct(
-            F.when(s["last"].isNull() | (x["__s"] - s["last"] > ttl_seconds), x["__s"]).otherwise(s["last"]).alias("last"),
-            F.concat(s["out"], F.array(F.struct(x["__t"].alias("t"), (s["last"].isNotNull() & (x["__s"] - s["last"] <= ttl_seconds)).alias("d")))).alias("out"),
-        ),
-    )
-    flags = folded.select(F.col(url).alias("__u"), F.explode(fold["out"]).alias("x")).select("__u", F.col("x.t").alias("__tie"), F.col("x.d").alias("duplicate"))
-    return rows.join(flags, (rows[url] == flags["__u"]) & (rows[tie] == flags["__tie"])).drop("__u", "__tie")
+    keyed = rows.select(F.col(url).cast("string").alias("__u"), F.col(tie).alias("__tie"), seconds.alias("__s")).where("__s is not null")
+    hour = Window.partitionBy("__u").orderBy("__s", "__tie")
+    gap = F.col("__s") - F.lag("__s").over(hour)
+    run = keyed.withColumn("__new", F.coalesce(gap > ttl_seconds, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(hour))
+    kind = dict(keyed.dtypes)["__tie"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        for b in batches:
+            out = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                again = last is not None and last[:2] == key[:2] and key[2] - last[2] <= ttl_seconds
+                out.append(again)
+                last = last if again else key
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.bool_())], names=["__u", "__tie", "duplicate"])
+
+    ordered = run.select("__u", "__run", "__tie", "__s").repartition("__u", "__run").sortWithinPartitions("__u", "__run", "__s", "__tie")
+    flags = ordered.mapInArrow(walk, f"__u string, __tie {kind}, duplicate boolean")
+    joined = rows.join(flags, rows[url].cast("string").eqNullSafe(flags["__u"]) & rows[tie].eqNullSafe(flags["__tie"]), "left")
+    return joined.withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("__u", "__tie")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str, text: str) -> DataFrame:

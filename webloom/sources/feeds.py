@@ -171,7 +171,7 @@ def capture_rows(responses: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, original, timestamp, status, mimetype, digest) of a capture API's array-of-arrays answer, columns found by header name."""
     table = F.from_json(F.col(json_col), "array<array<string>>")
     rows = responses.select(F.col(id_col).alias("id"), table.alias("t")).where(F.size("t") > 1)
-    rows = rows.select("id", F.col("t")[0].alias("h"), F.explode(F.slice("t", 2, 1_000_000)).alias("r"))
+    rows = rows.select("id", F.col("t")[0].alias("h"), F.explode(F.slice("t", F.lit(2), F.size("t") - 1)).alias("r"))
     get = lambda *names: F.coalesce(*[F.when(F.array_position("h", n) > 0, F.get("r", (F.array_position("h", n) - 1).cast("int"))) for n in names])
     return rows.select("id", get("original", "url").alias("original"), get("timestamp").alias("timestamp"), get("statuscode", "status").try_cast("int").alias("status"), get("mimetype", "mime").alias("mimetype"), get("digest").alias("digest"))
 
