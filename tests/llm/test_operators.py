@@ -97,8 +97,8 @@ def test_net_flow_equals_all_pairs(spark, monkeypatch, cell_rows):
     rows = [(q, i, make(), make(), rng.choice([None, rng.randrange(1, 60)]), 0.5) for q in (1, 2, None) for i in range(60 if q else 1)] + [(3, 0, None, None, None, 0.1)]
     df = spark.createDataFrame(rows, "q long, i long, a double, b double, r long, net_flow double")
     scores = {"a": (True, 1.0), "b": (True, 2.0), "r": (False, 1.0)}
-    monkeypatch.setattr(outranking.flows, "__defaults__", (cell_rows,))
-    got = {(r.q, r.i): (r.net_flow, r.final_rank) for r in outranking.outrank(df, "q", "i", scores, 0.5, 0.02).collect()}
+
+    got = {(r.q, r.i): (r.net_flow, r.final_rank) for r in outranking.outrank(df, "q", "i", scores, 0.5, 0.02, cell_rows=cell_rows).collect()}
     assert len(got) == len(rows)
     for q in (1, 2):
         own = [r for r in rows if r[0] == q]
