@@ -315,6 +315,20 @@ def test_sainte_lague_equals_the_plain_rule(ws, seats, caps):
     assert mixing.sainte_lague(weights, seats, limits) == plain_sainte_lague(weights, seats, limits)
 
 
+@pytest.mark.parametrize(("shards", "share"), [(1, 0.4), (40, 0.03), (40, 0.97), (300, 0.001), (300, 1.0)])
+def test_shards_are_apportioned_as_by_the_plain_rule(spark, shards, share):
+    rng = random.Random(shards)
+    tokens = {("a", i): rng.choice([5, 700, 9_000, 9_100, 200_000]) for i in range(shards)} | {("b", i): 3_000 for i in range(7)}
+    block = 64
+    seats = {s: round(share * sum(t for (x, _), t in tokens.items() if x == s) / block) for s in "ab"}
+    df = spark.createDataFrame([(s, i, t, seats[s]) for (s, i), t in tokens.items()], "source string, shard int, t long, seats long")
+    got = {(r.source, r.shard): r.given for r in mixing.shard_seats(df, block).collect()}
+    for s in "ab":
+        own = {i: t for (x, i), t in tokens.items() if x == s}
+        want = mixing.sainte_lague({i: float(t) for i, t in own.items()}, seats[s], {i: -(-t // block) for i, t in own.items()})
+        assert {i: got[s, i] for i in own} == want
+
+
 @pytest.mark.parametrize("shard_tokens", [4_000_000, 2_000])
 def test_mixture_shares(spark, shard_tokens):
     rng = random.Random(6)

@@ -9,9 +9,10 @@ rounds first, then a part. A document belongs to the part if its middle does. Do
 lie on a line of their own and are drawn first; the short ones fill what those leave, so that a share is
 missed by less than a block where a shard has short documents.
 
-Only sums over (source, shard) reach the driver: as many rows as sources times shards, where the number
-of shards follows the tokens (SHARD_TOKENS each); the document table stays distributed, a hot source is
-spread over its shards, and token counts are computed once and staged.
+Only one row a source reaches the driver. Shards, whose number follows the tokens (SHARD_TOKENS each), are
+apportioned inside Spark: the seats that a shard surely has and the few quotients near the threshold follow from
+the source's sums, and an exact rank of those quotients decides. The document table stays distributed, a hot
+source is spread over its shards, and token counts are computed once and staged.
 
 Defined results: source names ignore case and outer blanks; null sources, sources without target and
 documents without tokens take no part; a target without documents is reported with share 0 and its weight
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import tokens as T
+from webloom.operators.group_rank import exact_rank
 from webloom.session import stage_table
 
 SHARD_TOKENS = 4_000_000
@@ -75,6 +77,25 @@ def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
     return got
 
 
+def shard_seats(shards: DataFrame, block: int) -> DataFrame:
+    """(source, shard, given): the seats of a source dealt to its shards by Sainte-Lague over their tokens, none beyond its blocks.
+
+    shards: source, shard, t (tokens), seats (of the whole source, at most its tokens / block). With N shards,
+    scaling the quotas by 1 - 1.5 N / seats deals too few seats and by 1 + 1.5 N / seats enough, so only about
+    3 N quotients are in doubt; they are ranked exactly, in cells where a source has many shards.
+    """
+    sums = shards.groupBy("source").agg(F.sum("t").alias("all_t"), F.count(F.lit(1)).alias("n"))
+    x = F.col("seats") * F.col("t") / F.col("all_t")
+    margin = 1.5 * F.col("n") / F.greatest(F.col("seats"), F.lit(1))
+    most = F.ceil(F.col("t") / block)
+    band = shards.join(sums, "source").withColumns({"low": F.greatest(F.lit(0), F.least(most, F.floor(x * (1 - margin) - 0.5))).cast("long"), "high": F.least(most, F.ceil(x * (1 + margin)) + 1).cast("long")})
+    doubtful = band.where((F.col("high") > F.col("low")) & (F.col("seats") > 0)).select("source", "shard", "t", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("j"))
+    ranked = exact_rank(doubtful.select("source", "shard", (F.col("t") / (2 * F.col("j") + 1)).alias("quotient")), ["source"], "quotient", "shard", out="place")
+    left = band.groupBy("source").agg((F.first("seats") - F.sum("low")).alias("left"))
+    won = ranked.join(left, "source").where(F.col("place") <= F.col("left")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("won"))
+    return band.join(won, ["source", "shard"], "left").select("source", "shard", (F.col("low") + F.coalesce("won", F.lit(0))).alias("given"))
+
+
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [T.count(t.as_py(), tokenizer) for t in batch.column(2)]
@@ -103,41 +124,33 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     weight = {r.source: max(0.0, r.w or 0.0) for r in rows}
     cap = {r.source: max(0, r.cap if r.cap is not None else 1) for r in rows}
     sizes = stage_table(token_sizes(docs, tokenizer=tokenizer), "mix-sizes")
+    sums = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).where(F.col("source").isin(list(weight)) if weight else F.lit(False))
     all_tokens = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    shards = max(1, round(all_tokens / shard_tokens))
-    sharded = sizes.withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"), "long": F.col("n_tokens") > block})
-    sums = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t"), F.sum(F.when(F.col("long"), F.col("n_tokens")).otherwise(0)).alias("tl")).where(F.col("source").isin(list(weight)) if weight else F.lit(False)).collect()
-    have: dict[str, dict[int, int]] = {}
-    in_long: dict[tuple[str, int], int] = {}
-    for r in sums:
-        have.setdefault(r.source, {})[r.shard] = r.t
-        in_long[r.source, r.shard] = r.tl
-    total_of = {s: sum(x.values()) for s, x in have.items()}
+    total_of = {r.source: r.t for r in sums.collect()}
     live = {s: w for s, w in weight.items() if w > 0 and cap[s] > 0 and total_of.get(s)}
     norm = sum(live.values())
     reach = min((cap[s] * total_of[s] * norm / w for s, w in live.items()), default=0.0)
     total = reach if total_tokens is None else total_tokens
     quota = sainte_lague(live, round(total / block), {s: cap[s] * total_of[s] // block for s in live})
-    plan = []
-    for s in live:
-        parts = have[s]
-        whole, rest = divmod(quota[s] * block, total_of[s])
-        share = sainte_lague({h: float(t) for h, t in parts.items()}, round(rest / block), {h: -(-t // block) for h, t in parts.items()})
-        plan += [(s, h, int(whole), int(share[h] * block)) for h in parts]
-    spark = docs.sparkSession
-    ddl = "source string, shard int, long boolean, whole long, part long"
-
-    def placed(quotas: list[tuple]) -> DataFrame:
-        """Documents of the given quotas with `part_taken`: their middle lies within the part of their line."""
-        line = Window.partitionBy("source", "shard", "long").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        joined = sharded.join(spark.createDataFrame(quotas, ddl), ["source", "shard", "long"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(line), F.lit(0)))
-        return joined.withColumn("part_taken", F.when(F.col("before") + F.col("n_tokens") / 2 <= F.col("part"), 1).otherwise(0))
-
+    parts = [(s, *divmod(quota[s] * block, total_of[s])) for s in live]
+    sources = docs.sparkSession.createDataFrame([(s, int(whole), round(rest / block)) for s, whole, rest in parts], "source string, whole long, seats long")
+    shards = max(1, round(all_tokens / shard_tokens))
+    sharded = sizes.join(sources, "source").withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"), "long": F.col("n_tokens") > block})
+    own = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t"), F.first("seats").alias("seats"))
+    given = shard_seats(own, block).select("source", "shard", (F.col("given") * block).alias("part"))
+    # all windows share one exchange by (source, shard)
+    lines = sharded.join(given, ["source", "shard"])
+    line = Window.partitionBy("source", "shard", "long").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source", "shard")
+    size = F.col("n_tokens")
+    lines = lines.withColumns({"t": F.sum("n_tokens").over(every), "tl": F.sum(F.when(F.col("long"), size).otherwise(0)).over(every)})
+    lines = lines.withColumn("before", F.coalesce(F.sum("n_tokens").over(line), F.lit(0)))
+    within = lambda part: F.when(F.col("before") + size / 2 <= part, 1).otherwise(0)
     # documents longer than a block have a line of their own; what they miss or pass their part by, the short ones make up
-    longs = [(s, h, True, w, round(p * in_long[s, h] / max(1, have[s][h]))) for s, h, w, p in plan]
-    drawn_long = {(r.source, r.shard): r.t for r in placed(longs).groupBy("source", "shard").agg(F.sum(F.col("n_tokens") * F.col("part_taken")).alias("t")).collect()}
-    shorts = [(s, h, False, w, max(0, p - (drawn_long.get((s, h)) or 0))) for s, h, w, p in plan]
-    out = placed(longs + shorts).withColumn("repeats", (F.col("whole") + F.col("part_taken")).cast("long")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    lines = lines.withColumn("long_taken", F.when(F.col("long"), within(F.round(F.col("part") * F.col("tl") / F.col("t")))).otherwise(0))
+    lines = lines.withColumn("drawn_long", F.sum(size * F.col("long_taken")).over(every))
+    taken = F.when(F.col("long"), F.col("long_taken")).otherwise(within(F.greatest(F.lit(0), F.col("part") - F.col("drawn_long"))))
+    out = lines.withColumn("repeats", (F.col("whole") + taken).cast("long")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     got = {r.source: r for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.max("repeats").alias("m")).collect()}
     drawn = sum(r.t for r in got.values())
     all_weight = sum(weight.values()) or 1.0
