@@ -137,7 +137,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     shards = max(1, round(all_tokens / shard_tokens))
     sharded = sizes.join(sources, "source").withColumns({"shard": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"), "long": F.col("n_tokens") > block})
     own = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t"), F.first("seats").alias("seats"))
-    given = shard_seats(own, block).select("source", "shard", (F.col("given") * block).alias("part"))
+    # one row a shard; written once, since report and documents both read it
+    given = stage_table(shard_seats(own, block).select("source", "shard", (F.col("given") * block).alias("part")), "mix-shards")
     # all windows share one exchange by (source, shard)
     lines = sharded.join(given, ["source", "shard"])
     line = Window.partitionBy("source", "shard", "long").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
