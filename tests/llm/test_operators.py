@@ -276,14 +276,14 @@ LEAKS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 100])
 def test_leaks(spark, limit):
     docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(LEAKS)] + [(100, ITEM, "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, "short item"), (4, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaked(docs, items, max_item_bytes=limit).collect()}
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked(docs, items, block_bytes=limit).collect()}
     assert got == {(i, 1) for i, (_, want) in enumerate(LEAKS) if want} | {(100, 1)}
-    assert leakage.leaked(docs, items.limit(0), max_item_bytes=limit).count() == 0
-    assert leakage.leaked(docs.limit(0), items, max_item_bytes=limit).count() == 0
+    assert leakage.leaked(docs, items.limit(0), block_bytes=limit).count() == 0
+    assert leakage.leaked(docs.limit(0), items, block_bytes=limit).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -294,6 +294,24 @@ def test_winnowing_guarantee(a, b, shared):
     assert set(one[0].tolist()) & set(two[0].tolist())
 
 
+def test_hot_phrase_and_giant_item(spark, monkeypatch):
+    rng = random.Random(2)
+    giant = [f"w{rng.randrange(9000)}" for _ in range(50_000)]
+    hot = "one of the most of the one of the most of the one of the most"
+    items = [(1, " ".join(giant))] + [(i, f"{hot} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i} l{i} m{i} n{i} o{i} p{i}") for i in range(2, 300)]
+    docs = [(1, " ".join(giant[31_000:31_015])), (2, " ".join(giant[40_000:40_014])), (3, f"{hot} " * 400 + items[7][1]), (4, " ".join(items[9][1].split()[14:])), (5, " ".join(giant)), (6, "of the one")]
+    monkeypatch.setattr(leakage, "EXPANDED", 5_000)
+    block = leakage.Items(items)
+    got = set(block.found_in([t for _, t in docs]))
+    assert got >= {(0, 1), (2, 8), (3, 10), (4, 1)} and not {t for t, _ in got} & {1, 5}
+    # the hot phrase alone has 15 words, so documents that hold it whole hold a passage of every item with it
+    assert {i for t, i in got if t == 2} == set(range(2, 300)) and {i for t, i in got if t == 3} == {10}
+    monkeypatch.setattr(leakage, "EXPANDED", 1 << 40)
+    monkeypatch.setattr(leakage, "TILE_ROWS", 1 << 40)
+    monkeypatch.setattr(leakage, "TILE_DIAGONALS", 1 << 40)
+    assert set(block.found_in([t for i, t in docs if i != 5])) == {(t - (t > 4), i) for t, i in got if t != 4}
+
+
 # --- 9: mixing
 
 
