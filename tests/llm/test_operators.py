@@ -419,11 +419,36 @@ def test_pieces(spark, plan):
     assert sum(TEXTS[r.doc_id].encode()[: r.end_byte].decode().rstrip(" ")[-1] in ".\n" for r in natural) >= 0.9 * len(natural)
 
 
-def test_ranges_give_the_same_pieces(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:6])], "doc_id long, text string")
-    whole = {(r.doc_id, r.piece_no, r.start_byte, r.end_byte) for r in splitting.split_texts(docs).collect()}
-    ranged = {(r.doc_id, r.piece_no, r.start_byte, r.end_byte) for r in splitting.split_texts(docs, plan=splitting.Plan(range_bytes=9_000)).collect()}
-    assert whole == ranged
+WALLS = [*TEXTS[3:], "".join(random.Random(9).choice("ab,1'.!é的") for _ in range(60_000)), "a" * 30_000, ("x1'" * 9_000) + " " + "?" * 9_000, long_text(3000, 8, "wall") + "\n\n" + long_text(4000, 9)]
+
+
+def test_the_size_of_ranges_changes_nothing(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(WALLS)), "doc_id long, text string")
+    shown = lambda rows, k: {(r[k], r.piece_no, r.start_byte, r.end_byte, r.text) for r in rows.collect()}
+    whole = shown(splitting.split_texts(docs, plan=splitting.Plan(range_bytes=1 << 20)), "doc_id")
+    assert {i for i, *_ in whole} == {i for i, t in enumerate(WALLS) if T.count(t) > 2048}
+    for size in (9_000, 16_384, 20_000):
+        assert shown(splitting.split_texts(docs, plan=splitting.Plan(range_bytes=size)), "doc_id") == whole
+    paths = []
+    for i, t in enumerate(WALLS):
+        (tmp_path / f"{i}.txt").write_text(t, newline="")
+        paths.append(str(tmp_path / f"{i}.txt"))
+    assert shown(splitting.split_files(spark, paths, splitting.Plan(range_bytes=20_000)), "file_no") == whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1'., \n\u00a0é的'sT", max_size=80), st.integers(0, 200))
+def test_tokens_start_afresh(text, at):
+    data = text.encode()
+    a = splitting.fresh_start(lambda x, y: data[x:y], min(at, len(data)), len(data), halo=4)
+    assert a >= min(at, len(data))
+    assert T.encode(data[:a].decode()).tolist() + T.encode(data[a:].decode()).tolist() == T.encode(text).tolist()
+
+
+def test_prefix_sums_in_blocks(spark):
+    rows = spark.createDataFrame([(k, i, (i * 7) % 5) for k in (1, 2) for i in range(50)], "k long, i long, v long")
+    got = {(r.k, r.i): r.s for r in splitting.prefix_sums(rows, "k", "i", "v", "s", block=8).collect()}
+    assert got == {(k, i): sum((j * 7) % 5 for j in range(i)) for k in (1, 2) for i in range(50)}
 
 
 def test_files(spark, tmp_path):

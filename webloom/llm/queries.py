@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import capping, knn, leakage, main_content, mixing, outranking, repeated_lines, residue, splitting
 from webloom.registry import Registry
+from webloom.session import shared_dir
 from webloom.tables import load
 
 registry = Registry()
@@ -176,3 +179,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their pieces."""
     return splitting.split_texts(load(spark, sf_dir, "documents"))
+
+
+@registry.query("p10_file_pieces")
+def p10_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as plain text files, and these cut range by range as files of any size are."""
+    folder = f"{shared_dir(spark)}/webloom-texts-{uuid.uuid4().hex}"
+    load(spark, sf_dir, "documents").where("text is not null").select("text").write.text(folder)
+    pieces = splitting.split_files(spark, sorted(spark.read.text(folder).inputFiles()))
+    return pieces.select("file_no", "piece_no", "start_byte", "end_byte", "n_tokens", F.md5("text").alias("digest"))

@@ -1,13 +1,18 @@
 """Items beyond a token limit, cut at natural boundaries into overlapping pieces.
 
-A text is handled in byte ranges with a halo. Each range moves both its ends to the next place where the
-tokenizer starts afresh (white space after a word), so every range knows its tokens without its
-neighbours; it emits its token count and a table of possible cuts (paragraph, line, sentence, word).
-Prefix sums of the counts stitch the tables. The k-th cut is the best boundary of the k-th cell of the
-token axis, (k * stride - slack, k * stride], and so depends on no other cut: all cuts of a giant file are
-chosen in parallel. A piece is the text between two cuts, led by the last `overlap` tokens of the one before;
-it is emitted from its byte offsets. Texts of up to one range are done in one narrow stage, larger ones
-and files by ranges; both go through the same functions and give the same pieces.
+Every text is handled in byte ranges. A range moves both its ends to the next place where the tokenizer
+starts afresh whatever stands before (`fresh_start`; the halo it looks in grows until there is one), so it knows
+its tokens without its neighbours. Token counts of ranges are stitched by prefix sums. The k-th cut is the best
+boundary (paragraph, line, sentence, word, character; the last of the best) of the k-th cell of the token axis,
+(k * stride - slack, k * stride], and so depends on no other cut: a range that knows the tokens before it names
+the best boundary of each of its cells, and the best of a cell over the ranges that share it is the cut. A piece
+is the text between two cuts, led by the last `overlap` tokens of the one before; it is emitted from its byte
+offsets. The size of the ranges changes nothing in the result.
+
+A text in a row is in one task's memory already, so its ranges follow one another there and nothing is shuffled
+(`split_texts`). Files of any size are spread over tasks range by range and read only where a range or a
+piece needs bytes (`split_files`): one pass counts, one pass over the counted ranges finds the cuts, and only
+counts and one row a cell and range are exchanged.
 
 No token is lost: without the overlaps the pieces are the text. Every piece encoded on its own has at most
 `limit` tokens; the few that a fresh start inflates beyond it are halved. An overlap that would begin inside
@@ -20,26 +25,34 @@ between characters. Files must be UTF-8.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import tokens as T
+from webloom.session import stage_table
 
 SLACK_FOR_RESTART = 16
-BUCKET = 32
-HALO = 4096
+HALO = 1024
+RANGE_BYTES, FILE_RANGE_BYTES = 16 << 10, 256 << 10
+BLOCK_RANGES = 4096
+FLUSH_BYTES = 8 << 20
 _BREAKS = (
     (4, re.compile(rb"\n[ \t\r]*\n\s*")),
     (3, re.compile(rb"\n")),
-    (2, re.compile(rb"[.!?\xe2\x80\xa6][\"')\]\xbb\x9d\x99]*(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")),
+    (2, re.compile(rb"(?:[.!?]|\xe2\x80\xa6)(?:[\"')\]]|\xc2\xbb|\xe2\x80[\x99\x9d])*(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")),
 )
-_SPACE = re.compile(rb"[ \t\n\r]")
+# places where the tokenizer's pattern ends a match whatever came before: white space after a sign, and changes of the
+# kind of sign (an apostrophe may open a contraction with the letter after it)
+_FRESH = regex.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+
+Read = Callable[[int, int], bytes]
 
 
 @dataclass(frozen=True)
@@ -47,7 +60,7 @@ class Plan:
     limit: int = 2048
     overlap: int = 128
     tokenizer: str = T.RANKS
-    range_bytes: int = 256 << 10
+    range_bytes: int = RANGE_BYTES
 
     @property
     def room(self) -> int:
@@ -70,69 +83,75 @@ class Plan:
         return 0 if total <= self.limit else -(-total // self.stride) - 1
 
 
-def fresh_start(data: bytes, base: int, at: int, size: int, halo: int = HALO) -> int:
-    """The first byte >= at of a text of `size` bytes where tokenisation starts afresh; data holds it from `base` on."""
+def fresh_start(read: Read, at: int, size: int, halo: int = HALO) -> int:
+    """The first byte >= at of a text of `size` bytes where tokenisation starts afresh. read(start, end) gives its bytes."""
     if at <= 0:
         return 0
-    if at >= size:
-        return size
-    for m in _SPACE.finditer(data, at - base, min(len(data), at - base + halo)):
-        i = m.start()
-        if i == 0:
-            continue
-        j = i - 1
-        while j > 0 and data[j] & 0xC0 == 0x80:
-            j -= 1
-        if not data[j:i].decode("utf-8", "ignore").isspace() and data[j:i].strip():
-            return base + i
-    i = at - base
-    while i < len(data) and data[i] & 0xC0 == 0x80:
-        i += 1
-    return base + i
-
-
-def scan(part: bytes, plan: Plan) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Token count of a part, and its possible cuts: tokens before, bytes before, quality 0 (between characters) to 4 (paragraph)."""
+    base = max(0, at - 8)
+    while at < size:
+        data = read(base, min(size, at + halo))
+        skip = next(i for i in range(len(data)) if data[i] & 0xC0 != 0x80)
+        text = data[skip:].decode("utf-8", "ignore")
+        known = len(data[skip : at - base].decode("utf-8", "ignore"))
+        for m in _FRESH.finditer(text, max(1, known)):
+            found = base + skip + len(text[: m.start()].encode("utf-8"))
+            if found >= at:
+                return found
+        if at + halo >= size:
+            break
+        halo *= 4
+    return size
+
+
+def counted(part: bytes, plan: Plan) -> int:
+    return T.count(part.decode("utf-8"), plan.tokenizer)
+
+
+def boundaries(part: bytes, follow: bytes, plan: Plan) -> tuple[int, np.ndarray, np.ndarray]:
+    """Token count of a part, and of every token its end byte and the quality of a cut there: -1 inside a character, 0 between characters, up to 4 for a paragraph.
+
+    follow: the byte after the part, none at the end of the text.
+    """
     ids = T.encode(part.decode("utf-8"), plan.tokenizer)
     ends = np.cumsum(T.lengths(plan.tokenizer)[ids])
-    n = len(ids)
-    if n == 0:
-        return 0, *(np.empty(0, np.int64),) * 3
-    raw = np.frombuffer(part + b" ", np.uint8)
-    nxt = raw[ends]
+    if not len(ids):
+        return 0, ends, np.empty(0, np.int8)
+    seen = part + (follow or b" ")
+    nxt = np.frombuffer(seen, np.uint8)[ends]
     whole = (nxt & 0xC0) != 0x80  # a token may end inside a character
     quality = np.where(whole, 0, -1).astype(np.int8)
     quality[whole & ((nxt == 32) | (nxt == 10))] = 1
     for level, rx in reversed(_BREAKS):
-        at = np.fromiter((m.end() for m in rx.finditer(part)), np.int64)
+        at = np.fromiter((m.end() for m in rx.finditer(seen) if m.end() <= len(part)), np.int64)
         i = np.searchsorted(ends, at, "right") - 1
         i = i[i >= 0]
         i = i[whole[i]]
         quality[i] = np.maximum(quality[i], level)
-    keep = quality >= 2
-    # of words and characters the last of every bucket is enough for any cell
-    bucket = np.arange(n) // BUCKET
-    for level in (0, 1):
-        i = np.flatnonzero(quality == level)
-        if len(i):
-            last = np.flatnonzero(np.append(bucket[i][1:] != bucket[i][:-1], True))
-            keep[i[last]] = True
-    i = np.flatnonzero(keep)
-    return n, i + 1, ends[i], quality[i].astype(np.int64)
-
-
-def choose(total: int, before: np.ndarray, offset: np.ndarray, quality: np.ndarray, plan: Plan) -> list[int]:
-    """Byte offsets of the cuts of a text whose whole boundary table is at hand."""
-    k = plan.cuts(total)
-    if not k:
-        return []
-    cell = -(-before // plan.stride)
-    ok = (before > cell * plan.stride - plan.slack) & (cell >= 1) & (cell <= k)
-    c, b, o, q = cell[ok], before[ok], offset[ok], quality[ok]
-    order = np.lexsort((b, q, c))
-    c, o = c[order], o[order]
-    last = np.flatnonzero(np.append(c[1:] != c[:-1], True)) if len(c) else np.empty(0, int)
-    return [int(x) for x in o[last]]
+    return len(ids), ends, quality
+
+
+def best_of_cells(part: bytes, follow: bytes, base: int, before: int, plan: Plan) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Token count of a part that begins at byte `base` after `before` tokens, and (cell, quality, tokens, byte) of the best boundary of each cell in it."""
+    n, ends, quality = boundaries(part, follow, plan)
+    at = before + 1 + np.arange(n)
+    cell = -(-at // plan.stride)
+    i = np.flatnonzero((at > cell * plan.stride - plan.slack) & (quality >= 0))
+    i = i[np.lexsort((at[i], quality[i], cell[i]))]
+    last = i[np.append(cell[i][1:] != cell[i][:-1], True)] if len(i) else i
+    return n, [(int(cell[j]), int(quality[j]), int(at[j]), base + int(ends[j])) for j in last]
+
+
+def cuts_of(read: Read, size: int, plan: Plan) -> list[int]:
+    """Byte offsets of the cuts of a text, range after range with the tokens summed up on the way."""
+    best: dict[int, tuple[int, int, int]] = {}
+    total, a = 0, 0
+    for no in range(-(-size // plan.range_bytes)):
+        b = max(a, fresh_start(read, min(size, (no + 1) * plan.range_bytes), size))
+        n, found = best_of_cells(read(a, b), read(b, min(size, b + 1)), a, total, plan)
+        for cell, *rest in found:
+            best[cell] = max(best.get(cell, (-1, 0, 0)), tuple(rest))
+        total, a = total + n, b
+    return [best[c][2] for c in sorted(best) if c <= plan.cuts(total)]
 
 
 def lead(body: bytes, plan: Plan) -> int:
@@ -168,55 +187,28 @@ _PIECE = pa.schema([("row_id", pa.int64()), ("cut_no", pa.int64()), ("half", pa.
 _PIECE_DDL = "row_id long, cut_no long, half int, start_byte long, end_byte long, n_tokens int, text string"
 
 
-def _whole(batches: Iterator[pa.RecordBatch], plan: Plan, texts: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = text.as_py().encode("utf-8")
-            total, before, offset, quality = scan(data, plan)
-            cuts = choose(total, before, offset, quality, plan)
-            if cuts:
-                rows += _cut(row, data, cuts, plan, texts)
-            if len(rows) > 4_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
-                rows = []
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECE), _PIECE, strict=True)], schema=_PIECE)
-
-
-def _cut(row: int, data: bytes, cuts: list[int], plan: Plan, texts: bool) -> list[tuple]:
-    edges = [0, *cuts, len(data)]
-    out = []
-    for k in range(len(edges) - 1):
-        if not texts:
-            out.append((row, len(out), 0, edges[k], edges[k + 1], None, None))
-            continue
-        before = data[edges[k - 1] : edges[k]] if k else b""
-        for a, b, text, n in pieces_between(before, data[edges[k] : edges[k + 1]], edges[k], plan):
-            out.append((row, len(out), 0, a, b, n, text))
-    return out
-
-
-_RANGE = pa.schema([("row_id", pa.int64()), ("range_no", pa.int64()), ("size", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
-_RANGE_DDL = "row_id long, range_no long, size long, base long, data binary"
-
-
-def _ranges(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = text.as_py().encode("utf-8")
-            for no, at in enumerate(range(0, len(data), plan.range_bytes)):
-                base = max(0, at - 4)
-                window = data[base : at + plan.range_bytes + HALO]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row, no, len(data), base, window), _RANGE, strict=True)], schema=_RANGE)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECE), _PIECE, strict=True)], schema=_PIECE)
 
 
-def _file_ranges(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, uri, no, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            at = no * plan.range_bytes
-            base = max(0, at - 4)
-            data = read_bytes(uri, base, min(size, at + plan.range_bytes + HALO))
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row, no, size, base, data), _RANGE, strict=True)], schema=_RANGE)
+        rows, held = [], 0
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = text.as_py().encode("utf-8")
+            cuts = cuts_of(lambda a, b, data=data: data[a:b], len(data), plan)
+            if not cuts:
+                continue
+            edges, no = [0, *cuts, len(data)], 0
+            for k in range(len(edges) - 1):
+                before = data[edges[k - 1] : edges[k]] if k else b""
+                for a, b, piece, n in pieces_between(before, data[edges[k] : edges[k + 1]], edges[k], plan):
+                    rows.append((row, no, 0, a, b, n, piece))
+                    no, held = no + 1, held + b - a
+                if held > FLUSH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        yield _batch(rows)
 
 
 def read_bytes(uri: str, start: int, end: int) -> bytes:
@@ -226,37 +218,51 @@ def read_bytes(uri: str, start: int, end: int) -> bytes:
         return f.read_at(end - start, start)
 
 
-_TABLE_DDL = "row_id long, range_no long, size long, n_tokens long, cuts array<struct<before:long,offset:long,quality:long>>"
-_CUTS = pa.list_(pa.struct([("before", pa.int64()), ("offset", pa.int64()), ("quality", pa.int64())]))
+def _range(uri: str, no: int, size: int, plan: Plan) -> tuple[int, int]:
+    read = lambda a, b: read_bytes(uri, a, b)
+    return tuple(fresh_start(read, min(size, at * plan.range_bytes), size) for at in (no, no + 1))
 
 
-def _tables(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+def _count_ranges(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, no, size, base, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            a = fresh_start(data, base, no * plan.range_bytes, size)
-            b = fresh_start(data, base, min(size, (no + 1) * plan.range_bytes), size)
-            n, before, offset, quality = scan(data[a - base : max(a, b) - base], plan)
-            cuts = [{"before": int(x), "offset": int(y) + a, "quality": int(z)} for x, y, z in zip(before, offset, quality, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row], pa.int64()), pa.array([no], pa.int64()), pa.array([size], pa.int64()), pa.array([n], pa.int64()), pa.array([cuts], _CUTS)],
-                names=["row_id", "range_no", "size", "n_tokens", "cuts"],
-            )
-
-
-def stitched_cuts(ranges: DataFrame, plan: Plan) -> DataFrame:
-    """(row_id, size, cut_no, offset): the cuts of texts given in ranges, chosen cell by cell after a prefix sum of token counts."""
+        out = []
+        for row, uri, no, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            a, b = _range(uri, no, size, plan)
+            out.append((row, uri, no, size, a, b, counted(read_bytes(uri, a, b), plan)))
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=["row_id", "uri", "range_no", "size", "a", "b", "n_tokens"])
+
+
+def _cut_ranges(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row, uri, size, a, b, first in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            data = read_bytes(uri, a, min(size, b + 1))
+            out += [(row, *x) for x in best_of_cells(data[: b - a], data[b - a :], a, first, plan)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["row_id", "cell", "quality", "at", "offset"])
+
+
+def prefix_sums(rows: DataFrame, key: str, order: str, value: str, out: str, block: int = BLOCK_RANGES) -> DataFrame:
+    """rows with `out`, the sum of value over the key's rows before: within blocks of the order, and over blocks; no window holds a whole key."""
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / block))
+    sums = blocked.groupBy(key, "__block").agg(F.sum(value).alias("__s"))
+    ahead = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "__block", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = blocked.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [key, "__block"])
+    return summed.withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__before", "__block")
+
+
+def file_cuts(ranges: DataFrame, plan: Plan) -> DataFrame:
+    """(row_id, size, cut_no, offset): the cuts of files given as ranges (row_id, uri, range_no, size)."""
     spread = ranges.repartition("row_id", "range_no")
-    tables = spread.mapInArrow(lambda it: _tables(it, plan), _TABLE_DDL)
-    before = Window.partitionBy("row_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    # one small row a range: a terabyte in 256 KB ranges is four million
-    counted = tables.withColumns({"first": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "total": F.sum("n_tokens").over(Window.partitionBy("row_id"))})
-    cuts = counted.where(F.col("total") > plan.limit).select("row_id", "size", "total", "first", F.explode("cuts").alias("c"))
-    at = F.col("first") + F.col("c.before")
-    cell = F.ceil(at / plan.stride)
-    placed = cuts.select("row_id", "size", "total", at.alias("at"), cell.cast("long").alias("cell"), "c.offset", "c.quality")
-    placed = placed.where((F.col("at") > F.col("cell") * plan.stride - plan.slack) & F.col("cell").between(F.lit(1), F.ceil(F.col("total") / plan.stride) - 1))
-    best = placed.groupBy("row_id", "cell").agg(F.max(F.struct("quality", "at", "offset")).alias("b"), F.first("size").alias("size"))
-    return best.select("row_id", "size", F.col("cell").alias("cut_no"), F.col("b.offset").alias("offset"))
+    counts = stage_table(spread.mapInArrow(lambda it: _count_ranges(it, plan), "row_id long, uri string, range_no long, size long, a long, b long, n_tokens long"), "range-counts")
+    totals = counts.groupBy("row_id").agg(F.sum("n_tokens").alias("total"), F.max("size").alias("size")).where(F.col("total") > plan.limit)
+    known = prefix_sums(counts.join(totals.select("row_id"), "row_id", "left_semi"), "row_id", "range_no", "n_tokens", "first")
+    cells = known.repartition("row_id", "range_no").select("row_id", "uri", "size", "a", "b", "first").mapInArrow(lambda it: _cut_ranges(it, plan), "row_id long, cell long, quality long, at long, offset long")
+    best = cells.groupBy("row_id", "cell").agg(F.max(F.struct("quality", "at", "offset")).alias("b"))
+    cuts = best.join(totals, "row_id").where(F.col("cell") < F.ceil(F.col("total") / plan.stride))
+    return cuts.select("row_id", "size", F.col("cell").alias("cut_no"), F.col("b.offset").alias("offset"))
 
 
 def _edges(cuts: DataFrame) -> DataFrame:
@@ -269,15 +275,6 @@ def _edges(cuts: DataFrame) -> DataFrame:
     return piece.select("row_id", "cut_no", "e0", "e1", "e2")
 
 
-def _emit_text(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, cuts, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            data = text.as_py().encode("utf-8")
-            rows = _cut(row, data, sorted(cuts), plan, True)
-            for a in range(0, len(rows), 4_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 4_000], strict=True), _PIECE, strict=True)], schema=_PIECE)
-
-
 def _emit_file(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, k, uri, e0, e1, e2 in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -289,53 +286,42 @@ def _emit_file(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Rec
 
 def _numbered(pieces: DataFrame, id_col: str) -> DataFrame:
     """Pieces of files, which are emitted one by one, numbered from 0 within their file by (cut, half)."""
-    extra = pieces.where("half > 0").select(F.col("row_id").alias("__r"), F.col("cut_no").alias("__c"))
-    # halves are rare, so a piece's number is its cut's number plus the halves before it; the texts stay where they are
-    before = extra.groupBy("__r").agg(F.collect_list("__c").alias("__cs"))
-    joined = pieces.join(before, F.col("row_id") == F.col("__r"), "left")
-    shift = F.coalesce(F.size(F.filter("__cs", lambda c: c < F.col("cut_no"))), F.lit(0))
-    shift = F.when(F.col("__cs").isNull(), 0).otherwise(shift)
-    return joined.select(F.col("row_id").alias(id_col), (F.col("cut_no") + shift + F.col("half")).alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
-
-
-def _sides(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    # a token is one byte at least, so shorter texts can't pass the limit
-    size = F.octet_length("text")
-    return rows.where((size > plan.limit) & (size <= plan.range_bytes)), rows.where(size > plan.range_bytes)
+    # halves are rare: a piece's number is its cut's number plus the halves before it, those of earlier blocks summed, those of its own block listed
+    block = F.floor(F.col("cut_no") / BLOCK_RANGES)
+    extra = pieces.where("half > 0").groupBy("row_id", block.alias("k")).agg(F.collect_list("cut_no").alias("cs"), F.count(F.lit(1)).alias("n"))
+    last = pieces.groupBy("row_id").agg(F.max("cut_no").alias("m"))
+    every = last.select("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / BLOCK_RANGES))).alias("k")).join(extra, ["row_id", "k"], "left")
+    ahead = Window.partitionBy("row_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select(F.col("row_id").alias("__r"), F.col("k").alias("__k"), "cs", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    joined = pieces.join(every, (F.col("row_id") == F.col("__r")) & (block == F.col("__k")))
+    own = F.coalesce(F.size(F.filter(F.coalesce("cs", F.array().cast("array<bigint>")), lambda c: c < F.col("cut_no"))), F.lit(0))
+    return joined.select(F.col("row_id").alias(id_col), (F.col("cut_no") + F.col("before") + own + F.col("half")).alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
 
 
 def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
     """(id, piece_no, start_byte, end_byte, n_tokens, text): the pieces of every text beyond the limit."""
     plan = plan or Plan()
-    small, large = _sides(docs, id_col, text_col, plan)
-    narrow = small.mapInArrow(lambda it: _whole(it, plan, True), _PIECE_DDL)
-    cuts = stitched_cuts(large.mapInArrow(lambda it: _ranges(it, plan), _RANGE_DDL), plan)
-    chosen = cuts.groupBy("row_id").agg(F.collect_list("offset").alias("cuts"))
-    wide = chosen.join(large, "row_id").select("row_id", "cuts", "text").mapInArrow(lambda it: _emit_text(it, plan), _PIECE_DDL)
-    # a text is cut in one call here, which numbers its pieces itself
-    return narrow.unionByName(wide).select(F.col("row_id").alias(id_col), F.col("cut_no").alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
+    # a token is one byte at least, so shorter texts can't pass the limit
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(F.octet_length("text") > plan.limit)
+    pieces = rows.mapInArrow(lambda it: _whole(it, plan), _PIECE_DDL)
+    return pieces.select(F.col("row_id").alias(id_col), F.col("cut_no").alias("piece_no"), "start_byte", "end_byte", "n_tokens", "text")
 
 
 def oversized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
-    """The ids of the texts that are cut: the same cuts, without writing the pieces."""
-    plan = plan or Plan()
-    small, large = _sides(docs, id_col, text_col, plan)
-    narrow = small.mapInArrow(lambda it: _whole(it, plan, False), _PIECE_DDL).where("cut_no = 0").select("row_id")
-    wide = stitched_cuts(large.mapInArrow(lambda it: _ranges(it, plan), _RANGE_DDL), plan).where("cut_no = 1").select("row_id")
-    return narrow.unionByName(wide).select(F.col("row_id").alias(id_col))
+    """The ids of the texts that are cut, from their first pieces."""
+    return split_texts(docs, id_col, text_col, plan).where("piece_no = 0").select(id_col)
 
 
 def split_files(spark: SparkSession, uris: list[str], plan: Plan | None = None) -> DataFrame:
-    """(file_no, piece_no, ...) of text files of any size; each task reads only the ranges it needs. uris: read by every executor."""
-    plan = plan or Plan()
+    """(file_no, piece_no, ...) of text files of any size; each task reads only the bytes it needs. uris: read by every executor."""
+    plan = plan or Plan(range_bytes=FILE_RANGE_BYTES)
     sizes = []
     for uri in uris:
-        where, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
         sizes.append(where.get_file_info(path).size)
     files = spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(zip(uris, sizes, strict=True))], "row_id long, uri string, size long")
-    parts = files.where("size > 0").select("row_id", "uri", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / plan.range_bytes))).alias("range_no"), "size")
-    ranges = parts.repartition("row_id", "range_no").mapInArrow(lambda it: _file_ranges(it, plan), _RANGE_DDL)
-    edges = _edges(stitched_cuts(ranges, plan))
-    work = edges.join(F.broadcast(files.select("row_id", "uri")), "row_id").select("row_id", "cut_no", "uri", "e0", "e1", "e2")
-    return _numbered(work.repartition("row_id", "cut_no").mapInArrow(lambda it: _emit_file(it, plan), _PIECE_DDL), "file_no")
+    ranges = files.where("size > 0").select("row_id", "uri", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / plan.range_bytes))).alias("range_no"), "size")
+    edges = _edges(stage_table(file_cuts(ranges, plan), "file-cuts"))
+    work = edges.join(files.select("row_id", "uri"), "row_id").select("row_id", "cut_no", "uri", "e0", "e1", "e2")
+    pieces = stage_table(work.repartition("row_id", "cut_no").mapInArrow(lambda it: _emit_file(it, plan), _PIECE_DDL), "file-pieces")
+    return _numbered(pieces, "file_no")
