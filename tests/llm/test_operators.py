@@ -71,7 +71,7 @@ def test_residue_on_unseen_hosts(spark):
             want.add(i)
         rows.append((i, title, body, f"h{i % 40}.example", (rng.choice([200, 404, None]) if bad else 200,), "clash"))
     pages = spark.createDataFrame(rows, "page_id long, title string, body_text string, domain string, metadata struct<status_code:int>, score string")
-    model = residue.train(pages)
+    model = residue.train(pages, report=True)
     assert model.report["held_out_rows"] > 50 and model.report["precision"] > 0.95 and model.report["recall"] > 0.95
     assert {r.page_id for r in residue.residue_pages(pages).collect()} == want
     assert residue.residue_pages(pages.limit(0)).count() == 0

@@ -61,7 +61,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p2_model_report")
 def p2_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the classifier agrees with the weak labels of hosts it never saw."""
-    report = residue.train(load(spark, sf_dir, "site_pages")).report
+    report = residue.train(load(spark, sf_dir, "site_pages"), report=True).report
     return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "measure string, value double")
 
 

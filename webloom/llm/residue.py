@@ -1,14 +1,18 @@
 """Pages that hold template residue, filler or an error message instead of an article.
 
-A regularised logistic regression over hashed word n-grams of title and whole body, once more of the
-suspicious parts (messages, filler, sentences around blanks), length and title features. It is trained on
-weak labels from response status and phrases, on a bounded sample of pages (`sample_rows`), and validated
-on hosts that the training never saw. Every page is scored whole by the model, in one narrow Arrow stage;
-only the weights travel.
-
-Defined results: null title and body count as empty; a page that is empty, menus and other furniture
-aside, is no case unless its title shows a blank, filler or an error; if the sample lacks one class the
-weak labels themselves are the result.
+A regularised logistic regression over hashed n-grams of title and whole body, their lengths and title features. Tokens
+are words, runs of digits, line ends and runs of signs, so that what surrounds a blank is part of an n-gram; n-grams of
+token shapes stand beside those of words, and words and pairs once more together with the amount of running text,
+since a message means something else beside an article. The phrase lists below give weak labels only, together
+with the response status; no feature is made of them, so the model learns from the labelled pages what else such
+pages say. Every page is scored whole, in one narrow Arrow stage; only the weights travel.
+
+The model is fitted on a bounded sample (`sample_rows` drawn, of these at most `fit_rows` of each class) and validated
+on hosts that it never saw, and once more on pages whose only cues belong to a family of phrases that was kept
+out of the labels.
+
+Defined results: null title and body count as empty; a page without any word is no case; if the sample lacks one
+class the weak labels themselves are the result.
 """
 
 from __future__ import annotations
@@ -24,21 +28,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.page_lines import _ERROR, BLANK, FILLER_CUE, blanks, collapse, kind
-
-SAMPLE_ROWS = 20_000
-BITS = 18
-_SLOTS = np.uint64((1 << BITS) - 64)
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-_TOKEN = re.compile(r"\x00\w+|[^\W\d_]+|\d+")
-_LINE_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-# Words of sentences that explain template syntax rather than show its failure.
-_EXPLAINS = re.compile(
-    r"template|mail merge|placeholder|\bfields?\b|prints the value|is replaced|explains? that|syntax|variable|stands for|\bmatrix\b|plantilla|vorlage|platzhalter|modèle|gabarit|marcador|to test a face",
-    re.I,
+from webloom.llm.page_lines import collapse, kind
+
+SAMPLE_ROWS = 40_000
+FIT_ROWS = 4_000
+BITS = 20
+# Fixed value: chi-squared of one degree of freedom at a chance of 1 in 1,000.
+LEAST_CHI = 10.83
+_SLOTS = np.uint64(1 << BITS)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n+|_+|[^\w\s]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+# What titles and short pages say instead of content, by family; only weak labels are made of them.
+PHRASES = {
+    "missing": "not found|couldn't be found|could not be found|page you asked for|page you requested|taken down|no longer available|no longer exists|does not exist"
+    "|nicht gefunden|no encontrada|no encontrado|no encontramos|introuvable|n'existe pas",
+    "denied": "access denied|forbidden|do not have permission|unauthorized|zugriff verweigert|zugriff auf diese seite|acceso denegado|accès refusé",
+    "failed": "server error|bad gateway|gateway timeout|gateway time-out|service unavailable|something went wrong|not able to answer|interner fehler|error interno|erreur interne|überlastet|no responde|ne répond pas",
+    "wait": "too many requests|just a moment|attention required|unusual traffic|down for maintenance|please wait|timed out",
+    # lines with a word of scripts and one of these
+    "scripts": "enable|disabled|activate|switch|turn on|turned off|allow|require|aktivier|activ|habilit|autoris",
+    # lines that begin with these
+    "filler": "lorem ipsum|headline goes here|your page title here|title tk|text goes here|copy goes here|text coming here|copy coming here|text to follow|copy to follow|body copy|body text"
+    "|placeholder text|placeholder copy|dummy text|dummy copy|sample text|sample copy|filler text|filler copy|this is placeholder|this is dummy|this is sample|this is filler",
+}
+_CUES = {k: tuple(v.split("|")) for k, v in PHRASES.items()}
+# The styles of blanks that templates leave.
+BLANK = re.compile(
+    r"\{\{\s*[A-Za-z_][\w. ]*\s*\}\}|\{%\s*[\w. ]+\s*%\}|[$#]\{\s*[\w. ]+\s*\}|<%=?\s*[\w. ]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@\w+@@|%%\w+%%|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]+__"
+    r"|\[[A-Z][A-Z_]{2,}\]|\[[Ii]nsert [\w ]{2,40}\]|\[[\w ]{2,40} (?:goes )?here\]|\((?:your|insert) [\w ]{2,40} here\)|«[A-Z][A-Z_]{2,}»|\{\d\}",
+    re.A,
 )
-_MARKED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|<code>.*?</code>")
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"\n]*\"|“[^”\n]*”|<code>.*?</code>")
+# Words of sentences that explain template syntax rather than show its failure.
+_EXPLAINS = re.compile(r"templat|mail merge|placeholder|\bfields?\b|syntax|variable|explain|replaced|prints|stands for|plantilla|vorlage|platzhalter|modèle|gabarit|marcador", re.I)
+
+
+_SIGNS = re.compile(r"[{}\[\]<%$#@_«]")
+_ASIDE = frozenset("blank menu notice share byline tags teaser comment".split())
+
+
+def without_furniture(body: str | None) -> str:
+    """The lines of a body that are no menus, notices, prompts or credits, or hold signs that such lines lack."""
+    return "\n".join(x for x in ((body or "").split("\n")) if _SIGNS.search(x) or kind(x, collapse(x)) not in _ASIDE)
 
 
 @dataclass(frozen=True)
@@ -48,216 +81,255 @@ class Model:
     report: dict
 
 
-def blank_uses(sentence: str) -> list[str]:
-    """For every blank in a sentence: bare, marked (quoted as code) or explained."""
-    spans = [m.span() for m in _MARKED.finditer(sentence)]
-    out = []
-    for m in blanks(sentence):
-        if any(a <= m.start() and m.end() <= b for a, b in spans):
-            out.append("marked")
-        else:
-            rest = BLANK.sub(" ", sentence)
-            out.append("explained" if _EXPLAINS.search(rest) else "bare")
-    return out
-
-
-def describe(title: str | None, body: str | None) -> tuple[list[str], dict[str, float]]:
-    """Tokens of the suspicious parts, and counts."""
-    title, body = collapse(title or ""), body or ""
-    raw = body.split("\n")
-    n_text = text_chars = errors = fillers = bare = told = shorts = 0
-    parts: list[str] = []
-    for r in raw:
-        line = collapse(r)
-        k = kind(r, line)
-        if k == "blank":
-            continue
-        if k == "error":
-            errors += 1
-            parts.append("\x00error " + line)
-        elif k == "filler":
-            fillers += 1
-            parts.append("\x00filler " + line[:80])
-        elif k == "text":
-            n_text += 1
-            text_chars += len(line)
-        elif k == "short":
-            shorts += 1
-        if k != "error" and blanks(line):
-            for s in _SENTENCE.split(line):
-                uses = blank_uses(s)
-                if uses:
-                    bare += sum(u == "bare" for u in uses)
-                    told += sum(u != "bare" for u in uses)
-                    names = iter(uses)
-                    parts.append(_window(re.sub(r"\s+", " ", _mark(s, names))))
-    title_uses = blank_uses(title)
-    names = iter(title_uses)
-    shown = _mark(title, names)
-    title_error = bool(_ERROR.search(title)) or bool(re.match(r"^(?:error|fehler|erreur|oops)?\s*\d{3}\b(?!,)\s*(?:$|-|not|:)|^(?:error|fehler|erreur|oops)\b", title, re.I))
-    title_filler = bool(FILLER_CUE.search(title))
-    counts = {
-        "n_text": n_text, "text_chars": text_chars, "errors": errors, "fillers": fillers, "bare": bare, "told": told,
-        "title_bare": sum(u == "bare" for u in title_uses), "title_error": title_error, "title_filler": title_filler, "title_empty": not title,
-        "empty": not (n_text or errors or fillers or bare or told or shorts or title_error or title_filler or any(u == "bare" for u in title_uses)),
-    }
-    tokens: list[str] = []
-    for name, text in [("t", shown), *(("b", p) for p in parts)]:
-        words = [w.lower() for w in _TOKEN.findall(text)]
-        tokens += [f"{name}:{w}" for w in words]
-        tokens += [f"{name}:{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
-    return tokens, counts
-
-
-def _mark(text: str, uses: Iterator[str]) -> str:
-    """text with every blank replaced by a token that says how it is used."""
-    for m in reversed(blanks(text)):
-        text = f"{text[: m.start()]} \x00blank {text[m.end() :]}"
-    for use in uses:
-        text = text.replace("\x00blank", f"\x00{use}", 1)
-    return text
-
-
-def _window(text: str, around: int = 5) -> str:
-    words = text.split()
-    at = [i for i, w in enumerate(words) if "\x00" in w]
-    keep = sorted({j for i in at for j in range(max(0, i - around), min(len(words), i + around + 1))})
-    return " ".join(words[j] for j in keep)
+def sentences(body: str) -> int:
+    """Sentences of eight words or more."""
+    return sum(s.count(" ") >= 7 for s in _SENTENCE.split(body))
+
+
+def cues(line: str) -> set[str]:
+    """Families of phrases that a lower-cased line shows."""
+    found = {k for k in ("missing", "denied", "failed", "wait") if any(p in line for p in _CUES[k])}
+    if ("script" in line or "skript" in line) and any(p in line for p in _CUES["scripts"]):
+        found.add("scripts")
+    if line.lstrip(" \t*#>-").startswith(_CUES["filler"]):
+        found.add("filler")
+    return found
+
+
+def families(title: str, body: str) -> dict[str, set[int]]:
+    """Families of cues that a page shows, with the lines (0: the title) they stand on; blanks quoted or explained are "told"."""
+    found: dict[str, set[int]] = {}
+    for i, line in enumerate((title, *body.split("\n"))):
+        for k in cues(line.lower()):
+            found.setdefault(k, set()).add(i)
+        if any(mark in line for mark in "{%<[@_(«") and BLANK.search(line):
+            explained = _EXPLAINS.search(BLANK.sub(" ", line))
+            quoted = [q.span() for q in _QUOTED.finditer(line)]
+            for m in BLANK.finditer(line):
+                told = explained or any(a <= m.start() and m.end() <= b for a, b in quoted)
+                found.setdefault("told" if told else "blank", set()).add(i)
+    return found
+
+
+def weak_label(title: str | None, body: str | None, status: int | None, without: str | None = None) -> int:
+    """1 case, 0 none, -1 not told, by status and phrases (those of one family left out); body without its furniture."""
+    title, body = title or "", body or ""
+    if not _TOKEN.search(body + title):
+        return -1
+    found, n = families(title, body), sentences(body)
+    found.pop(without, None)
+    if "blank" in found or ("filler" in found and n <= 40):
+        return 1
+    lines = set().union(*(found[k] for k in found if k not in ("told", "blank", "filler")))
+    failed = (status or 0) >= 400
+    if lines or failed:
+        rest = sentences("\n".join(x for i, x in enumerate(body.split("\n"), 1) if i not in lines))
+        return 1 if rest == 0 or (failed and rest <= 2) else -1 if failed else 0
+    # without a word beside its furniture a page is only empty
+    return 0 if n >= 1 or not _TOKEN.search(body) else -1
 
 
 class _Hashes(dict):
-    """Word hashes of one part of a page; a line break has none (0)."""
-
-    def __init__(self, part: str) -> None:
-        self.part = part
+    """token -> hashes of the word, of its shape (the highest bit tells signs that running text lacks) and of its kind."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+    def __missing__(self, token: str) -> tuple[int, int, int]:
+        if len(self) > 500_000:
             self.clear()
-        got = self[word] = 0 if word == "\n" else xxhash.xxh3_64_intdigest((self.part + word).encode("utf-8", "surrogatepass")) or 1
+        h = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) or 1
+        if token[0] == "\n":
+            word = shape = "\n"
+        elif token[0].isdigit():
+            word = shape = "0"
+        elif token[0].isalpha():
+            word = token.lower()
+            shape = "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
+        else:
+            word = shape = token[:4]
+        rare = not (token[0].isalnum() or token in _PLAIN)
+        kind_of = "S" if rare else "w" if token[0].isalpha() else shape
+        got = self[token] = (h(word), h("sign " + shape) | (1 << 63) if rare else h("shape " + shape) >> 1, h("kind " + kind_of))
         return got
 
 
-_TITLE_HASHES, _BODY_HASHES = _Hashes("t"), _Hashes("w")
-
-
-def _whole(title: str | None, body: str | None) -> np.ndarray:
-    """Distinct hashes of the words and word pairs of title and whole body, pairs within a line."""
-    found = []
-    for hashes, text in ((_TITLE_HASHES, title), (_BODY_HASHES, body)):
-        tokens = _LINE_TOKEN.findall((text or "").lower())
-        h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-        word = h != 0
-        pair = ((h[:-1] * _PAIR) ^ h[1:]) * _PAIR
-        found += [h[word], pair[word[:-1] & word[1:]]]
-    every = np.sort(np.concatenate(found))
-    return every[np.append(True, every[1:] != every[:-1])[: len(every)]]
-
-
-def features(title: str | None, body: str | None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    tokens, c = describe(title, body)
-    named = {
-        "n:no_text": float(c["n_text"] == 0), "n:text": np.log1p(c["n_text"]), "n:chars": np.log1p(c["text_chars"]) / 4, "n:error": float(c["errors"] > 0),
-        "n:error_only": float(c["errors"] > 0 and c["n_text"] == 0), "n:filler": float(c["fillers"] > 0), "n:filler_share": c["fillers"] / max(1, c["fillers"] + c["n_text"]),
-        "n:bare": float(c["bare"] > 0), "n:told": float(c["told"] > 0), "n:title_bare": float(c["title_bare"] > 0), "n:title_error": float(c["title_error"]),
-        "n:title_error_only": float(c["title_error"] and c["n_text"] == 0), "n:title_filler": float(c["title_filler"]), "n:title_empty": float(c["title_empty"]),
-    }
-    grams = dict.fromkeys(tokens)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in grams), np.uint64, len(grams))
-    idx, val = [np.flatnonzero(list(named.values()))], [np.array([v for v in named.values() if v], np.float32)]
-    for h in (own, _whole(title, body)):
-        idx.append((64 + (h >> np.uint64(1)) % _SLOTS).astype(np.int64))
-        val.append(np.where(h & np.uint64(1), 1.0, -1.0).astype(np.float32) / np.float32(np.sqrt(max(1, len(h)))))
-    return np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32), c
-
-
-def weak_label(c: dict[str, float], status: int | None) -> int:
-    """1 case, 0 none, -1 not told by status and phrases."""
-    if c["bare"] or c["title_bare"] or c["title_filler"]:
-        return 1
-    if c["fillers"] and c["n_text"] <= 2 * c["fillers"]:
-        return 1
-    if c["empty"]:
-        return -1
-    if c["n_text"] == 0 and c["errors"]:
-        return 1
-    if (status or 0) >= 400:
-        return 1 if c["n_text"] <= 2 else -1
-    if c["n_text"] >= 2 and not c["fillers"]:
-        return 0
-    if c["n_text"] == 0 and status is not None and not c["title_error"] and not c["fillers"]:
-        return 0
-    if c["n_text"] >= 1 and not c["errors"] and not c["title_error"] and not c["fillers"]:
-        return 0
-    return -1
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, ridge: float = 1e-4, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression with L2 and balanced classes, by Adagrad over the whole sample; the same result every time."""
-    y = np.array([r[2] for r in rows], np.float64)
-    # an unused column makes every row hold something; sums run over rows, and over features in their own order
-    idx = np.concatenate([np.append(np.asarray(r[0], np.int64), 1 << BITS) for r in rows])
-    val = np.concatenate([np.append(np.asarray(r[1], np.float32), np.float32(0)) for r in rows])
-    sizes = np.array([len(r[0]) + 1 for r in rows])
-    begin = np.cumsum(sizes) - sizes
-    order = np.argsort(idx, kind="stable")
-    used, first = np.unique(idx[order], return_index=True)
-    at, sorted_val, held = np.repeat(np.arange(len(rows)), sizes)[order], val[order], np.empty(len(val), np.float32)
-    cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros((1 << BITS) + 1), 0.0
-    gw, gb = np.full(len(used), 1e-8), 1e-8
+_PLAIN = frozenset([".", ",", "\n", ";", ":", "-", "!", "?", "'", '"', "(", ")", "’", "–", "|", ">", "/", "·", "*", "•"])
+_KNOWN = _Hashes()
+
+
+def _grams(text: str, part: int, bucket: int) -> list[np.ndarray]:
+    tokens = _TOKEN.findall(text)
+    if not tokens:
+        return []
+    pairs = np.array([_KNOWN[t if t[0] != "\n" else "\n"] for t in tokens], np.uint64)
+    w, s, kinds = pairs.T
+    salt = np.uint64(part)
+    mix = lambda a, b: (a * _MIX) ^ (b + (a >> np.uint64(31)))
+    two = mix(w[:-1], w[1:])
+    out = [w + salt, two + salt]
+    if len(w) > 2:
+        out.append(mix(two[:-1], w[2:]) + salt)
+    # shapes only around signs that running text lacks
+    sign = s >> np.uint64(63) != 0
+    if sign.any():
+        for stream in (s, kinds):
+            g, has = stream, sign
+            for n in range(1, 5):
+                if len(g) < 2:
+                    break
+                g, has = mix(g[:-1], stream[n:]), has[:-1] | sign[n:]
+                out.append(g[has] + salt)
+    if part == 2:
+        at = np.uint64(1000 + bucket)
+        out += [mix(w, at), mix(two, at)]
+    return out
+
+
+def features(title: str | None, body: str | None) -> np.ndarray:
+    """Sorted distinct slots of a page; empty for a page without words."""
+    title, body = title or "", body or ""
+    n = sentences(body)
+    bucket = 4 if not _TOKEN.search(body) else 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3
+    lists = [*_grams(title, 1, bucket), *_grams(body, 2, bucket)]
+    if not lists:
+        return np.empty(0, np.int32)
+    short, words = min(9, len(title.split())), min(12, len(body).bit_length())
+    own = np.array([10_000 + bucket, 11_000 + min(n, 20), 12_000 + short, 13_000 + words, 14_000 + 20 * short + bucket, 15_000 + (title == "")], np.uint64) * _MIX
+    return np.unique((np.concatenate([*lists, own]) * _MIX >> np.uint64(64 - BITS)).astype(np.int32))
+
+
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; f gives value and gradient."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        z = np.add.reduceat(np.multiply(val, w.astype(np.float32).take(idx, out=held, mode="clip"), out=held), begin) + b
+        q, kept = g.copy(), []
+        for s, y, r in reversed(past):
+            a = r * (s @ q)
+            kept.append(a)
+            q -= a * y
+        if past:
+            s, y, r = past[-1]
+            q *= 1 / (r * (y @ y))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            q += (a - r * (y @ q)) * s
+        slope, t = -(g @ q), 1.0 if past else 1 / max(1e-12, np.sqrt(g @ g))
+        while True:
+            there = x - t * q
+            new, h = f(there)
+            if new <= value + 1e-4 * t * slope or t < 1e-10:
+                break
+            t /= 2
+        s, y = there - x, h - g
+        if value - new < 1e-7 * max(1.0, abs(value)):
+            return there if new < value else x
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        x, value, g = there, new, h
+    return x
+
+
+def fit(rows: list[tuple[np.ndarray, int]], steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression with L2 and balanced classes on slots scaled by their log ratio between the classes; the same result every time."""
+    y = np.array([r[1] for r in rows], np.float64)
+    idx = np.concatenate([r[0] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    size = 1 << BITS
+    pos, neg = np.bincount(idx, y[row], size), np.bincount(idx, 1 - y[row], size)
+    ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
+    # chance alone links rare n-grams to a class: only those stay whose link is beyond doubt
+    n, seen = len(y), pos + neg
+    expected = seen * y.sum() / n
+    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - seen / n), 1e-12)
+    ratio[(seen < 3) | (chi < LEAST_CHI)] = 0.0
+    keep = ratio[idx] != 0
+    idx, row = idx[keep], row[keep]
+    used, at = np.unique(idx, return_inverse=True)
+    scale = ratio[used] / 10
+    cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = x[:-1], x[-1]
+        z = np.bincount(row, (w * scale)[at], len(rows)) + b
+        m = np.where(y == 1, -z, z)
+        value = (cost * np.logaddexp(0, m)).sum() + ridge * (w @ w) / 2
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        g = np.add.reduceat(np.multiply(sorted_val, d.astype(np.float32).take(at, out=held, mode="clip"), out=held), first) + ridge * w[used]
-        gw += g * g
-        gb += d.sum() ** 2
-        w[used] -= rate * g / np.sqrt(gw)
-        b -= rate * d.sum() / np.sqrt(gb)
-    return w[:-1], b
+        return value, np.append(np.bincount(at, d[row], len(used)) * scale + ridge * w, d.sum())
+
+    x = minimise(loss, np.zeros(len(used) + 1), steps)
+    out = np.zeros(size, np.float32)
+    out[used] = x[:-1] * scale
+    return out, float(x[-1])
+
+
+_GROUPS = (None, "blank", *PHRASES)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """(labels, held_out, idx): labels with all families and without each; a share of the pages that are no cases."""
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(4)]
-        got = [features(t, b) for t, b in zip(cols[0], cols[1], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([g[0] for g in got], pa.list_(pa.int32())),
-                pa.array([g[1] for g in got], pa.list_(pa.float32())),
-                pa.array([weak_label(g[2], s) for g, s in zip(got, cols[2], strict=True)], pa.int32()),
-                pa.array([zlib.crc32((d or "").encode()) % 5 == 0 for d in cols[3]], pa.bool_()),
-            ],
-            names=["idx", "val", "label", "held_out"],
-        )
-
-
-def train(pages: DataFrame, id_col: str = "page_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most about sample_rows pages, drawn by a hash of their id; hosts in a fifth of a hash space only validate."""
+        labels, held, idx = [], [], []
+        for title, body, status, domain, draw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            text = without_furniture(body)
+            label = weak_label(title, text, status)
+            if label != 1 and draw >= (share if label == 0 else 4 * share):
+                continue
+            own = families(title or "", text) if label == 1 else {}
+            labels.append([label, *(weak_label(title, text, status, g) if g in own else label for g in _GROUPS[1:])])
+            held.append(zlib.crc32((domain or "").encode()) % 5 == 0)
+            idx.append(features(title, text))
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.list_(pa.int8())), pa.array(held, pa.bool_()), pa.array(idx, pa.list_(pa.int32()))], names=["labels", "held_out", "idx"])
+
+
+def _score(w: np.ndarray, b: float, idx: list[np.ndarray]) -> np.ndarray:
+    return np.array([float(w[i].sum()) + b for i in idx])
+
+
+def _fit_twice(idx: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float] | None:
+    for again in (False, True):
+        if not 0 < (labels == 1).sum() or not 0 < (labels == 0).sum():
+            return None
+        w, b = fit([(idx[i], int(labels[i])) for i in np.flatnonzero(labels >= 0)])
+        if not again:
+            z = _score(w, b, idx)
+            labels = np.where((labels != 1) & (z > 1), 1, np.where((labels == 0) & (z > -0.5), -1, labels))
+    return w, b
+
+
+def _sample(pages: DataFrame, id_col: str, sample_rows: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     n = pages.count()
-    drawn = pages if n <= sample_rows else pages.where(F.pmod(F.xxhash64(id_col, F.lit("residue")), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("residue")), F.lit(1_000_000)) / 1_000_000
+    drawn = pages.where(draw < sample_rows / n) if n > sample_rows else pages
+    share = min(1.0, FIT_ROWS / max(1, min(n, sample_rows)))
+    pick = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000)) / 1_000_000
     got = (
-        drawn.select("title", "body_text", F.col("metadata.status_code").cast("int").alias("status"), "domain")
-        .mapInArrow(_featured, "idx array<int>, val array<float>, label int, held_out boolean")
-        .where("label >= 0")
+        drawn.select("title", "body_text", F.col("metadata.status_code").cast("int").alias("status"), "domain", pick.alias("pick"))
+        .mapInArrow(lambda it: _featured(it, share), "labels array<tinyint>, held_out boolean, idx array<int>")
         .toArrow()
-        .combine_chunks()
     )
-    rows = []
-    for batch in got.to_batches():
-        flat = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("idx"), batch.column("val"))]
-        for n, (label, out) in enumerate(zip(batch.column("label").to_pylist(), batch.column("held_out").to_pylist(), strict=True)):
-            rows.append((*(v[o[n] : o[n + 1]] for o, v in flat), label, out))
-    own = [r[:3] for r in rows if not r[3]]
-    held = [r[:3] for r in rows if r[3]]
-    report = {"train_rows": len(own), "train_positive": sum(r[2] for r in own), "held_out_rows": len(held), "held_out_positive": sum(r[2] for r in held)}
-    if not 0 < report["train_positive"] < len(own):
-        return Model(None, 0.0, report)
-    w, b = fit(own)
-    said = [float(np.dot(w[np.asarray(i, int)], v) + b) > 0 for i, v, _ in held]
-    hit = sum(s and y == 1 for s, (_, _, y) in zip(said, held, strict=True))
-    report |= {"precision": hit / max(1, sum(said)), "recall": hit / max(1, report["held_out_positive"])}
-    return Model(w.astype(np.float32), float(b), report)
+    idx = [np.asarray(x, np.int64) for x in got.column("idx").to_pylist()]
+    return idx, np.array(got.column("labels").to_pylist(), np.int8).reshape(-1, len(_GROUPS)), np.array(got.column("held_out").to_pylist(), bool)
+
+
+def train(pages: DataFrame, id_col: str = "page_id", sample_rows: int = SAMPLE_ROWS, report: bool = False) -> Model:
+    """Fit on pages drawn by a hash of their id; hosts in a fifth of a hash space only validate.
+
+    report: measure agreement with the labels of those hosts, and for every family of cues the share found of pages
+    that only this family tells, by a model whose labels lack it.
+    """
+    idx, labels, held = _sample(pages, id_col, sample_rows)
+    own = np.flatnonzero(~held)
+    out: dict[str, float] = {"train_rows": len(own), "train_positive": int((labels[own, 0] == 1).sum()), "held_out_rows": int(held.sum()), "held_out_positive": int((labels[held, 0] == 1).sum())}
+    got = _fit_twice([idx[i] for i in own], labels[own, 0])
+    if got is None:
+        return Model(None, 0.0, out)
+    if report:
+        said, told = _score(*got, [idx[i] for i in np.flatnonzero(held)]) > 0, labels[held, 0]
+        out |= {"precision": float((told[said] == 1).mean()) if said.any() else 0.0, "recall": float(said[told == 1].mean()) if (told == 1).any() else 0.0}
+        for k, family in enumerate(_GROUPS[1:], 1):
+            only = held & (labels[:, 0] == 1) & (labels[:, k] != 1)
+            other = _fit_twice([idx[i] for i in own], labels[own, k]) if only.any() else None
+            if other is not None:
+                out[f"recall_without_{family}"] = float((_score(*other, [idx[i] for i in np.flatnonzero(only)]) > 0).mean())
+    return Model(got[0].astype(np.float32), got[1], out)
 
 
 def scored(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFrame:
@@ -265,14 +337,16 @@ def scored(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
             out = []
-            for t, b, s in zip(cols[1], cols[2], cols[3], strict=True):
-                i, v, c = features(t, b)
-                if c["empty"]:
+            for title, body, status in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                text = without_furniture(body)
+                idx = features(title, text)
+                if not len(idx):
                     out.append(-10.0)  # an empty page is only empty
+                elif model.weights is None:
+                    out.append(float(weak_label(title, text, status) == 1) - 0.5)
                 else:
-                    out.append(float(np.dot(model.weights[i], v) + model.bias) if model.weights is not None else float(weak_label(c, s) == 1) - 0.5)
+                    out.append(float(model.weights[idx].sum()) + model.bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["page_id", "score"])
 
     return pages.select(F.col(id_col).cast("long"), "title", "body_text", F.col("metadata.status_code").cast("int").alias("status")).mapInArrow(run, "page_id long, score double")
