@@ -105,7 +105,7 @@ def _tile_has_run(item: np.ndarray, doc: np.ndarray, first: int, last: int, low:
     same = (item[first:last, None] == doc[np.clip(at, 0, m - 1)]) & (at >= 0) & (at < m)
     most, step = LONGEST_RUN // 6 + 1, np.arange(width, dtype=np.int16)
     # changes of the best alignment from each item word to the word k further on, by the diagonal it is on
-    changes = np.where(same, 0, most).astype(np.int16)
+    changes = np.minimum.accumulate(np.where(same, 0, most).astype(np.int16) - step, axis=1) + step
     for k in range(1, min(n, LONGEST_RUN)):
         before = changes[: n - k]
         changes = before + ~same[k:]
