@@ -8,35 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from webloom.llm import leakage, main_content, residue
-from webloom.llm import page_lines as L
 from webloom.sources import extract, feeds
 
 SENTENCE = "The council of the town met on Monday to talk about the bridge and its repair, which is dear and slow. "
 
 
-def test_isolated_sentence_is_no_block():
-    main = [SENTENCE * 8 + "It ends here." for _ in range(4)]
-    body = "\n".join([*main, *["Home | News | Sport"] * 6, "The mill is old and grey."])
-    assert main_content.main_lines(body) == [0, 1, 2, 3]
-    assert main_content.main_lines(body + "\n" + SENTENCE) == [0, 1, 2, 3, 10, 11]
-    assert main_content.dense([0, 1, 0, 0, 0, 90, 0, 1]) == [0, 0, 0, 0, 0, 90, 0, 1]
-
-
-NOTICES = {
-    "notice": "We use cookies to count visits and to keep this site safe. These small files on your device are read again at every visit. You may refuse cookies under manage settings. ",
-    "error": "You need to enable JavaScript to run this app. Please switch on scripts in your browser. The page you asked for could not be found. ",
-}
-
-
-def test_notices_of_any_length():
-    for want, text in NOTICES.items():
-        for times in (1, 2, 5, 40):
-            assert L.kind((text * times).strip()) == want, (want, times)
-    assert L.kind((SENTENCE * 12 + "The site had set cookies before.").strip()) == "text"
-    assert L.kind("magnor porrex vestra tempra dolor varis. " * 30) == "filler"
-    assert L.kind("magnor porrex vestra tempra dolor varis solent. " * 10 + SENTENCE * 30) == "text"
-
-
 def test_run_beside_its_own_words():
     rng = random.Random(4)
     ids = lambda xs: np.array([x * 0x9E3779B97F4A7C15 % 2**64 for x in xs], np.uint64)
@@ -112,7 +88,7 @@ def test_messages_of_unlisted_wording(spark):
         rows.append((i, f"A {rng.choice(things)}", body, f"h{host}.example", (503 if bad and host % 2 else 200,)))
     pages = spark.createDataFrame(rows, "page_id long, title string, body_text string, domain string, metadata struct<status_code:int>")
     got = {r.page_id for r in residue.residue_pages(pages).collect()}
-    assert not any(L.kind(x) == "error" for text in UNLISTED for x in text.split("\n"))
+    assert not any(residue.cues(x.lower()) for text in UNLISTED for x in text.split("\n"))
     assert got == want
 
 

@@ -10,8 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webloom.llm import capping, knn, leakage, main_content, mixing, outranking, repeated_lines, residue, splitting
-from webloom.llm import page_lines as L
+from webloom.llm import capping, knn, leakage, mixing, outranking, repeated_lines, residue, splitting
 from webloom.llm import tokens as T
 
 # --- 1: repeated lines
@@ -223,41 +222,6 @@ def test_share_levels_equal_search(spark, share):
     assert all(n == min(counts[q][int(h[1:])], got[q]) for (q, h), n in kept.items())
 
 
-# --- 7: main content
-
-BODY = "Home | News | Sport\nWe use cookies to count visits.\nBy Ann Lee, The Site\nA new bridge for the old town\nThe council of the town met on Monday to talk about the bridge.\nAdvertisement\n* The first point is about the cost of the work and the time.\n«La obra sigue abierta», dijo el alcalde ante la junta.\nTags: bridge, town\nRelated: Why the old mill may close\nJohn Doe replied: The bridge is too dear for the town.\n© 2024 The Site. All rights reserved."
-
-
-def test_main_lines():
-    kept = [BODY.split("\n")[i] for i in main_content.main_lines(BODY)]
-    assert kept == [BODY.split("\n")[i] for i in (3, 4, 6, 7)]
-    for none in (None, "", "\n\n", "Home\nNews", "Access denied. Reference 12ab34cd.", "You need to enable JavaScript to run this app."):
-        assert main_content.main_lines(none) == []
-    assert len(main_content.main_lines("The town is old and the mill is new. " * 20_000)) == 1
-
-
-def test_main_html_lines():
-    page = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><div class="top"><ul><li><a href="/">Home</a></li></ul><div>We use cookies to count visits.</div></div>
-    <div><div><h1>A new bridge</h1><p>The council of the town <b>met</b>&nbsp;on Monday to talk about it.</p><h2>What the work costs</h2><blockquote>The work is dear, and the town is poor.<br>It may take a year or more.</blockquote>
-    <ul><li>One point is the cost of it.</li></ul><p class="promo">Get The Site in your inbox. Enter your address below.</p></div><div><ul><li><a href="/x">Why the mill may close</a></li></ul><p>A stray sentence of the sidebar stands here.</p></div></div>
-    <footer><p>© 2024 The Site</p></footer></body></html>"""
-    assert main_content.main_html_lines(page) == ["A new bridge", "The council of the town met on Monday to talk about it.", "What the work costs", "The work is dear, and the town is poor.", "It may take a year or more.", "One point is the cost of it."]
-    for none in (None, "", "{}", "plain text", "<html></html>", "<p>", "<div><h1>Page not found</h1><p>Access denied. Reference 12ab.</p></div>", "<" * 3000):
-        assert main_content.main_html_lines(none) == []
-
-
-def test_blocks_surge_and_dive():
-    assert main_content.blocks([0, 0, 5, 0, 6, 0, 0, 0, 7]) == [(2, 5), (8, 9)] and main_content.blocks([]) == []
-
-
-def test_main_frames(spark):
-    df = spark.createDataFrame([(1, BODY, 1), (2, None, 2), (3, "", 3)], "page_id long, body_text string, row_id int")
-    assert main_content.main_line_keys(df, "page_id", "body_text", False).count() == 4
-    assert [r.main_text == "" for r in main_content.main_text(df, "page_id", "body_text", False).orderBy("row_id").collect()] == [False, True, True]
-    assert main_content.line_key("a   b\n") == main_content.line_key("a b")
-    assert L.kind("") == "blank" and L.kind("x" * 100_000) in ("short", "text", "menu")
-
-
 # --- 8: leaks
 
 ITEM = "Apart from Tremuserk the mayor repeatedly monitored the pension fund in peculiar haste since 1985 and the deputy reviewed several dividend lists until Monday noon despite seasonal warehouse rules of the Société"

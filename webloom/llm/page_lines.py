@@ -1,6 +1,6 @@
-"""What kind of line a line of a web page is, from its own words and marks.
+"""What lines of a web page are furniture, from their own words and marks.
 
-Plain Python over lists of strings, called inside Arrow batches by the main-content and residue operators.
+Plain Python over lists of strings, called inside Arrow batches.
 """
 
 from __future__ import annotations
@@ -8,8 +8,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import ahocorasick
-
 # Words that sentences of en, de, es, fr can hardly do without.
 STOPWORDS = frozenset(
     "a an the of to in and for is are was were be been by on at as with from that this it its has had have not or but "
@@ -29,83 +27,37 @@ MENU_WORDS = frozenset(
     "accueil actualités sciences marchés météo voyages vidéo santé économie".split()
 )
 
-_NOTICE = re.compile(
-    r"\bcookies?\b|small files on your device|manage settings|java ?script|\bskripten?\b|\bscripts?\b|browser settings|rights? reserved|rechte vorbehalten|derechos reservados|droits réservés"
-    r"|©|\(c\) \d{4}|terms of use|privacy policy|\bimprint\b|registered body|impressum|datenschutz|aviso legal|privacidad|mentions légales"
-    r"|written consent|prior consent|may be copied|nachdruck|prohibida la copia|toute copie|views (?:given|expressed) here|takes? no (?:blame|liability)"
-    r"|opiniones son de sus autores|avis publiés engagent|übernimmt .{0,60}haftung|\badverts?\b|^(?:advertisement|anzeige|werbung|publicidad|publicité)\b",
-    re.I,
-)
-_SHARE = re.compile(
-    r"share (?:this|it with)|copy link|save for later|send it to a friend|people passed this on|shares?\)|artikel teilen|\bgeteilt\)|^compartir|^partager|partages\)"
-    r"|lo han recomendado|haben dies empfohlen|(?:ont|a) recommandé|haben? dies empfohlen|^follow us\b|follow .{1,60} and turn on|turn on alerts|active los avisos|activez les alertes"
-    r"|abonnieren und|sign up for|newsletter|morning letter|in your inbox|enter your address|morgenbrief|reciba el boletín|recevez la lettre|members read|^join .{1,60} today"
-    r"|\(\d+ veces\)|mal geteilt|like what you read",
-    re.I,
-)
-_NAV = re.compile(
-    r"^(?:skip to|back to top|open menu|menu\b|search\b|log in|nach oben|zum inhalt|volver arriba|ir al contenido|haut de page|aller au contenu|return to the start page)",
-    re.I,
-)
-_BYLINE = re.compile(
-    r"^(?:by|von|por|par|words ?:|text ?:|texto ?:|texte ?:|photo ?:|foto ?:|written by|edited by|posted on|published on|last changed|reporting by)\s|reports? from the .{0,60}newsdesk|\| edited by",
-    re.I,
-)
-_TAGS = re.compile(r"^(?:tags?|topics|etiquetas|temas|schlagwörter|stichworte|themen|schlagworte|mots[- ]clés|étiquettes|sujets)\s?:", re.I)
-_TEASER = re.compile(
-    r"^(?:related|see also|read (?:next|more|also)|more (?:on|from) th(?:is|e)|up next|lea también|ver también|más sobre|lesen sie auch|siehe auch|mehr (?:zum|dazu)|auch interessant|à lire|lire aussi|voir aussi|sur le même)\b.{0,20}?:",
+# What notices, prompts and credits say in en, de, es, fr.
+_NOTICE = (
+    "cookie|rights reserved|rechte vorbehalten|derechos reservados|droits réservés|©|(c) 1|(c) 2|copyright|terms of use|privacy|imprint|impressum|datenschutz|aviso legal|privacidad|mentions légales"
+    "|written consent|prior consent|may be copied|nachdruck|prohibida la copia|toute copie|views expressed|views given|liability|haftung|no responde de|avis publiés|adverts|advertisement|anzeige|werbung|publicidad|publicité"
+    "|partners store"
+).split("|")
+_SHARE = (
+    "share this|share it with|copy link|save for later|artikel teilen|geteilt)|compartir|partager|partages)|recommend|recomendado|empfohlen|recommandé|follow us|turn on alerts|active los avisos|activez les alertes"
+    "|sign up|newsletter|in your inbox|subscribe|abonnieren|boletín|la lettre|articles a month"
+).split("|")
+_NAV = re.compile(r"^(?:skip to|back to top|open menu|menu\b|search\b|log in|nach oben|zum inhalt|volver arriba|ir al contenido|haut de page|aller au contenu)", re.I)
+_BYLINE = re.compile(r"^(?:by|von|por|par|words ?:|text ?:|texto ?:|texte ?:|photo ?:|foto ?:|written by|edited by|posted on|published on|last changed|reporting by)\s|\bnewsdesk\b", re.I)
+_LABEL = re.compile(
+    r"^(?:tags?|topics|etiquetas|temas|schlagwörter|stichworte|themen|schlagworte|mots[- ]clés|étiquettes|sujets|related|see also|read (?:next|more|also)|more (?:on|from) th(?:is|e)|up next|lea también|ver también|más sobre"
+    r"|lesen sie auch|siehe auch|mehr (?:zum|dazu)|auch interessant|à lire|lire aussi|voir aussi|sur le même)\b.{0,20}?:",
     re.I,
 )
 _COMMENT = re.compile(
-    r"^[^\s:]+(?: [^\s:]+){0,3} (?:replied|commented|wrote|says?|answered|schrieb|antwortete|kommentierte|meinte|comentó|respondió|escribió|opinó|écrit|répondu|commenté|répond|commente) ?:",
-    re.I,
+    r"^[^\s:]+(?: [^\s:]+){0,3} (?:replied|commented|wrote|says?|answered|schrieb|antwortete|kommentierte|meinte|comentó|respondió|escribió|opinó|écrit|répondu|commenté|répond|commente) ?:", re.I
 )
-_SYNDICATED = re.compile(r"shared pool|of the pool\b|first (?:ran|appeared|published) (?:on|in)|syndicat|republished|agenturmeldung|dépêche d'agence|agencia de noticias", re.I)
-_ERROR = re.compile(
-    r"not found|page you (?:asked|requested)|internal (?:server )?error|bad gateway|gateway time|access denied|timed out|not able to answer|too many requests|has gone missing"
-    r"|could not be found|cannot be shown|down for maintenance|session ended|do not have permission|unusual traffic|link has expired|item was taken down|connection is safe"
-    r"|confirm that you are (?:a )?(?:person|human)|^loading\b|quote code|^request id|^log entry|^error \d|something broke|service unavailable|attention required|just a moment"
-    r"|nicht gefunden|überlastet|interner fehler|ist gesperrt|^fehler \d|no encontramos|no encontrada|acceso denegado|no responde;|error interno|introuvable|accès refusé|erreur interne|ne répond pas, r|^erreur \d",
-    re.I,
-)
-_QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“]*“|«[^»]*»")
 _PARTS = re.compile(r"\s{2,}|\s*[|·•>/›»]\s*|\s+[-–—]\s+|,\s+")
+_ENDED = re.compile(r"[.!?…:;。！？][\"'”’»)\]*_]*$")
 _MARK = re.compile(r"^(?:[-*•–—]|\d{1,3}[.)])\s+")
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s+\S")
-_ENDED = re.compile(r"[.!?…:;。！？][\"'”’»)\]*_]*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 # The styles of blanks that templates leave.
 BLANK = re.compile(
     r"\{\{\s*[A-Za-z_][\w. ]*\s*\}\}|\{%\s*[\w. ]+\s*%\}|[$#]\{\s*[\w. ]+\s*\}|<%=?\s*[\w. ]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@\w+@@|%%\w+%%|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]+__"
-    r"|\[(?:[A-Z][A-Z_]{2,}|[Ii]nsert [\w ]{2,40}|[\w ]{2,40} (?:goes )?here)\]|\((?:your|insert) [\w ]{2,40} here\)|«[A-Z][A-Z_]{2,}»|\{\d\}|\btitle tk\b|(?-i:\bTK:)",
-    re.I | re.A,
-)
-# the upper-case styles must stay so although the rest ignores case
-_UPPER_ONLY = re.compile(r"^(?:%[^%]|\[[A-Z_]+\]$|«)")
-FILLER_CUE = re.compile(r"^\W*(?:lorem ipsum|(?:body )?(?:copy|text) (?:to follow|to come|coming here|goes here)|(?:this is )?(?:placeholder|dummy|filler|sample) (?:copy|text)|your page title here|headline goes here|blindtext|texto de relleno|faux[- ]texte)", re.I)
-
-
-# A line without any of these has none of the cues above, and their patterns needn't run.
-_KEYS = (
-    "cookie|small files on|manage settings|java script|javascript| script|skript|browser settings|reserved|rechte vorb|derechos res|droits r|©|(c)|terms of use|privacy|imprint|registered body"
-    "|impressum|datenschutz|aviso legal|privacidad|mentions l|written consent|prior consent|may be copied|nachdruck|prohibida|toute copie|views given|views expressed|no blame|no liability"
-    "|son de sus autores|avis publi|haftung|advert|anzeige|werbung|publicidad|publicité|share this|share it with|shares)|share)|copy link|save for|send it to|people passed|artikel teilen|geteilt)"
-    "|compartir|partager|partages)|recomendado|empfohlen|recommandé|follow us|turn on alerts|los avisos|les alertes|abonnieren und|sign up|newsletter|morning letter|inbox|your address"
-    "|morgenbrief|boletín|recevez la|members read|today|veces)|like what you|newsdesk|edited by|shared pool|of the pool|first ran|first app|first pub|syndicat|republished|agenturm"
-    "|dépêche|agencia de not|not found|page you|error|gateway|denied|timed out|not able|too many req|gone missing|not be found|be shown|down for maint|session ended|have permission"
-    "|unusual traffic|link has expired|taken down|connection is safe|confirm that you|loading|quote code|request id|log entry|something broke|unavailable|attention req|just a moment"
-    "|nicht gefunden|überlastet|interner fehler|fehler |ist gesperrt|no encont|denegado|no responde|introuvable|accès refusé|erreur|répond pas"
-)
-_FINDER = ahocorasick.Automaton()
-for _key in _KEYS.split("|"):
-    _FINDER.add_word(_key, _key)
-_FINDER.make_automaton()
-_START = re.compile(
-    r"^(?:by|von|por|par|words|text|texto|texte|photo|foto|written|edited|posted|published|last changed|reporting|tags?|topics|etiquetas|temas|schlag|stichw|themen|mots|étiqu|sujets"
-    r"|skip to|back to|open menu|menu|search|log in|nach oben|zum inhalt|volver|ir al|haut de|aller au|return to"
-    r"|related|see also|read|more|up next|lea|ver|más|lesen|siehe|mehr|auch|à lire|lire|voir|sur)\b",
-    re.I,
+    r"|\[[A-Z][A-Z_]{2,}\]|\[[Ii]nsert [\w ]{2,40}\]|\[[\w ]{2,40} (?:goes )?here\]|\((?:your|insert) [\w ]{2,40} here\)|«[A-Z][A-Z_]{2,}»|\{\d\}",
+    re.A,
 )
 
 
@@ -113,144 +65,63 @@ def collapse(line: str) -> str:
     return " ".join(line.split())
 
 
-def blanks(text: str) -> list[re.Match]:
-    """Unfilled blanks in text; a brace pair with numbers, and lower-case words in single marks, are none."""
-    if not any(mark in text for mark in "{%<[@_(«") and "TK" not in text:
-        return []
-    return [m for m in BLANK.finditer(text) if not (_UPPER_ONLY.match(m.group()) and m.group() != m.group().upper() and "insert" not in m.group().lower() and " here" not in m.group().lower())]
-
-
-def is_filler(line: str, words: list[str]) -> bool:
-    """Filler: a known cue at the start, or a longer lower-case run of words with no function word of any known language."""
-    if FILLER_CUE.search(line) and (line.count(" ") < 10 or line.lstrip().lower().startswith("lorem ipsum")):
-        return True
-    if len(words) < 5:
-        return False
-    lower = [w for w in words if w.islower()]
-    return len(lower) >= 0.8 * len(words) and not any(w.lower() in STOPWORDS for w in words)
-
-
-def _filler_start(line: str) -> bool:
-    head = line[:240].lower().split()
-    if sum(w in STOPWORDS for w in head) >= 2 and head[0] != "lorem":
-        return False
-    return is_filler(line, _WORD.findall(line[:400]))
-
-
-def is_menu(raw: str, line: str, words: list[str]) -> bool:
-    if not words:
-        return True
-    low = [w.lower() for w in words]
-    known = sum(w in MENU_WORDS for w in low)
-    if known >= 0.6 * len(low) and not _ENDED.search(line):
-        return True
-    parts = [p for p in _PARTS.split(raw.strip()) if p]
-    return len(parts) >= 3 and all(len(p.split()) <= 2 for p in parts) and not _ENDED.search(line)
+def ended(line: str) -> bool:
+    """Whether a line ends as sentences do."""
+    return _ENDED.search(line[-12:]) is not None
 
 
-def _talked_about(cue: re.Pattern, bare: str, most: int) -> bool:
-    """Whether the cue stands only in sentences longer than such messages are."""
-    return all(s.count(" ") >= most for s in re.split(r"(?<=[.!?:;]) ", bare) if cue.search(s))
+def blanks(text: str) -> list[re.Match]:
+    """Unfilled blanks of templates in text."""
+    return list(BLANK.finditer(text)) if any(mark in text for mark in "{%<[@_(«$#") else []
 
 
-_ASKS_SCRIPTS = re.compile(r"(?:allow|enable|activate|switch on|turn on|aktivieren|active|activez|habilite|autorisez)\b.{0,30}(?:java ?script|scripts?|skript)", re.I)
-_SCRIPT = re.compile(r"java ?script|\bscripts?\b|skript", re.I)
+def unmarked(line: str) -> str:
+    """A line without the mark of a list entry."""
+    return _MARK.sub("", line)
 
 
-_SENTENCES = re.compile(r"(?<=[.!?:;]) ")
+def is_numbered(line: str) -> bool:
+    return _NUMBERED.match(line) is not None
 
 
-def _message(s: str) -> str | None:
-    """What kind of message a sentence of a longer line is."""
-    short = s.count(" ") < 17
-    if _SHARE.search(s):
-        return "share"
-    if _NOTICE.search(s):
-        if not _SCRIPT.search(s) or (re.search("cookie", s, re.I) and not _ASKS_SCRIPTS.search(s)):
-            return "notice"
-        return "error" if short else None
-    if short and _ERROR.search(s):
-        return "error"
-    return "syndication" if short and _SYNDICATED.search(s) else None
+def is_filler(line: str) -> bool:
+    """Five words or more, most in lower case, none of them a function word of a known language; of a long line more than half its sentences."""
+    if len(line) > 400:
+        parts = [s for s in re.split(r"(?<=[.!?:;]) ", line) if s.count(" ") >= 3] or [line[i : i + 400] for i in range(0, len(line), 400)]
+        return 2 * sum(is_filler(s[:400]) for s in parts) > len(parts)
+    words = _WORD.findall(line)
+    return len(words) >= 5 and sum(w.islower() for w in words) >= 0.8 * len(words) and not any(w.lower() in STOPWORDS for w in words)
 
 
-def _mostly_message(bare: str) -> str | None:
-    """The commonest kind of message in a line of any length of which at least half the sentences, and two if it has two, are messages."""
-    parts = [s for s in _SENTENCES.split(bare) if s.strip()]
-    told = [k for k in map(_message, parts) if k]
-    return max(dict.fromkeys(told), key=told.count) if 2 * len(told) >= len(parts) and len(told) >= min(2, len(parts)) > 0 else None
+def is_list_of_words(raw: str) -> bool:
+    """Three parts or more of one or two words each, parted by signs or wide blanks, that don't end as a sentence."""
+    parts = [p for p in _PARTS.split(raw.strip()) if p]
+    return len(parts) >= 3 and all(len(p.split()) <= 2 for p in parts) and not ended(raw.rstrip())
 
 
-def _mostly_filler(line: str) -> bool:
-    """Whether filler leads a long line by name, or stands in more than half of its pieces of at most 40 words."""
-    if line.lstrip().lower().startswith("lorem ipsum"):
+def _furniture(raw: str) -> bool:
+    line = collapse(raw)
+    words = _WORD.findall(line)
+    if not words or is_list_of_words(raw):
         return True
-    pieces = [" ".join(w[i : i + 40]) for w in (s.split() for s in _SENTENCES.split(line)) for i in range(0, len(w), 40)]
-    return 2 * sum(map(_filler_start, pieces)) > len(pieces)
-
-
-def kind(raw: str, line: str | None = None) -> str:
-    """One of: blank, menu, notice, share, byline, tags, teaser, comment, syndication, error, filler, text, short.
-
-    "text" is a sentence or more; "short" may be a sub-heading, depending on its neighbours.
-    """
-    if line is None:
-        line = collapse(raw)
-    return _kind_short(raw, line) if len(line) <= 160 else _kind(raw, line)
+    low = line.lower()
+    if not ended(line):
+        if sum(w.lower() in MENU_WORDS for w in words) >= 0.6 * len(words) or _NUMBERED.match(line) or (len(words) <= 12 and _BYLINE.search(line)):
+            return True
+    if _NAV.search(line) and len(words) <= 8:
+        return True
+    if _LABEL.search(line) or _COMMENT.search(line):
+        return True
+    # a cue counts where it stands in most of the sentences, so that an article may speak of such things
+    parts = [s for s in re.split(r"(?<=[.!?:;]) ", low) if s.strip()]
+    told = sum(any(k in s for k in _NOTICE) or any(k in s for k in _SHARE) for s in parts) if any(k in low for k in _NOTICE) or any(k in low for k in _SHARE) else 0
+    return 2 * told >= len(parts) > 0 and len(words) <= 60 * max(1, told)
 
 
-def _kind(raw: str, line: str) -> str:
-    if not line:
-        return "blank"
-    spaces = line.count(" ")
-    ended = bool(_ENDED.search(line[-12:]))
-    cue = next(_FINDER.iter(line.lower()), None) is not None
-    start = _START.match(line) is not None
-    colon = 0 < line.find(":", 0, 90)
-    if colon:
-        if _COMMENT.search(line):
-            return "comment"
-        if start and _TAGS.search(line):
-            return "tags"
-        if start and _TEASER.search(line):
-            return "teaser"
-    if not cue and ended and spaces >= 12:
-        return "filler" if (_mostly_filler(line) if spaces > 70 else _filler_start(line)) else "text"
-    words = _WORD.findall(line)
-    bare = ""
-    if cue:
-        bare = _QUOTED.sub(" ", line) if any(q in line for q in '`"“„«') else line
-    if cue and spaces <= 70:
-        if _SHARE.search(bare) and len(words) <= 32:
-            return "share"
-        if _NOTICE.search(bare):
-            script = _SCRIPT.search(bare)
-            if not script or (re.search("cookie", bare, re.I) and not _ASKS_SCRIPTS.search(bare)):
-                return "notice"
-            if not _talked_about(_SCRIPT, bare, 17):
-                return "error"
-        if len(words) <= 30 and _ERROR.search(bare) and not _talked_about(_ERROR, bare, 17):
-            return "error"
-        if "newsdesk" in line.lower() or "edited by" in line.lower():
-            return "byline"
-        if len(words) <= 18 and _SYNDICATED.search(line):
-            return "syndication"
-    if cue and (told := _mostly_message(bare)):
-        return told
-    if start and len(words) <= 8 and _NAV.search(line):
-        return "menu"
-    if start and len(words) <= 12 and _BYLINE.search(line) and not ended:
-        return "byline"
-    if is_menu(raw, line, words):
-        return "menu"
-    if _mostly_filler(line) if spaces > 70 else is_filler(line, words):
-        return "filler"
-    if ended and len(words) >= 4:
-        return "text"
-    if _NUMBERED.match(line) and not ended:
-        return "teaser"
-    return "short"
+_short = lru_cache(maxsize=1 << 16)(_furniture)
 
 
-# furniture comes back on page after page, so its short lines are looked up rather than judged again
-_kind_short = lru_cache(maxsize=1 << 16)(_kind)
+def is_furniture(raw: str) -> bool:
+    """Whether a line is a menu, notice, prompt, credit, label or comment."""
+    # furniture comes back on page after page, so its lines are looked up rather than judged again
+    return _short(raw) if len(raw) <= 240 else _furniture(raw)

@@ -146,8 +146,10 @@ def p6_share_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct main-content lines of every page, by key."""
-    text = main_content.main_line_keys(load(spark, sf_dir, "site_pages"), "page_id", "body_text", html=False)
-    html = main_content.main_line_keys(load(spark, sf_dir, "crawled_pages"), "fetch_id", "body", html=True)
+    html_pages = load(spark, sf_dir, "crawled_pages").select("fetch_id", "body")
+    model = main_content.fit_weights(html_pages, "fetch_id", "body")
+    text = main_content.main_line_keys(load(spark, sf_dir, "site_pages"), "page_id", "body_text", html=False, model=model)
+    html = main_content.main_line_keys(html_pages, "fetch_id", "body", html=True, model=model)
     return text.select(F.lit("site_pages").alias("src"), "row_id", "line_key").unionAll(html.select(F.lit("crawled_pages").alias("src"), "row_id", "line_key"))
 
 

@@ -24,20 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.page_lines import collapse, kind
+from webloom.llm import grams
+from webloom.llm.page_lines import BLANK, is_furniture
 
 SAMPLE_ROWS = 40_000
 FIT_ROWS = 4_000
-BITS = 20
-# Fixed value: chi-squared of one degree of freedom at a chance of 1 in 1,000.
-LEAST_CHI = 10.83
-_SLOTS = np.uint64(1 << BITS)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n+|_+|[^\w\s]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 # What titles and short pages say instead of content, by family; only weak labels are made of them.
@@ -54,24 +48,17 @@ PHRASES = {
     "|placeholder text|placeholder copy|dummy text|dummy copy|sample text|sample copy|filler text|filler copy|this is placeholder|this is dummy|this is sample|this is filler",
 }
 _CUES = {k: tuple(v.split("|")) for k, v in PHRASES.items()}
-# The styles of blanks that templates leave.
-BLANK = re.compile(
-    r"\{\{\s*[A-Za-z_][\w. ]*\s*\}\}|\{%\s*[\w. ]+\s*%\}|[$#]\{\s*[\w. ]+\s*\}|<%=?\s*[\w. ]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@\w+@@|%%\w+%%|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]+__"
-    r"|\[[A-Z][A-Z_]{2,}\]|\[[Ii]nsert [\w ]{2,40}\]|\[[\w ]{2,40} (?:goes )?here\]|\((?:your|insert) [\w ]{2,40} here\)|«[A-Z][A-Z_]{2,}»|\{\d\}",
-    re.A,
-)
 _QUOTED = re.compile(r"`[^`]*`|\"[^\"\n]*\"|“[^”\n]*”|<code>.*?</code>")
 # Words of sentences that explain template syntax rather than show its failure.
 _EXPLAINS = re.compile(r"templat|mail merge|placeholder|\bfields?\b|syntax|variable|explain|replaced|prints|stands for|plantilla|vorlage|platzhalter|modèle|gabarit|marcador", re.I)
 
 
 _SIGNS = re.compile(r"[{}\[\]<%$#@_«]")
-_ASIDE = frozenset("blank menu notice share byline tags teaser comment".split())
 
 
 def without_furniture(body: str | None) -> str:
     """The lines of a body that are no menus, notices, prompts or credits, or hold signs that such lines lack."""
-    return "\n".join(x for x in ((body or "").split("\n")) if _SIGNS.search(x) or kind(x, collapse(x)) not in _ASIDE)
+    return "\n".join(x for x in ((body or "").split("\n")) if x.strip() and (_SIGNS.search(x) or not is_furniture(x)))
 
 
 @dataclass(frozen=True)
@@ -114,7 +101,7 @@ def families(title: str, body: str) -> dict[str, set[int]]:
 def weak_label(title: str | None, body: str | None, status: int | None, without: str | None = None) -> int:
     """1 case, 0 none, -1 not told, by status and phrases (those of one family left out); body without its furniture."""
     title, body = title or "", body or ""
-    if not _TOKEN.search(body + title):
+    if not grams.TOKEN.search(body + title):
         return -1
     found, n = families(title, body), sentences(body)
     found.pop(without, None)
@@ -126,138 +113,20 @@ def weak_label(title: str | None, body: str | None, status: int | None, without:
         rest = sentences("\n".join(x for i, x in enumerate(body.split("\n"), 1) if i not in lines))
         return 1 if rest == 0 or (failed and rest <= 2) else -1 if failed else 0
     # without a word beside its furniture a page is only empty
-    return 0 if n >= 1 or not _TOKEN.search(body) else -1
-
-
-class _Hashes(dict):
-    """token -> hashes of the word, of its shape (the highest bit tells signs that running text lacks) and of its kind."""
-
-    def __missing__(self, token: str) -> tuple[int, int, int]:
-        if len(self) > 500_000:
-            self.clear()
-        h = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) or 1
-        if token[0] == "\n":
-            word = shape = "\n"
-        elif token[0].isdigit():
-            word = shape = "0"
-        elif token[0].isalpha():
-            word = token.lower()
-            shape = "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
-        else:
-            word = shape = token[:4]
-        rare = not (token[0].isalnum() or token in _PLAIN)
-        kind_of = "S" if rare else "w" if token[0].isalpha() else shape
-        got = self[token] = (h(word), h("sign " + shape) | (1 << 63) if rare else h("shape " + shape) >> 1, h("kind " + kind_of))
-        return got
-
-
-_PLAIN = frozenset([".", ",", "\n", ";", ":", "-", "!", "?", "'", '"', "(", ")", "’", "–", "|", ">", "/", "·", "*", "•"])
-_KNOWN = _Hashes()
-
-
-def _grams(text: str, part: int, bucket: int) -> list[np.ndarray]:
-    tokens = _TOKEN.findall(text)
-    if not tokens:
-        return []
-    pairs = np.array([_KNOWN[t if t[0] != "\n" else "\n"] for t in tokens], np.uint64)
-    w, s, kinds = pairs.T
-    salt = np.uint64(part)
-    mix = lambda a, b: (a * _MIX) ^ (b + (a >> np.uint64(31)))
-    two = mix(w[:-1], w[1:])
-    out = [w + salt, two + salt]
-    if len(w) > 2:
-        out.append(mix(two[:-1], w[2:]) + salt)
-    # shapes only around signs that running text lacks
-    sign = s >> np.uint64(63) != 0
-    if sign.any():
-        for stream in (s, kinds):
-            g, has = stream, sign
-            for n in range(1, 5):
-                if len(g) < 2:
-                    break
-                g, has = mix(g[:-1], stream[n:]), has[:-1] | sign[n:]
-                out.append(g[has] + salt)
-    if part == 2:
-        at = np.uint64(1000 + bucket)
-        out += [mix(w, at), mix(two, at)]
-    return out
+    return 0 if n >= 1 or not grams.TOKEN.search(body) else -1
 
 
 def features(title: str | None, body: str | None) -> np.ndarray:
     """Sorted distinct slots of a page; empty for a page without words."""
     title, body = title or "", body or ""
     n = sentences(body)
-    bucket = 4 if not _TOKEN.search(body) else 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3
-    lists = [*_grams(title, 1, bucket), *_grams(body, 2, bucket)]
+    bucket = 4 if not grams.TOKEN.search(body) else 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3
+    lists = [*grams.page_grams(title, 1, bucket), *grams.page_grams(body, 2, bucket)]
     if not lists:
         return np.empty(0, np.int32)
     short, words = min(9, len(title.split())), min(12, len(body).bit_length())
-    own = np.array([10_000 + bucket, 11_000 + min(n, 20), 12_000 + short, 13_000 + words, 14_000 + 20 * short + bucket, 15_000 + (title == "")], np.uint64) * _MIX
-    return np.unique((np.concatenate([*lists, own]) * _MIX >> np.uint64(64 - BITS)).astype(np.int32))
-
-
-def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
-    """L-BFGS with backtracking; f gives value and gradient."""
-    value, g = f(x)
-    past: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        q, kept = g.copy(), []
-        for s, y, r in reversed(past):
-            a = r * (s @ q)
-            kept.append(a)
-            q -= a * y
-        if past:
-            s, y, r = past[-1]
-            q *= 1 / (r * (y @ y))
-        for (s, y, r), a in zip(past, reversed(kept), strict=True):
-            q += (a - r * (y @ q)) * s
-        slope, t = -(g @ q), 1.0 if past else 1 / max(1e-12, np.sqrt(g @ g))
-        while True:
-            there = x - t * q
-            new, h = f(there)
-            if new <= value + 1e-4 * t * slope or t < 1e-10:
-                break
-            t /= 2
-        s, y = there - x, h - g
-        if value - new < 1e-7 * max(1.0, abs(value)):
-            return there if new < value else x
-        if s @ y > 1e-12:
-            past = [*past, (s, y, 1 / (s @ y))][-memory:]
-        x, value, g = there, new, h
-    return x
-
-
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression with L2 and balanced classes on slots scaled by their log ratio between the classes; the same result every time."""
-    y = np.array([r[1] for r in rows], np.float64)
-    idx = np.concatenate([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    size = 1 << BITS
-    pos, neg = np.bincount(idx, y[row], size), np.bincount(idx, 1 - y[row], size)
-    ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-    # chance alone links rare n-grams to a class: only those stay whose link is beyond doubt
-    n, seen = len(y), pos + neg
-    expected = seen * y.sum() / n
-    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - seen / n), 1e-12)
-    ratio[(seen < 3) | (chi < LEAST_CHI)] = 0.0
-    keep = ratio[idx] != 0
-    idx, row = idx[keep], row[keep]
-    used, at = np.unique(idx, return_inverse=True)
-    scale = ratio[used] / 10
-    cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b = x[:-1], x[-1]
-        z = np.bincount(row, (w * scale)[at], len(rows)) + b
-        m = np.where(y == 1, -z, z)
-        value = (cost * np.logaddexp(0, m)).sum() + ridge * (w @ w) / 2
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        return value, np.append(np.bincount(at, d[row], len(used)) * scale + ridge * w, d.sum())
-
-    x = minimise(loss, np.zeros(len(used) + 1), steps)
-    out = np.zeros(size, np.float32)
-    out[used] = x[:-1] * scale
-    return out, float(x[-1])
+    own = np.array([10_000 + bucket, 11_000 + min(n, 20), 12_000 + short, 13_000 + words, 14_000 + 20 * short + bucket, 15_000 + (title == "")], np.uint64) * grams.MIX
+    return grams.slots([*lists, own])
 
 
 _GROUPS = (None, "blank", *PHRASES)
@@ -287,7 +156,7 @@ def _fit_twice(idx: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, f
     for again in (False, True):
         if not 0 < (labels == 1).sum() or not 0 < (labels == 0).sum():
             return None
-        w, b = fit([(idx[i], int(labels[i])) for i in np.flatnonzero(labels >= 0)])
+        w, b = grams.fit([(idx[i], int(labels[i])) for i in np.flatnonzero(labels >= 0)])
         if not again:
             z = _score(w, b, idx)
             labels = np.where((labels != 1) & (z > 1), 1, np.where((labels == 0) & (z > -0.5), -1, labels))
