@@ -40,8 +40,8 @@ def test_surge_and_dive():
     assert M.blocks([0, 0, 5, 0, 6, 0, 0, 0, 0, 0, 7]) == [(2, 5), (10, 11)] and M.blocks([]) == [] == M.blocks([0, 0])
     assert M.blocks([0, 1, 0, 0, 0, 90, 0, 1]) == [(5, 8)] and M.blocks([1, 0, 0, 0, 0, 0, 90, 0, 0, 0, 0, 0, 1], share=0.01) == [(0, 1), (6, 7), (12, 13)]
     # the window decides: what is one block through a wide window is two through a narrow one
-    weights = [9, 9, 0, 0, 9, 9]
-    assert M.blocks(weights, window=3) == [(0, 6)] and M.blocks(weights, window=2) == [(0, 2), (4, 6)]
+    weights = [9, 9, 0, 0, 0, 0, 9, 9]
+    assert M.blocks(weights, window=3) == [(0, 8)] and M.blocks(weights, window=2) == [(0, 2), (6, 8)]
     assert M.dense([0.0, 0.0]) == [False, False]
 
 

@@ -21,9 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ WINDOW = 3
 # Sums below this share of a page's largest are no block; pages and lines that teach the weights.
 SURGE_SHARE = 0.15
 SAMPLE_PAGES = 4_000
+PAGES, KNOWN_LINES = 256, 1 << 16
 LEAST_MAIN = 400
 # The share of taught headings that may fall below the score that keeps them; lines outside that score
 # above this share of the article's are no examples in the next round.
@@ -59,21 +59,22 @@ class LineModel:
     text_from: float
     heading_from: float
 
+    def scores(self, lines: list[str]) -> np.ndarray:
+        return mean_scores(self.weights, self.bias, line_grams(lines))
+
     def chance(self, line: str) -> float:
         """From 0 to 1, how likely an ended line is an article's; 0.5 at the score that parts the taught lines best."""
-        return min(1.0, max(0.0, 0.5 + 5 * (self.score(line) - self.text_from)))
-
-    def score(self, line: str) -> float:
-        return mean_score(self.weights, self.bias, line_features(line))
+        return float(np.clip(0.5 + 5 * (self.scores([line])[0] - self.text_from), 0, 1))
 
 
-def line_features(line: str) -> np.ndarray:
-    return grams.line_slots(unmarked(line), ended(line))
+def line_grams(lines: list[str]) -> grams.Texts:
+    return grams.lines([unmarked(x) for x in lines], [ended(x) for x in lines])
 
 
-def mean_score(weights: np.ndarray, bias: float, idx: np.ndarray) -> float:
+def mean_scores(weights: np.ndarray, bias: float, texts: grams.Texts) -> np.ndarray:
     """Log odds over the root of the number of n-grams, so that long lines aren't surer by their length alone."""
-    return (float(weights[idx].sum()) + bias) / max(1.0, float(len(idx))) ** 0.5
+    total, count = texts.scores(weights)
+    return (total + bias) / np.sqrt(np.maximum(1.0, count))
 
 
 def is_text(line: str) -> bool:
@@ -88,25 +89,34 @@ def _may_head(line: str) -> bool:
 
 
 class _Judge:
-    """(weight, may head) of lines; furniture comes back on page after page, so shorter lines are looked up."""
+    """(weight, may head) of lines. Furniture comes back on page after page, so what was judged is kept and the new lines of a batch are judged at once."""
 
     def __init__(self, model: LineModel | None) -> None:
         self.model = model
-        self.short = lru_cache(maxsize=1 << 16)(self._judge)
-
-    def __call__(self, raw: str, line: str) -> tuple[float, bool]:
-        return self.short(raw, line) if len(raw) <= 160 else self._judge(raw, line)
-
-    def _judge(self, raw: str, line: str) -> tuple[float, bool]:
-        if not line:
-            return 0.0, False
-        if is_text(line):
-            if is_filler(line):
-                return 0.0, False
-            return len(line) * (1.0 if self.model is None else self.model.chance(line)), False
-        if is_list_of_words(raw) or is_numbered(line) or not _may_head(line):
-            return 0.0, False
-        return 0.0, self.model is None or self.model.score(line) >= self.model.heading_from
+        self.known: dict[str, tuple[float, bool]] = {}
+
+    def learn(self, raws: Iterable[str]) -> None:
+        if len(self.known) > KNOWN_LINES:
+            self.known = {}
+        new = [r for r in dict.fromkeys(raws) if r not in self.known]
+        lines = [collapse(r) for r in new]
+        texts = [bool(x) and is_text(x) for x in lines]
+        heads = [bool(x) and not t and not is_list_of_words(r) and not is_numbered(x) and _may_head(x) for r, x, t in zip(new, lines, texts, strict=True)]
+        asked = [i for i in range(len(new)) if texts[i] or heads[i]]
+        score = self.model.scores([lines[i] for i in asked]) if self.model is not None and asked else None
+        for r in new:
+            self.known[r] = (0.0, False)
+        for k, i in enumerate(asked):
+            if heads[i]:
+                self.known[new[i]] = (0.0, score is None or bool(score[k] >= self.model.heading_from))
+            elif not is_filler(lines[i]):
+                chance = 1.0 if score is None else min(1.0, max(0.0, 0.5 + 5 * (score[k] - self.model.text_from)))
+                self.known[new[i]] = (len(lines[i]) * chance, False)
+
+    def __call__(self, raw: str) -> tuple[float, bool]:
+        if raw not in self.known:
+            self.learn([raw])
+        return self.known[raw]
 
 
 def dense(weights: list[float], window: int = WINDOW, share: float = SURGE_SHARE) -> list[bool]:
@@ -157,7 +167,7 @@ def main_lines(body: str | None, judge: _Judge | None = None, window: int = WIND
     judge = judge or _Judge(None)
     raw = body.split("\n")
     lines = [collapse(x) for x in raw]
-    judged = [judge(r, x) for r, x in zip(raw, lines, strict=True)]
+    judged = [judge(r) for r in raw]
     return kept(lines, [w for w, _ in judged], [h for _, h in judged], window, share)
 
 
@@ -186,12 +196,16 @@ def _containers(page: markup.Page) -> tuple[list[int], list[bool], dict[int, flo
     return homes, off, weight
 
 
-def main_html_lines(source: str | None, judge: _Judge | None = None, window: int = WINDOW, share: float = SURGE_SHARE) -> list[str]:
+def _parsed(source: str | None) -> markup.Page | None:
+    return markup.read(source) if source and "<" in source else None
+
+
+def main_html_lines(source: str | markup.Page | None, judge: _Judge | None = None, window: int = WINDOW, share: float = SURGE_SHARE) -> list[str]:
     """The main-content lines of an HTML page, h1 included, in page order."""
-    if not source or "<" not in source:
+    page = _parsed(source) if not isinstance(source, markup.Page) else source
+    if page is None:
         return []
     judge = judge or _Judge(None)
-    page = markup.read(source)
     elements = page.elements
     if not page.lines:
         return []
@@ -200,7 +214,7 @@ def main_html_lines(source: str | None, judge: _Judge | None = None, window: int
     heading = [_HEADING.fullmatch(elements[x.element].tag) is not None for x in page.lines]
     weights, heads = [], []
     for text, head, o in zip(texts, heading, off, strict=True):
-        w, _ = (0.0, False) if o or head else judge(text, collapse(text))
+        w, _ = (0.0, False) if o or head else judge(text)
         weights.append(w)
         heads.append(head and not o and _may_head(text))
     by: dict[int, float] = {}
@@ -261,10 +275,11 @@ def parting(z: np.ndarray, y: np.ndarray) -> float:
 
 def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(y, h, is_text(line), line_features(line)) for body in batch.column(0).to_pylist() for line, y, h in taught_lines(body) if line]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        rows = [(line, y, h, is_text(line)) for body in batch.column(0).to_pylist() for line, y, h in taught_lines(body) if line]
+        lines, y, heading, text = zip(*rows, strict=True) if rows else [()] * 4
+        idx = line_grams(list(lines)).lists(distinct=False) if rows else []
         types = [pa.int8(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["y", "heading", "text", "idx"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((y, heading, text, idx), types, strict=True)], names=["y", "heading", "text", "idx"])
 
 
 def fit_weights(pages: DataFrame, id_col: str, body_col: str, sample_pages: int = SAMPLE_PAGES) -> LineModel | None:
@@ -284,7 +299,7 @@ def fit_weights(pages: DataFrame, id_col: str, body_col: str, sample_pages: int
             # sentences of sidebars that read like an article's say where a line stands, not what it says: they teach nothing about words
             told = (y == 1) | (z < np.quantile(z[article], LIKE_ARTICLE))
         w, b = grams.fit([(idx[i], int(y[i])) for i in np.flatnonzero(told)], steps=60, ridge=1e-4)
-        z = np.array([mean_score(w, b, i) for i in idx])
+        z = np.array([(w[i].sum() + b) / max(1, len(i)) ** 0.5 for i in idx])
     some = told & (text == 1)
     text_from = parting(z[some], y[some])
     heading_from = float(np.quantile(z[heading == 1], HEADING_LOST)) if heading.any() else 0.0
@@ -298,22 +313,28 @@ def line_key(line: str) -> str:
 
 def _batches(batches: Iterator[pa.RecordBatch], html: bool, keys: bool, model: LineModel | None) -> Iterator[pa.RecordBatch]:
     judge = _Judge(model)
-    for batch in batches:
-        ids, values = [], []
-        for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES):
+            batch = whole.slice(at, PAGES)
+            rows, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if html:
-                lines = main_html_lines(body, judge)
-            else:
-                raw = (body or "").split("\n")
-                lines = [raw[i] for i in main_lines(body, judge)]
-            if keys:
-                found = dict.fromkeys(map(line_key, lines))
-                ids += [row] * len(found)
-                values += found
+                pages = [_parsed(b) for b in bodies]
+                judge.learn(x.text for p in pages if p is not None for x in p.lines)
+                found = [main_html_lines(p, judge) if p is not None else [] for p in pages]
             else:
-                ids.append(row)
-                values.append("\n".join(lines))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "line_key" if keys else "main_text"])
+                split = [(b or "").split("\n") for b in bodies]
+                judge.learn(x for raw in split for x in raw)
+                found = [[raw[i] for i in main_lines(b, judge)] for b, raw in zip(bodies, split, strict=True)]
+            ids, values = [], []
+            for row, lines in zip(rows, found, strict=True):
+                if keys:
+                    own = dict.fromkeys(map(line_key, lines))
+                    ids += [row] * len(own)
+                    values += own
+                else:
+                    ids.append(row)
+                    values.append("\n".join(lines))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "line_key" if keys else "main_text"])
 
 
 def main_text(df: DataFrame, id_col: str, body_col: str, html: bool, model: LineModel | None = None) -> DataFrame:

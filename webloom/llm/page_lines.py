@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import ahocorasick
+
 # Words that sentences of en, de, es, fr can hardly do without.
 STOPWORDS = frozenset(
     "a an the of to in and for is are was were be been by on at as with from that this it its has had have not or but "
@@ -49,6 +51,7 @@ _COMMENT = re.compile(
 )
 _PARTS = re.compile(r"\s{2,}|\s*[|·•>/›»]\s*|\s+[-–—]\s+|,\s+")
 _ENDED = re.compile(r"[.!?…:;。！？][\"'”’»)\]*_]*$")
+_SENTENCES = re.compile(r"(?<=[.!?:;]) ")
 _MARK = re.compile(r"^(?:[-*•–—]|\d{1,3}[.)])\s+")
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s+\S")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -99,23 +102,35 @@ def is_list_of_words(raw: str) -> bool:
     return len(parts) >= 3 and all(len(p.split()) <= 2 for p in parts) and not ended(raw.rstrip())
 
 
+_CUES = ahocorasick.Automaton()
+for _cue in _NOTICE + _SHARE:
+    _CUES.add_word(_cue, _cue)
+_CUES.make_automaton()
+
+
+def _told(text: str) -> bool:
+    return next(_CUES.iter(text), None) is not None
+
+
 def _furniture(raw: str) -> bool:
     line = collapse(raw)
-    words = _WORD.findall(line)
-    if not words or is_list_of_words(raw):
+    if not _WORD.search(line) or is_list_of_words(raw):
         return True
-    low = line.lower()
     if not ended(line):
+        words = _WORD.findall(line)
         if sum(w.lower() in MENU_WORDS for w in words) >= 0.6 * len(words) or _NUMBERED.match(line) or (len(words) <= 12 and _BYLINE.search(line)):
             return True
-    if _NAV.search(line) and len(words) <= 8:
+    if _NAV.match(line) and line.count(" ") < 8:
         return True
-    if _LABEL.search(line) or _COMMENT.search(line):
+    if ":" in line and (_LABEL.match(line) or _COMMENT.match(line)):
         return True
+    low = line.lower()
+    if not _told(low):
+        return False
     # a cue counts where it stands in most of the sentences, so that an article may speak of such things
-    parts = [s for s in re.split(r"(?<=[.!?:;]) ", low) if s.strip()]
-    told = sum(any(k in s for k in _NOTICE) or any(k in s for k in _SHARE) for s in parts) if any(k in low for k in _NOTICE) or any(k in low for k in _SHARE) else 0
-    return 2 * told >= len(parts) > 0 and len(words) <= 60 * max(1, told)
+    parts = [s for s in _SENTENCES.split(low) if s.strip()]
+    told = sum(map(_told, parts))
+    return 2 * told >= len(parts) > 0 and line.count(" ") < 60 * max(1, told)
 
 
 _short = lru_cache(maxsize=1 << 16)(_furniture)

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from webloom.llm.page_lines import BLANK, is_furniture
 
 SAMPLE_ROWS = 40_000
 FIT_ROWS = 4_000
+PAGES, SLICE_BYTES = 256, 4 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 # What titles and short pages say instead of content, by family; only weak labels are made of them.
@@ -116,17 +118,30 @@ def weak_label(title: str | None, body: str | None, status: int | None, without:
     return 0 if n >= 1 or not grams.TOKEN.search(body) else -1
 
 
-def features(title: str | None, body: str | None) -> np.ndarray:
-    """Sorted distinct slots of a page; empty for a page without words."""
-    title, body = title or "", body or ""
-    n = sentences(body)
-    bucket = 4 if not grams.TOKEN.search(body) else 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3
-    lists = [*grams.page_grams(title, 1, bucket), *grams.page_grams(body, 2, bucket)]
-    if not lists:
-        return np.empty(0, np.int32)
-    short, words = min(9, len(title.split())), min(12, len(body).bit_length())
-    own = np.array([10_000 + bucket, 11_000 + min(n, 20), 12_000 + short, 13_000 + words, 14_000 + 20 * short + bucket, 15_000 + (title == "")], np.uint64) * grams.MIX
-    return grams.slots([*lists, own])
+def features(titles: list[str | None], bodies: list[str]) -> list[np.ndarray]:
+    """Distinct slots of pages, bodies without their furniture; none for a page without words."""
+    titles = [t or "" for t in titles]
+    n = np.array([sentences(b) for b in bodies], np.int64)
+    words = np.array([grams.TOKEN.search(b) is not None for b in bodies], bool)
+    bucket = np.where(words, np.digitize(n, [2, 4, 7]), 4)
+    own, body = grams.pages(titles, 1), grams.pages(bodies, 2, bucket)
+    some = np.flatnonzero(words | (own.size > 0))
+    short = np.array([min(9, len(t.split())) for t in titles], np.int64)
+    length = np.array([min(12, len(b).bit_length()) for b in bodies], np.int64)
+    body.parts += own.parts
+    for x in (10_000 + bucket, 11_000 + np.minimum(n, 20), 12_000 + short, 13_000 + length, 14_000 + 20 * short + bucket, 15_000 + np.array([t == "" for t in titles], np.int64)):
+        body.add(x[some].astype(np.uint64) * grams.MIX, some)
+    return body.lists(distinct=True)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most PAGES rows, fewer where texts are long."""
+    at = 0
+    length = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("body_text")), 0)).astype(np.int64)
+    while at < batch.num_rows:
+        n = max(1, min(PAGES, int(np.searchsorted(np.cumsum(length[at : at + PAGES]), SLICE_BYTES, "right"))))
+        yield batch.slice(at, n)
+        at += n
 
 
 _GROUPS = (None, "blank", *PHRASES)
@@ -134,18 +149,21 @@ _GROUPS = (None, "blank", *PHRASES)
 
 def _featured(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     """(labels, held_out, idx): labels with all families and without each; a share of the pages that are no cases."""
-    for batch in batches:
-        labels, held, idx = [], [], []
-        for title, body, status, domain, draw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            text = without_furniture(body)
-            label = weak_label(title, text, status)
-            if label != 1 and draw >= (share if label == 0 else 4 * share):
-                continue
-            own = families(title or "", text) if label == 1 else {}
-            labels.append([label, *(weak_label(title, text, status, g) if g in own else label for g in _GROUPS[1:])])
-            held.append(zlib.crc32((domain or "").encode()) % 5 == 0)
-            idx.append(features(title, text))
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.list_(pa.int8())), pa.array(held, pa.bool_()), pa.array(idx, pa.list_(pa.int32()))], names=["labels", "held_out", "idx"])
+    for whole in batches:
+        for batch in _slices(whole):
+            labels, held, titles, texts = [], [], [], []
+            for title, body, status, domain, draw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                text = without_furniture(body)
+                label = weak_label(title, text, status)
+                if label != 1 and draw >= (share if label == 0 else 4 * share):
+                    continue
+                own = families(title or "", text) if label == 1 else {}
+                labels.append([label, *(weak_label(title, text, status, g) if g in own else label for g in _GROUPS[1:])])
+                held.append(zlib.crc32((domain or "").encode()) % 5 == 0)
+                titles.append(title)
+                texts.append(text)
+            idx = features(titles, texts) if texts else []
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.list_(pa.int8())), pa.array(held, pa.bool_()), pa.array(idx, pa.list_(pa.int32()))], names=["labels", "held_out", "idx"])
 
 
 def _score(w: np.ndarray, b: float, idx: list[np.ndarray]) -> np.ndarray:
@@ -205,18 +223,18 @@ def scored(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFrame
     """(page_id, score): the model's log odds that a page is residue, of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for title, body, status in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text = without_furniture(body)
-                idx = features(title, text)
-                if not len(idx):
-                    out.append(-10.0)  # an empty page is only empty
-                elif model.weights is None:
-                    out.append(float(weak_label(title, text, status) == 1) - 0.5)
+        for whole in batches:
+            for batch in _slices(whole):
+                _, titles, bodies, states = (batch.column(i).to_pylist() for i in range(4))
+                texts = [without_furniture(b) for b in bodies]
+                idx = features(titles, texts)
+                if model.weights is None:
+                    out = [float(weak_label(t, x, s) == 1) - 0.5 for t, x, s in zip(titles, texts, states, strict=True)]
                 else:
-                    out.append(float(model.weights[idx].sum()) + model.bias)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["page_id", "score"])
+                    out = [float(model.weights[i].sum()) + model.bias for i in idx]
+                # an empty page is only empty
+                out = [z if len(i) else -10.0 for z, i in zip(out, idx, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["page_id", "score"])
 
     return pages.select(F.col(id_col).cast("long"), "title", "body_text", F.col("metadata.status_code").cast("int").alias("status")).mapInArrow(run, "page_id long, score double")
 
