@@ -99,16 +99,184 @@ LANGUAGE_WORDS = {
 
 # authority of domains: suffixes of the first tier, and short example lists that callers replace by a table
 TIER1_SUFFIXES = [".gov", ".edu", ".ac.uk", ".mil"]
+# Domains of the three upper tiers.
 TIER_DOMAINS = {
-    1: ["nature.com", "science.org", "arxiv.org", "ieee.org", "acm.org", "w3.org", "who.int", "nasa.gov", "nih.gov", "worldbank.org"],
-    2: ["reuters.com", "bbc.co.uk", "bbc.com", "apnews.com", "stackoverflow.com", "github.com", "docs.python.org", "developer.mozilla.org", "wikipedia.org"],
-    3: ["reddit.com", "quora.com", "stackexchange.com", "medium.com", "wordpress.com", "blogspot.com", "kaggle.com", "huggingface.co"],
+    1: (
+        "nature.com science.org sciencedirect.com springer.com thelancet.com bmj.com nejm.org cell.com pnas.org arxiv.org pubmed.ncbi.nlm.nih.gov scholar.google.com "
+        "jstor.org wiley.com tandfonline.com oup.com cambridge.org sagepub.com ssrn.com researchgate.net w3.org ietf.org ieee.org acm.org iso.org "
+        "who.int nasa.gov nist.gov worldbank.org cdc.gov nih.gov fda.gov epa.gov sec.gov un.org europa.eu imf.org oecd.org "
+        "data.gov census.gov bls.gov usda.gov energy.gov defense.gov state.gov"
+    ).split(),
+    2: (
+        "reuters.com apnews.com bbc.com bbc.co.uk nytimes.com washingtonpost.com theguardian.com npr.org cnn.com cnbc.com forbes.com bloomberg.com ft.com economist.com wsj.com "
+        "usatoday.com latimes.com theatlantic.com politico.com axios.com time.com newsweek.com news.google.com news.yahoo.com abcnews.go.com nbcnews.com cbsnews.com foxnews.com "
+        "techcrunch.com theverge.com arstechnica.com wired.com zdnet.com cnet.com engadget.com anandtech.com tomshardware.com servethehome.com theregister.com infoworld.com computerworld.com "
+        "fortune.com businessinsider.com hbr.org investopedia.com marketwatch.com seekingalpha.com "
+        "docs.python.org docs.rs doc.rust-lang.org developer.mozilla.org developer.apple.com developer.android.com developers.google.com learn.microsoft.com cloud.google.com aws.amazon.com "
+        "docs.aws.amazon.com azure.microsoft.com docs.oracle.com docs.docker.com kubernetes.io react.dev vuejs.org angular.io nextjs.org nodejs.org go.dev www.typescriptlang.org "
+        "en.wikipedia.org wikipedia.org wikidata.org wikimedia.org britannica.com stackoverflow.com github.com docs.github.com gitlab.com cppreference.com man7.org "
+        "openai.com anthropic.com deepmind.google ai.meta.com nvidia.com developer.nvidia.com intel.com amd.com qualcomm.com apple.com microsoft.com google.com "
+        "mayoclinic.org webmd.com healthline.com sciencedaily.com newscientist.com livescience.com phys.org scientificamerican.com"
+    ).split(),
+    3: (
+        "medium.com dev.to hashnode.dev substack.com dzone.com baeldung.com freecodecamp.org css-tricks.com smashingmagazine.com digitalocean.com tutorialspoint.com geeksforgeeks.org w3schools.com "
+        "reddit.com old.reddit.com news.ycombinator.com quora.com stackexchange.com lobste.rs slashdot.org discourse.org wordpress.com blogspot.com tumblr.com ghost.org notion.site "
+        "techtarget.com techrepublic.com pcmag.com howtogeek.com makeuseof.com lifehacker.com statista.com kaggle.com huggingface.co paperswithcode.com distill.pub"
+    ).split(),
 }
 DOUBLE_SUFFIXES = ["co.uk", "com.au", "co.jp", "co.kr", "com.br", "co.in"]
+# Entities and the domains that are official for them, one entity a line.
 OFFICIAL_DOMAINS = [
-    ("python", ["python.org", "docs.python.org"]), ("rust", ["rust-lang.org", "doc.rust-lang.org"]), ("spark", ["spark.apache.org"]),
-    ("kubernetes", ["kubernetes.io"]), ("postgres", ["postgresql.org"]), ("nasa", ["nasa.gov"]), ("nvidia", ["nvidia.com"]), ("linux", ["kernel.org"]),
-]
+    (name.strip(), domains.split())
+    for name, domains in (
+        line.split(":")
+        for line in """
+chatgpt: openai.com
+gpt-5: openai.com
+gpt-4: openai.com
+gpt-4o: openai.com
+dall-e: openai.com
+openai: openai.com platform.openai.com
+claude: anthropic.com docs.anthropic.com
+anthropic: anthropic.com docs.anthropic.com
+gemini: deepmind.google ai.google
+deepmind: deepmind.google
+google ai: ai.google deepmind.google
+bard: ai.google
+copilot: github.com copilot.microsoft.com
+llama: ai.meta.com llama.meta.com
+meta ai: ai.meta.com
+mistral: mistral.ai
+cohere: cohere.com
+stability ai: stability.ai
+stable diffusion: stability.ai
+midjourney: midjourney.com
+hugging face: huggingface.co
+huggingface: huggingface.co
+perplexity: perplexity.ai
+h100: nvidia.com developer.nvidia.com
+h200: nvidia.com developer.nvidia.com
+b200: nvidia.com developer.nvidia.com
+b100: nvidia.com developer.nvidia.com
+gb200: nvidia.com developer.nvidia.com
+a100: nvidia.com developer.nvidia.com
+rtx 5090: nvidia.com
+rtx 4090: nvidia.com
+cuda: developer.nvidia.com
+tensorrt: developer.nvidia.com
+nvidia: nvidia.com developer.nvidia.com
+radeon: amd.com
+ryzen: amd.com
+epyc: amd.com
+rocm: amd.com
+amd: amd.com
+intel arc: intel.com
+xeon: intel.com
+core ultra: intel.com
+intel: intel.com
+apple silicon: apple.com
+m4 chip: apple.com
+qualcomm: qualcomm.com
+snapdragon: qualcomm.com
+aws: aws.amazon.com docs.aws.amazon.com
+amazon web services: aws.amazon.com
+ec2: aws.amazon.com
+lambda aws: aws.amazon.com
+s3 bucket: aws.amazon.com
+azure: azure.microsoft.com learn.microsoft.com
+gcp: cloud.google.com
+google cloud: cloud.google.com
+firebase: firebase.google.com
+vercel: vercel.com
+netlify: netlify.com
+cloudflare: cloudflare.com
+digitalocean: digitalocean.com
+supabase: supabase.com
+rust lang: rust-lang.org doc.rust-lang.org
+rustup: rust-lang.org
+cargo crate: crates.io doc.rust-lang.org
+python: python.org docs.python.org
+pip install: pypi.org
+typescript: typescriptlang.org
+javascript: developer.mozilla.org
+golang: go.dev
+kotlin: kotlinlang.org
+swift lang: swift.org developer.apple.com
+java jdk: oracle.com openjdk.org
+csharp: learn.microsoft.com
+dotnet: dotnet.microsoft.com
+react: react.dev
+nextjs: nextjs.org
+next.js: nextjs.org
+vue.js: vuejs.org
+vuejs: vuejs.org
+angular: angular.io angular.dev
+svelte: svelte.dev
+django: djangoproject.com
+flask: flask.palletsprojects.com
+fastapi: fastapi.tiangolo.com
+spring boot: spring.io
+laravel: laravel.com
+rails: rubyonrails.org
+express.js: expressjs.com
+tailwind: tailwindcss.com
+pytorch: pytorch.org
+tensorflow: tensorflow.org
+docker: docker.com docs.docker.com
+kubernetes: kubernetes.io
+terraform: terraform.io
+ansible: ansible.com
+postgresql: postgresql.org
+postgres: postgresql.org
+mysql: mysql.com dev.mysql.com
+mongodb: mongodb.com
+redis: redis.io
+elasticsearch: elastic.co
+sqlite: sqlite.org
+cockroachdb: cockroachlabs.com
+planetscale: planetscale.com
+iphone: apple.com
+ipad: apple.com
+macbook: apple.com
+apple: apple.com
+windows 11: microsoft.com
+microsoft: microsoft.com
+google search: google.com
+chrome: google.com chromium.org
+android: developer.android.com android.com
+pixel phone: store.google.com
+samsung galaxy: samsung.com
+samsung: samsung.com
+tesla: tesla.com
+spacex: spacex.com
+github: github.com docs.github.com
+gitlab: gitlab.com
+bitbucket: bitbucket.org
+jira: atlassian.com
+confluence: atlassian.com
+slack api: api.slack.com
+discord bot: discord.com
+figma: figma.com
+notion: notion.so
+linear: linear.app
+stripe: stripe.com docs.stripe.com
+twilio: twilio.com
+sendgrid: sendgrid.com
+auth0: auth0.com
+okta: okta.com
+datadog: datadoghq.com
+grafana: grafana.com
+sentry: sentry.io
+npm: npmjs.com
+yarn: yarnpkg.com
+ethereum: ethereum.org
+solana: solana.com
+bitcoin: bitcoin.org
+polygon: polygon.technology
+chainlink: chain.link
+""".strip().splitlines()
+    )
+]
 
 # parts of URLs and hosts of the frontier's bonus
 FRONTIER_BONUS = [(0.3, [".gov", ".edu", "wikipedia.org"]), (0.2, ["stackoverflow.com", "github.com", "arxiv.org"]), (0.1, [".org"])]

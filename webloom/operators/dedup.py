@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.hashing import content_hash, hamming
+from webloom.session import stage_table
 
 BANDS = 4
 
@@ -78,6 +79,60 @@ def near_duplicates(fps: DataFrame, bits: int = 3, width: int = 60) -> DataFrame
     return fps.join(reps, "fp").join(both, "fp", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def three_level(docs: DataFrame, row: str, url: str, at: str, content: str, fp: str, ttl_seconds: int, bits: int = 3) -> DataFrame:
+    """(row, verdict): url, exact, near or unique, as if the rows came in order of (at, row) and only unique ones were registered.
+
+    What a row is judged against depends on the verdicts before it, so verdicts are settled in rounds. In each round
+    the earliest unique and the earliest unsettled row of every content and of every fingerprint with its near ones, and
+    the latest of both in a URL's run of visits, tell which rows hit a unique one and which need wait for nobody: these
+    are settled. Only such group values meet the rows, never pairs of rows. A round settles at least the first of
+    every chain of rows that depend on one another; a URL's runs end at pauses beyond the ttl. A null URL, content,
+    or fingerprint matches nothing; a null time comes first.
+    """
+    seconds = F.coalesce(F.unix_timestamp(F.col(at).cast("timestamp")), F.lit(0))
+    base = docs.select(F.col(row).cast("long").alias("id"), F.col(url).alias("url"), seconds.alias("at"), F.col(content).alias("content"), F.col(fp).cast("long").alias("fp"))
+    if ttl_seconds:
+        own = Window.partitionBy("url").orderBy("at", "id")
+        base = base.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(own) > ttl_seconds, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(own)).drop("new")
+    else:
+        base = base.withColumn("run", F.lit(0).cast("long"))
+    left = stage_table(base, "dedup-rows")
+    near = near_pairs(left.select("fp").where("fp is not null"), bits).select("fp_a", "fp_b")
+    self_ = left.select("fp").where("fp is not null").distinct().select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"))
+    near = stage_table(near.unionAll(near.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b"))).unionAll(self_), "dedup-near")
+    me, never = F.struct("at", "id"), F.lit(None).cast("struct<at:bigint,id:bigint>")
+    first = lambda flag: F.min(F.when(F.col("kept") == flag, F.struct("at", "id")))
+    kept = left.limit(0)
+    settled: list[DataFrame] = []
+    while True:
+        pool = left.withColumn("kept", F.lit(0)).unionByName(kept.withColumn("kept", F.lit(1)))
+        by_content = pool.where("content is not null").groupBy("content").agg(first(1).alias("c1"), first(0).alias("c0"))
+        by_fp = pool.where("fp is not null").groupBy("fp").agg(first(1).alias("k1"), first(0).alias("k0"))
+        by_near = near.join(by_fp, F.col("fp_b") == F.col("fp")).groupBy("fp_a").agg(F.min("k1").alias("f1"), F.min("k0").alias("f0"))
+        before = Window.partitionBy("url", "run").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+        latest = lambda flag: F.max(F.when(F.col("kept") == flag, F.struct("at", "id"))).over(before)
+        seen = pool.withColumns({"u1": F.when(F.col("url").isNotNull(), latest(1)).otherwise(never), "u0": F.when(F.col("url").isNotNull(), latest(0)).otherwise(never)}).where("kept = 0")
+        both = seen.join(by_content, "content", "left").join(by_near, F.col("fp") == F.col("fp_a"), "left")
+        fresh = (lambda c: F.col(c).isNotNull()) if ttl_seconds == 0 else (lambda c: F.col("at") - F.col(f"{c}.at") <= ttl_seconds)
+        earlier = lambda c: F.coalesce(F.col(c) < me, F.lit(False))
+        verdict = (
+            F.when(F.coalesce(fresh("u1"), F.lit(False)), "url").when(F.coalesce(fresh("u0"), F.lit(False)), "wait")
+            .when(earlier("c1"), "exact").when(earlier("c0"), "wait")
+            .when(earlier("f1"), "near").when(earlier("f0"), "wait").otherwise("unique")
+        )
+        judged = stage_table(both.select("id", "url", "at", "content", "fp", "run", verdict.alias("verdict")), "dedup-round")
+        settled.append(judged.where("verdict <> 'wait'").select(F.col("id").alias(row), "verdict"))
+        kept = kept.unionByName(judged.where("verdict = 'unique'").drop("verdict"))
+        left = judged.where("verdict = 'wait'").drop("verdict")
+        if left.isEmpty():
+            break
+        kept = stage_table(kept, "dedup-kept")
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def register(events: pd.DataFrame, ttl_seconds: int, bits: int = 3) -> list[str]:
     """Verdict of every event in order: url, exact, near or unique; only unique ones are registered.
 

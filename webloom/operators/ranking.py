@@ -167,19 +167,100 @@ def reordered(rows: DataFrame, query: str, query_text: str, row: str, text: str,
     return narrow.groupBy(query).applyInPandas(run, f"{query} {types[query]}, {row} {types[row]}, position int")
 
 
-def funnel(candidates: DataFrame, queries: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """The whole model-free ranking: gate, fusion, boosts, anchor penalty, the best k of every query with snippet and confidence.
+MIN_SCORE, MIN_ORGS = 0.35, 3
+
+
+def boosted_stage(candidates: DataFrame, queries: DataFrame, as_of: str, k: int = 10, least: float = MIN_SCORE) -> DataFrame:
+    """Stages 0 to 3 of the funnel: gate, fusion, score floor, boosts, the best 30, anchor penalty; columns of the candidates with query_text, query_type, score, rank.
 
     candidates: query_id, cand_id, url, domain, title, body_text, published_date, source_tier, scores and
     ranks. queries: query_id, query_text. Candidates of unknown queries are left out.
     """
     asked = candidates.join(queries.select("query_id", "query_text"), "query_id")
     gated = asked.where(filters.relevant(F.col("query_text"), F.col("title"), F.col("body_text")))
-    stage1 = fused(gated)
-    stage3 = top(boosted(stage1.drop("rank"), "query_text", "domain", "published_date", "source_tier", as_of), ["query_id"], "score", "cand_id", STAGE3)
+    gated = gated.withColumn("total_pages", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    floored = floor_scores(fused(gated).drop("rank"), "query_id", "score", "cand_id", least, k)
+    stage3 = top(boosted(floored, "query_text", "domain", "published_date", "source_tier", as_of), ["query_id"], "score", "cand_id", STAGE3)
     final = stage3.withColumn("score", F.round(anchored(F.col("score"), F.col("query_text"), F.col("title"), F.col("body_text")), 9)).drop("rank")
-    best = top(final, ["query_id"], "score", "cand_id", k)
+    return top(final, ["query_id"], "score", "cand_id", STAGE3)
+
+
+def checked_stage(stage3: DataFrame, fuzzy: bool = True, min_orgs: int = MIN_ORGS) -> tuple[DataFrame, DataFrame]:
+    """Stage 4: (query_id, url, verification, claims, contradictions) of every URL with any, and (query_id, unique_orgs, coverage, echo_risk) of every query."""
+    from webloom.operators import verification as V
+
+    said = V.phrases(stage3, "query_id", "url", "body_text", "rank")
+    claims = V.claims(said, fuzzy).groupBy("scope", F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("claims"), F.max((F.col("verification") == "Verified").cast("int")).alias("sure"))
+    against = V.numeric_contradictions(V.number_claims(said))
+    sides = against.select("scope", F.explode(F.array_distinct(F.array("source_a", "source_b"))).alias("url")).groupBy("scope", "url").agg(F.count(F.lit(1)).alias("contradictions"))
+    both = claims.join(sides, ["scope", "url"], "full_outer")
+    status = F.when(F.col("sure") == 1, "Verified").when(F.col("claims") > 0, "Partial").when(F.col("contradictions") > 0, "Contested").otherwise("Unverified")
+    per_url = both.select(F.col("scope").alias("query_id"), "url", status.alias("verification"), F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("contradictions", F.lit(0)).alias("contradictions"))
+    echo = V.echo_chamber(stage3, "query_id", "url", min_orgs)
+    return per_url, echo.select(F.col("scope").alias("query_id"), F.col("orgs").alias("unique_orgs"), (F.col("orgs") / min_orgs).alias("coverage"), "echo_risk")
+
+
+def chosen(stage3: DataFrame, k: int = 10) -> DataFrame:
+    """Stages 5 and 6: (query_id, cand_id, position): the diverse selection of each query's at most 30 rows, reordered by new subtopics."""
+    from webloom.functions.hashing import simhash
+
+    narrow = stage3.select("query_id", "cand_id", "query_text", "rank", "domain", "score", "body_text", simhash(F.col("body_text")).alias("body_hash"), "embedding")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [{n: (None if isinstance(v, float) and v != v else v) for n, v in r.items()} for r in pdf.sort_values("rank").to_dict("records")]
+        kept = diverse(rows, k=k)
+        order = subtopic_order([rows[i]["body_text"] or "" for i in kept], [rows[i]["score"] or 0.0 for i in kept], rows[0]["query_text"] or "")
+        return pd.DataFrame({"query_id": [rows[i]["query_id"] for i in kept], "cand_id": [rows[kept[j]]["cand_id"] for j in order], "position": range(1, len(kept) + 1)})
+
+    types = dict(stage3.dtypes)
+    return narrow.groupBy("query_id").applyInPandas(pick, f"query_id {types['query_id']}, cand_id {types['cand_id']}, position int")
+
+
+def funnel(candidates: DataFrame, queries: DataFrame, as_of: str, k: int = 10, rerank=None) -> DataFrame:
+    """The whole ranking: gate, fusion, floor, boosts, anchor penalty, cross-document checks, diversity, subtopics, result assembly.
+
+    rerank: a function of the fused rows that replaces their score (a model); none by default. Stages 4 to 6 see at
+    most 30 rows a query. A row without an own embedding counts as unlike all others.
+    """
+    if "embedding" not in candidates.columns:
+        candidates = candidates.withColumn("embedding", F.lit(None).cast("array<float>"))
+    stage3 = boosted_stage(candidates, queries, as_of, k) if rerank is None else rerank(boosted_stage(candidates, queries, as_of, k))
+    per_url, per_query = checked_stage(stage3)
+    best = stage3.join(chosen(stage3, k), ["query_id", "cand_id"]).join(per_url, ["query_id", "url"], "left").join(per_query, "query_id")
+    status = F.coalesce("verification", F.lit("Unverified"))
     return best.select(
-        "query_id", "cand_id", "url", "title", "query_type", "source_tier", F.round("score", 6).alias("score"), "rank",
-        F.round(confidence(F.lit("Unverified"), F.col("source_tier")), 2).alias("confidence"), snippet(F.col("body_text"), F.col("query_text")).alias("content"),
+        "query_id", "cand_id", "position", "url", "title", "query_type", "source_tier", F.round("score", 6).alias("score"), status.alias("verification"),
+        F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("contradictions", F.lit(0)).alias("contradictions"), F.round(confidence(status, F.col("source_tier")), 2).alias("confidence"),
+        F.round("coverage", 6).alias("coverage"), "echo_risk", "total_pages", F.col("published_date").alias("freshness"), snippet(F.col("body_text"), F.col("query_text"), 1500).alias("content"),
     )
+
+
+def with_hybrid_ranks(candidates: DataFrame, text_hits: DataFrame, vector_hits: DataFrame, query: str = "query_id", url: str = "url") -> DataFrame:
+    """candidates with bm25_rank, bm25_score, vector_rank, vector_score from two result lists (query, url, score, rank) over all documents.
+
+    Ranks are those of the whole lists, so candidates may have gaps; what neither list holds stays without ranks, and
+    a URL that comes twice in a list counts at its best place.
+    """
+    side = lambda hits, name: hits.groupBy(query, url).agg(F.min("rank").alias(f"{name}_rank"), F.max("score").alias(f"{name}_score"))
+    bare = candidates.drop("bm25_rank", "bm25_score", "vector_rank", "vector_score")
+    return bare.join(side(text_hits, "bm25"), [query, url], "left").join(side(vector_hits, "vector"), [query, url], "left")
+
+
+def over_budget(candidates: DataFrame, query: str, tie: str, k: int) -> DataFrame:
+    """What is answered when the time is over: the first k of a query as they came, confidence .5, coverage .3."""
+    first = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(tie))).where(F.col("rank") <= k)
+    return first.withColumns({"confidence": F.lit(0.5), "verification": F.lit("Unverified"), "coverage": F.lit(0.3)})
+
+
+def index_first(hits: DataFrame, k: int, as_of: str, hours: int = 24, least: float = 0.5) -> DataFrame:
+    """(query_id, ...): the answers of queries of which the index alone holds k fresh ones; other queries have no rows.
+
+    hits: query_id, doc_id, url, title, score, rank, indexed_at. Fresh: younger than `hours` at as_of, a score above `least`.
+    """
+    age = F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("indexed_at")
+    fresh = hits.where((age < hours * 3600) & (F.col("score") > least))
+    w = Window.partitionBy("query_id")
+    counted = fresh.withColumns({"n": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy("rank"))})
+    return counted.where((F.col("n") >= k) & (F.col("place") <= k)).select(
+        "query_id", "place", "doc_id", "url", "title", F.col("title").alias("content"), "score", F.lit(0.7).alias("confidence"), F.lit("Partial").alias("verification"), F.lit(0.7).alias("coverage")
+    )

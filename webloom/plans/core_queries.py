@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from webloom.functions import hashing, text, urls, vectors
 from webloom.functions import lexicons as X
-from webloom.operators import chunking, dedup, enrich, entities, evaluation, filters, ranking, retrieval, synthesis, verification
+from webloom.operators import chunking, dedup, enrich, entities, evaluation, filters, ranking, retrieval, synthesis, text_index, verification
 from webloom.plans import crawl, ingest, tools
 from webloom.registry import Registry
-from webloom.session import stage_table
+from webloom.session import shared_dir, stage_table
 from webloom.sources import extract, feeds, responses, stores
 from webloom.streaming import events as E
 from webloom.tables import load, spread
@@ -57,6 +57,12 @@ _QSIGNS = f"{_hits('lower(query_text)', X.NEWS_SIGNALS)} AS n, {_hits('lower(que
 # --- index and retrieval
 
 
+def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """The kept index of the documents, built by the first query that needs it."""
+    docs = load(spark, sf_dir, "documents")
+    return text_index.read(spark, text_index.kept_for(spark, docs, "doc_id", ["title", "text"], shared_dir(spark)))
+
+
 @query(
     "bm25_topk",
     f"""
@@ -69,7 +75,7 @@ SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_nu
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every search query."""
-    return retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "search_queries"), "doc_id", ["text"], "query_id", "query_text")
+    return _index(spark, sf_dir).search_all(load(spark, sf_dir, "search_queries"), "query_id", "query_text", ["text"], id_col="doc_id")
 
 
 @query(
@@ -287,6 +293,41 @@ def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cand_id", enrich.primary_source_boost(F.col("query_text"), F.col("domain")).alias("boost"))
 
 
+_OFFICIAL_SQL = "(VALUES " + ", ".join(f"({i}, '{e}', '{d}')" for i, (e, ds) in enumerate(X.OFFICIAL_DOMAINS) for d in ds) + ") AS o(i, entity, official)"
+_TIERED = [d for ds in X.TIER_DOMAINS.values() for d in ds]
+_OFFICIALS = sorted({d for _, ds in X.OFFICIAL_DOMAINS for d in ds})
+
+
+@query(
+    "official_sources",
+    f"""WITH k AS (SELECT cand_id, 'more about ' || {_list([e for e, _ in X.OFFICIAL_DOMAINS])}[cand_id % {len(X.OFFICIAL_DOMAINS)} + 1] AS q, 'www.' || {_list(_OFFICIALS)}[cand_id // 7 % {len(_OFFICIALS)} + 1] AS d FROM rank_candidates),
+w AS (SELECT *, {_ORG.format("d")} AS org FROM k)
+SELECT cand_id, round((CASE WHEN strlen(string_split(org, '.')[1]) >= 3 AND contains(q, string_split(org, '.')[1]) THEN 2.5 ELSE 1.0 END)
+* (CASE WHEN EXISTS (SELECT 1 FROM {_OFFICIAL_SQL} WHERE contains(q, entity) AND (d = official OR org = official OR ends_with(d, '.' || official))) THEN 1.8 ELSE 1.0 END), 6) AS boost FROM w""",
+)
+def official_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boost where every listed entity and official domain meets the candidates in turn, so that each branch is taken."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    i = F.col("cand_id")
+    c = load(spark, sf_dir, "rank_candidates").select("cand_id", F.concat(F.lit("more about "), pick([e for e, _ in X.OFFICIAL_DOMAINS], i)).alias("q"), F.concat(F.lit("www."), pick(_OFFICIALS, F.floor(i / 7))).alias("d"))
+    return c.select("cand_id", F.round(enrich.primary_source_boost(F.col("q"), F.col("d")), 6).alias("boost"))
+
+
+@query(
+    "listed_tiers",
+    "WITH t(suffix, tier) AS (VALUES "
+    + ", ".join(f"('{d}', {n})" for n, ds in X.TIER_DOMAINS.items() for d in ds)
+    + f"""), k AS (SELECT cand_id, (CASE cand_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a.' ELSE 'x' END) || {_list(_TIERED)}[cand_id % {len(_TIERED)} + 1] AS d FROM rank_candidates)
+SELECT cand_id, CAST(CASE WHEN regexp_matches(d, '([.]gov|[.]edu|[.]ac[.]uk|[.]mil)$') THEN 1 ELSE coalesce((SELECT min(tier) FROM t WHERE d = suffix OR ends_with(d, '.' || suffix)), 4) END AS INT) AS source_tier FROM k""",
+)
+def listed_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier of every listed domain, of a host below it and of a look-alike, in turn over the candidates."""
+    i = F.col("cand_id")
+    head = F.when(i % 3 == 0, "").when(i % 3 == 1, "a.").otherwise("x")
+    c = load(spark, sf_dir, "rank_candidates").select("cand_id", F.concat(head, F.element_at(F.array(*map(F.lit, _TIERED)), (i % len(_TIERED) + 1).cast("int"))).alias("d"))
+    return enrich.with_tier(c, "d", enrich.tier_table(spark)).select("cand_id", "source_tier")
+
+
 # --- filters and text
 
 _LOW = "lower(coalesce(text, ''))"

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.functions.text import snippet
-from webloom.operators import enrich, entities, filters, ranking, retrieval, synthesis, verification
+from webloom.functions.text import index_tokens, snippet
+from webloom.operators import enrich, entities, ranking, retrieval, synthesis, text_index, verification
 from webloom.plans import crawl as C
+from webloom.session import shared_dir
 from webloom.sources import extract
 from webloom.streaming.events import progressive
 from webloom.tables import load
@@ -70,9 +71,15 @@ TOOLS = {
 }
 
 
+PAGES_A_SECOND = 8
+
+
 class Tools:
+    """The tools over the tables of a folder. Searches use the kept text index of the documents, built at the first of them."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> None:
         self.spark, self.dir, self.as_of = spark, sf_dir, as_of
+        self._index: text_index.TextIndex | None = None
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.dir, name)
@@ -80,11 +87,18 @@ class Tools:
     def call(self, name: str, given: dict) -> DataFrame:
         return getattr(self, name)(**TOOLS[name].bind(given))
 
-    def _search(self, query: str, k: int, text: str = "text") -> DataFrame:
-        docs = self.table("documents").where(filters.long_enough(F.col("text")))
-        q = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
-        hits = retrieval.bm25(docs, q, "doc_id", ["title", "text"], "query_id", "query_text", k)
-        return hits.join(docs, "doc_id").select("doc_id", "url", "title", "domain", "text", "crawled_at", "score", "rank")
+    def index(self) -> text_index.TextIndex:
+        if self._index is None:
+            self._index = text_index.read(self.spark, text_index.kept_for(self.spark, self.table("documents"), "doc_id", ["title", "text"], shared_dir(self.spark)))
+        return self._index
+
+    def _with_texts(self, hits: DataFrame) -> DataFrame:
+        """hits (doc, score, rank, at most a few hundred) with their documents; ranks stay as they are."""
+        docs = self.table("documents").withColumnRenamed("doc_id", "doc")
+        return hits.join(docs, "doc").select(F.col("doc").alias("doc_id"), "url", "title", "domain", "text", "crawled_at", "score", "rank")
+
+    def _search(self, query: str, k: int) -> DataFrame:
+        return self._with_texts(self.index().search(query, k=k))
 
     def _answers(self, hits: DataFrame, query: str) -> DataFrame:
         return hits.select(
@@ -92,9 +106,10 @@ class Tools:
         )
 
     def instant_search(self, query: str, max_results: int = 5) -> DataFrame:
-        c = self.table("rank_candidates").select("cand_id", "url", "title", "body_text")
-        s = c.withColumn("score", ranking.instant(c, F.lit(query), F.col("title"), F.col("body_text")))
-        return s.where("score > 0").orderBy(F.desc("score"), "cand_id").limit(max_results).select("url", "title", F.col("body_text").alias("content"), F.round("score", 6).alias("score"))
+        """Of the index's best hits those with most query terms in title and text."""
+        c = self._search(query, 10 * max_results)
+        s = c.withColumn("score", ranking.instant(c, F.lit(query), F.col("title"), F.col("text")))
+        return s.where("score > 0").orderBy(F.desc("score"), "rank").limit(max_results).select("url", "title", snippet(F.col("text"), F.lit(query), 300).alias("content"), F.round("score", 6).alias("score"))
 
     def quick_search(self, query: str, max_results: int = 10) -> DataFrame:
         return self._answers(self._search(query, max_results), query)
@@ -104,30 +119,55 @@ class Tools:
         return progressive(early, self.quick_search(query, max_results))
 
     def deep_research(self, query: str, max_pages: int = 500, depth: int = 3, time_limit: int = 120) -> DataFrame:
-        """Candidates of every variant of the query, gated and boosted as in the funnel, the best ten."""
+        """The ten best of a crawl through the whole funnel.
+
+        Seeds are the index's hits of every form of the query; their links are followed to `depth` over the page
+        table, as many pages as max_pages and the time limit (PAGES_A_SECOND) allow; pages of both waves, ranked by the index
+        where it knows them, are the candidates.
+        """
         asked = self.spark.createDataFrame([(0, query)], "id long, q string")
         forms = enrich.reformulated(asked, "id", "q", int(self.as_of[:4])).select(F.col("position").cast("long").alias("query_id"), F.col("variant").alias("query_text"))
-        docs = self.table("documents").where(filters.long_enough(F.col("text")))
-        hits = retrieval.bm25(docs, forms, "doc_id", ["title", "text"], "query_id", "query_text", max(1, max_pages // 6))
-        best = hits.groupBy("doc_id").agg(F.max("score").alias("score"))
-        rows = best.join(docs, "doc_id").withColumns({"query_text": F.lit(query), "q": F.lit(0)})
+        budget = max(1, min(max_pages, PAGES_A_SECOND * time_limit))
+        hits = self.index().search_all(forms, "query_id", "query_text", k=max(1, budget // 6), id_col="doc")
+        best = hits.groupBy("doc").agg(F.max("score").alias("bm25_score"))
+        place = Window.orderBy(F.desc("bm25_score"), "doc")
+        first = best.orderBy(F.desc("bm25_score"), "doc").limit(budget).withColumn("bm25_rank", F.row_number().over(place).cast("long"))
+        docs = self.table("documents").select(F.col("doc_id").alias("doc"), "url", "title", F.col("text").alias("body_text"), F.col("crawled_at").alias("published_date"), "domain")
+        seeds = first.join(docs, "doc").select("url", "title", "body_text", "published_date", "domain", "bm25_score", "bm25_rank")
+        pages = self.table("site_pages").select("url", "links", "title", "body_text", "published_date", "domain", "crawled_at")
+        reached = C.crawl(pages, seeds.select("url"), depth - 1, budget).select("url").distinct() if depth > 1 else None
+        rows = seeds
+        if reached is not None:
+            newest = pages.join(reached, "url", "left_semi").groupBy("url").agg(*[F.max_by(c, "crawled_at").alias(c) for c in ("title", "body_text", "published_date", "domain")])
+            rows = seeds.unionByName(newest.join(seeds.select("url"), "url", "left_anti"), allowMissingColumns=True)
+        rows = rows.withColumns({"query_id": F.lit(0).cast("long"), "cand_id": F.xxhash64("url", "title", "body_text"), "vector_rank": F.lit(None).cast("long"), "vector_score": F.lit(None).cast("double")}).dropDuplicates(["cand_id"])
         rows = enrich.with_tier(rows, "domain", enrich.tier_table(self.spark))
-        boosted = ranking.boosted(rows, "query_text", "domain", "crawled_at", "source_tier", self.as_of)
-        final = boosted.withColumn("score", F.round(ranking.anchored(F.col("score"), F.col("query_text"), F.col("title"), F.col("text")), 6))
-        return self._answers(ranking.top(final, ["q"], "score", "doc_id", 10), query)
+        one = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
+        return ranking.funnel(rows, one, self.as_of).drop("query_id", "cand_id")
 
     def explore_topic(self, topic: str, breadth: int = 3) -> DataFrame:
-        return self.deep_research(topic, 200, 3, 60)
+        """Research on a topic and on the aspects that its best documents name most; breadth: how many aspects."""
+        best = self._search(topic, 20)
+        said = best.select(F.explode(F.array_distinct(F.filter(index_tokens(F.col("text")), lambda w: F.length(w) >= 6))).alias("w")).where(~F.contains(F.lit(topic.lower()), F.col("w")))
+        aspects = [r.w for r in said.groupBy("w").count().orderBy(F.desc("count"), "w").limit(breadth).collect()]
+        out = self.deep_research(topic, 200, 2, 60).withColumn("aspect", F.lit(topic))
+        for w in aspects:
+            out = out.unionByName(self.deep_research(f"{topic} {w}", 60, 1, 60).withColumn("aspect", F.lit(w)))
+        w = Window.partitionBy("url").orderBy(F.desc("score"), "aspect", "position")
+        return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
     def verify_claim(self, claim: str, min_sources: int = 5) -> DataFrame:
-        hits = self._search(claim, 2 * min_sources).withColumn("q", F.lit(0))
-        n = hits.select(urls.organisation(urls.host(F.col("url")))).distinct().count()
-        status = "Verified" if n >= min_sources else "Insufficient"
-        return self._answers(hits, claim).withColumns({"sources": F.lit(n), "status": F.lit(status)})
+        hits = self._search(claim, 2 * min_sources)
+        sources = F.size(F.collect_set(urls.organisation(urls.host(F.col("url")))).over(Window.partitionBy()))
+        told = hits.withColumn("sources", sources)
+        return told.select(
+            "rank", "url", "title", snippet(F.col("text"), F.lit(claim), 1500).alias("content"), "score", "sources", F.when(F.col("sources") >= min_sources, "Verified").otherwise("Insufficient").alias("status")
+        )
 
     def compare_sources(self, urls: list[str], aspect: str = "") -> DataFrame:
         pages = self.table("crawled_pages").where(F.col("url").isin(urls))
-        return extract.extracted(pages, "fetch_id", "body", "url").select("url", "title", "published", "author", "confidence", F.length("body_text").alias("chars"), F.lit(aspect).alias("aspect"))
+        got = extract.extracted(pages, "fetch_id", "body", "url")
+        return got.select("url", "title", "published", "author", "confidence", F.length("body_text").alias("chars"), snippet(F.col("body_text"), F.lit(aspect), 500).alias("on_aspect"), F.lit(aspect).alias("aspect"))
 
     def fetch_page(self, url: str) -> DataFrame:
         return self.table("site_pages").where(F.col("url") == url).select("url", "title", F.substring("body_text", 1, 2000).alias("preview"), F.col("metadata.status_code").alias("status"))
@@ -135,10 +175,21 @@ class Tools:
     def extract(self, url: str) -> DataFrame:
         return extract.extracted(self.table("crawled_pages").where(F.col("url") == url), "fetch_id", "body", "url")
 
+    def _edges(self) -> DataFrame:
+        return self.table("site_pages").select(F.col("url").alias("src"), F.posexplode("links").alias("place", "l")).select("src", "place", F.col("l.url").alias("dst"), F.col("l.anchor_text").alias("anchor_text"), F.col("l.is_external").alias("is_external"))
+
     def follow_links(self, url: str, pattern: str = "", depth: int = 1) -> DataFrame:
-        e = self.table("site_pages").where(F.col("url") == url).select(F.posexplode("links").alias("position", "l"))
-        hit = F.contains("l.url", F.lit(pattern)) | F.contains(F.lower("l.anchor_text"), F.lit(pattern.lower()))
-        return e.where(hit).orderBy("position").limit(50).select("position", "l.*")
+        """The first 50 links that match, nearest first: of the page, then of the pages they lead to, to the depth asked for."""
+        edges = self._edges()
+        hit = F.contains("dst", F.lit(pattern)) | F.contains(F.lower("anchor_text"), F.lit(pattern.lower()))
+        level, out = self.spark.createDataFrame([(url,)], "src string"), None
+        for d in range(1, depth + 1):
+            now = edges.where(hit).join(level, "src", "left_semi").groupBy("dst").agg(F.min("place").alias("place"), F.min_by("anchor_text", F.struct("src", "place")).alias("anchor_text"), F.min("is_external").alias("is_external")).withColumn("depth", F.lit(d))
+            now = now if out is None else now.join(out.select("dst"), "dst", "left_anti")
+            now = now.orderBy("place", "dst").limit(50)
+            out = now if out is None else out.unionByName(now)
+            level = now.select(F.col("dst").alias("src"))
+        return out.orderBy("depth", "place", "dst").limit(50).select("depth", F.col("place").alias("position"), F.col("dst").alias("url"), "anchor_text", "is_external")
 
     def paginate(self, url: str, max_pages: int = 10) -> DataFrame:
         return C.paginate(self.table("site_pages"), url, max_pages).select("position", "url", "title", F.substring("body_text", 1, 500).alias("preview"))
@@ -147,21 +198,33 @@ class Tools:
         age = F.floor((F.unix_timestamp(F.to_timestamp(F.lit(self.as_of))) - F.unix_timestamp("crawled_at")) / 3600)
         return self._search(query, max_results).select("rank", "url", "title", "domain", "score", age.alias("age_hours"), (age > 24).alias("stale"))
 
+    def vectors(self) -> DataFrame:
+        """Feature-hash embeddings of the documents, computed once and kept beside the index."""
+        docs = self.table("documents")
+        return text_index.kept_table(self.spark, docs, "vectors", shared_dir(self.spark), lambda: retrieval.hash_embedding(docs, "doc_id", "text", 64))
+
     def find_similar(self, text: str, top_k: int = 10) -> DataFrame:
-        docs = self.table("documents").select("doc_id", "text", "url")
         one = self.spark.createDataFrame([(0, text)], "doc_id long, text string")
         vec = retrieval.hash_embedding(one, "doc_id", "text", 64).first()["embedding"]
-        rows = retrieval.hash_embedding(docs, "doc_id", "text", 64)
-        near = retrieval.nearest(rows, [(0, list(vec))], "doc_id", "embedding", top_k)
-        return near.join(docs.select("doc_id", "url"), "doc_id").select("rank", "doc_id", "url", F.round("similarity", 6).alias("similarity"))
+        near = retrieval.nearest(self.vectors(), [(0, list(vec))], "doc_id", "embedding", top_k)
+        return near.join(self.table("documents").select("doc_id", "url"), "doc_id").select("rank", "doc_id", "url", F.round("similarity", 6).alias("similarity"))
 
     def get_entities(self, text: str) -> DataFrame:
         return entities.entities(self.spark.createDataFrame([(0, text)], "id long, text string"), "id", "text").select("name", "type")
 
     def get_link_graph(self, url: str, depth: int = 1) -> DataFrame:
-        e = self.table("site_pages").select(F.col("url").alias("src"), F.explode("links").alias("l")).select("src", F.col("l.url").alias("dst"), F.col("l.anchor_text").alias("anchor_text"), F.col("l.is_external").alias("is_external"))
-        out = e.where(F.col("src") == url).limit(100).withColumn("direction", F.lit("out"))
-        return out.unionByName(e.where(F.col("dst") == url).withColumn("direction", F.lit("in")))
+        """Links out of and into a page, and on to the depth asked for; at most 100 a direction and depth."""
+        e = self._edges().select("src", "dst", "anchor_text", "is_external").distinct()
+        out = None
+        for direction, here, there in (("out", "src", "dst"), ("in", "dst", "src")):
+            level, seen = self.spark.createDataFrame([(url,)], f"{here} string"), None
+            for d in range(1, depth + 1):
+                now = e.join(level, here, "left_semi").orderBy(here, there, "anchor_text").limit(100).select("src", "dst", "anchor_text", "is_external", F.lit(direction).alias("direction"), F.lit(d).alias("depth"))
+                out = now if out is None else out.unionByName(now)
+                before = level.select(F.col(here).alias("n"))
+                seen = before if seen is None else seen.unionByName(before)
+                level = now.select(F.col(there).alias("n")).distinct().join(seen, "n", "left_anti").select(F.col("n").alias(here))
+        return out
 
     def summarise(self, query: str, k: int = 5) -> DataFrame:
         """The best sentences of a quick search's results."""
