@@ -96,7 +96,7 @@ def test_furniture_is_no_message():
     text = residue.without_furniture("Home | News | Sport\n\nWe use cookies to count visits.")
     assert text == "" and residue.weak_label("A bridge", text, 200) == 0 and residue.weak_label("404 Not Found", text, 200) == 1
     assert residue.weak_label("Oh", UNLISTED[0], 503) == 1 and residue.weak_label("A bridge", SENTENCE, 200) == 0
-    assert residue.weak_label(None, None, None) == -1 and len(residue.features(None, None)) == 0
+    assert residue.weak_label(None, None, None) == -1 and len(residue.features([None], [""])[0]) == 0
     assert "{{ name }}" in residue.without_furniture("Related: {{ name }}")
 
 
