@@ -83,7 +83,7 @@ def test_hash_and_similarity(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over the dog"), (2, "the quick brown fox jumps over the dog"), (3, "two words"), (4, None), (5, "x " * 50_000)], "id long, t string")
     fp = {r.id: r.fp for r in hashing.simhash_frame(docs, "id", "t").collect()}
     assert fp[1] == fp[2] != 0 and fp[3] == fp[4] == 0 and len(fp) == 5
-    assert one(spark, hashing.simhash(F.lit("the quick brown fox jumps over the dog"))) == fp[1]
+    assert one(spark, hashing.simhash(F.lit("the quick brown fox jumps over the dog"))) == fp[1] == hashing.simhash_of("the quick brown fox jumps over the dog") and hashing.simhash_of(None) == 0
     assert one(spark, vectors.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert one(spark, vectors.max_similarity(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))), F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))))) == 2.0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,3 +65,10 @@ def simhash_frame(df: DataFrame, id_col: str, text_col: str, bits: int = 60, has
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def simhash_of(text: str | None, bits: int = 60) -> int:
+    """The same fingerprint of one text in Python, for rows that are in a Python step anyway."""
+    w = (text or "").split()
+    h = np.array([int(hashlib.md5(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) for i in range(len(w) - 2)], np.int64)
+    return sum(1 << b for b in range(bits) if len(h) and 2 * ((h >> b) & 1).sum() > len(h))

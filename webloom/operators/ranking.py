@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.functions.hashing import simhash_of
 from webloom.functions.text import let, snippet
 from webloom.operators import enrich, filters
 from webloom.operators.retrieval import candidate_fusion
+from webloom.session import stage_table
 
 STAGE1, STAGE3 = 50, 30
 
@@ -202,12 +204,12 @@ def checked_stage(stage3: DataFrame, fuzzy: bool = True, min_orgs: int = MIN_ORG
 
 def chosen(stage3: DataFrame, k: int = 10) -> DataFrame:
     """Stages 5 and 6: (query_id, cand_id, position): the diverse selection of each query's at most 30 rows, reordered by new subtopics."""
-    from webloom.functions.hashing import simhash
-
-    narrow = stage3.select("query_id", "cand_id", "query_text", "rank", "domain", "score", "body_text", simhash(F.col("body_text")).alias("body_hash"), "embedding")
+    narrow = stage3.select("query_id", "cand_id", "query_text", "rank", "domain", "score", "body_text", "embedding")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [{n: (None if isinstance(v, float) and v != v else v) for n, v in r.items()} for r in pdf.sort_values("rank").to_dict("records")]
+        for r in rows:
+            r["body_hash"] = simhash_of(r["body_text"])
         kept = diverse(rows, k=k)
         order = subtopic_order([rows[i]["body_text"] or "" for i in kept], [rows[i]["score"] or 0.0 for i in kept], rows[0]["query_text"] or "")
         return pd.DataFrame({"query_id": [rows[i]["query_id"] for i in kept], "cand_id": [rows[kept[j]]["cand_id"] for j in order], "position": range(1, len(kept) + 1)})
@@ -224,7 +226,9 @@ def funnel(candidates: DataFrame, queries: DataFrame, as_of: str, k: int = 10, r
     """
     if "embedding" not in candidates.columns:
         candidates = candidates.withColumn("embedding", F.lit(None).cast("array<float>"))
-    stage3 = boosted_stage(candidates, queries, as_of, k) if rerank is None else rerank(boosted_stage(candidates, queries, as_of, k))
+    stage3 = boosted_stage(candidates, queries, as_of, k)
+    # at most 30 rows a query, which four plans read
+    stage3 = stage_table(stage3 if rerank is None else rerank(stage3), "funnel")
     per_url, per_query = checked_stage(stage3)
     best = stage3.join(chosen(stage3, k), ["query_id", "cand_id"]).join(per_url, ["query_id", "url"], "left").join(per_query, "query_id")
     status = F.coalesce("verification", F.lit("Unverified"))

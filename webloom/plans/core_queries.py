@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact cosine neighbours of a stated query set (ids divisible by 50) among all vectors."""
     rows = load(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in rows.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
-    return retrieval.nearest(rows, asked, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 9))
+    return retrieval.nearest_in_blocks(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -198,6 +199,30 @@ def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.floor_scores(c, "query_id", "vector_score", "cand_id", 0.35, 10).select("query_id", "cand_id")
 
 
+_KIND_AF = """CASE {k} WHEN 'News' THEN {n} WHEN 'Research' THEN {r} WHEN 'Technical' THEN {t} WHEN 'Factual' THEN {f} ELSE {g} END"""
+_WA, _WF = _KIND_AF.format(k="kind", n=0.2, r=0.4, t=0.3, f=0.25, g=0.2), _KIND_AF.format(k="kind", n=0.4, r=0.1, t=0.1, f=0.15, g=0.2)
+
+
+@query(
+    "funnel_boosted",
+    f"""WITH q AS (SELECT query_id, query_text, {_QTYPE} AS kind FROM (SELECT query_id, query_text, {_QSIGNS} FROM search_queries)),
+a AS (SELECT c.*, query_text, kind, {_GATE} AS terms, lower(concat_ws(' ', coalesce(title, ''), coalesce(body_text, ''))) AS doc FROM rank_candidates c JOIN q USING (query_id)),
+g AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total_pages, round({_RRF}, 9) AS s FROM a WHERE len(terms) < 2 OR len(list_filter(terms, lambda t: contains(doc, t))) >= greatest(2, ceil(0.3 * len(terms)))),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cand_id) AS r FROM g QUALIFY r <= 50),
+m AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, sum(CAST(s >= 0.35 AS INT)) OVER w AS ok FROM f WINDOW w AS (PARTITION BY query_id)) WHERE n <= 10 OR (ok >= 10 AND s >= 0.35) OR (ok < 10 AND r <= 10)),
+b AS (SELECT *, CASE source_tier WHEN 1 THEN 1.2 WHEN 2 THEN 1.1 WHEN 3 THEN 1.0 ELSE 0.94 END AS au, CASE WHEN published_date IS NULL THEN 0.8 ELSE greatest(0.01, least(1.0, exp(-(CASE kind WHEN 'News' THEN 0.1 WHEN 'Research' THEN 0.005 ELSE 0.01 END) * greatest(0, floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(published_date))) / 86400))))) END AS fr, string_split({_ORG.format('lower(domain)')}, '.')[1] AS lab FROM m),
+c AS (SELECT *, s * (1 + {_WA} * (au - 1)) * (1 - {_WF} + {_WF} * fr) * (CASE WHEN strlen(lab) >= 3 AND contains(lower(query_text), lab) THEN 2.5 ELSE 1.0 END) AS s3 FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s3 DESC, cand_id) AS r3 FROM c QUALIFY r3 <= 30),
+h AS (SELECT *, list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda x: strlen(x) >= 4) AS w, lower(coalesce(title, '')) AS lt, lower(substr(coalesce(body_text, ''), 1, 500)) AS lh FROM d),
+i AS (SELECT query_id, cand_id, kind AS query_type, total_pages, round(s3 * CASE WHEN len(w) > 0 AND len(list_filter(w, lambda x: contains(lt, x) OR contains(lh, x))) = 0 THEN 0.5 ELSE 1.0 END, 9) AS score FROM h)
+SELECT query_id, cand_id, query_type, total_pages, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS INT) AS rank FROM i""",
+)
+def funnel_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query's candidates after gate, fusion, floor, boosts and anchor penalty: what the cross-document checks and the greedy steps start from."""
+    got = ranking.boosted_stage(load(spark, sf_dir, "rank_candidates"), load(spark, sf_dir, "search_queries"), AS_OF)
+    return got.select("query_id", "cand_id", "query_type", "total_pages", F.round("score", 6).alias("score"), "rank")
+
+
 @query("ranking_funnel")
 def ranking_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole model-free funnel for every query."""
@@ -214,15 +239,26 @@ def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtopic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order by new content bigrams."""
     c = ranking.fused(load(spark, sf_dir, "rank_candidates")).join(load(spark, sf_dir, "search_queries"), "query_id")
-    return ranking.reordered(c.select("query_id", "query_text", "cand_id", "body_text", "score"), "query_id", "query_text", "cand_id", "body_text", "score", 10)
+    return ranking.reordered(c.select("query_id", "query_text", "cand_id", "body_text", "score"), "query_id", "query_text", "cand_id", "body_text", "score")
+
+
+_DOT = "list_dot_product({0}, {1})"
 
 
-@query("max_similarity", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) + greatest(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 0 - list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM embeddings")
+@query(
+    "max_similarity",
+    """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), b AS (SELECT x.vec_id, x.e AS q1, y.e AS q2, z.e AS d1, list_transform(x.e, v -> 0 - v) AS d2 FROM a x JOIN a y ON y.vec_id = (x.vec_id + 1) % (SELECT count(*) FROM a) JOIN a z ON z.vec_id = (x.vec_id + 7) % (SELECT count(*) FROM a))
+SELECT vec_id, round(greatest(list_dot_product(q1, d1), list_dot_product(q1, d2), list_dot_product(q1, q2)) + greatest(list_dot_product(q2, d1), list_dot_product(q2, d2), list_dot_product(q2, q2)), 6) AS score FROM b""".replace("v -> 0 - v", "lambda v: 0 - v"),
+)
 def max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late-interaction score of two token vectors against a document of two, the vector and its negative."""
-    neg = F.transform("embedding", lambda x: -x)
-    q, d = F.array("embedding", "embedding"), F.array(F.col("embedding"), neg)
-    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.max_similarity(q, d), 6).alias("score"))
+    """Late-interaction score of two token vectors (a vector and its successor) against a document of three."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    y = e.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("vec_id"), F.col("embedding").alias("next"))
+    z = e.select(F.pmod(F.col("vec_id") - 7, F.lit(n)).alias("vec_id"), F.col("embedding").alias("far"))
+    r = e.join(y, "vec_id").join(z, "vec_id")
+    q, d = F.array("embedding", "next"), F.array(F.col("far"), F.transform("embedding", lambda x: -x), F.col("next"))
+    return r.select("vec_id", F.round(vectors.max_similarity(q, d), 6).alias("score"))
 
 
 # --- queries, domains, dates
@@ -359,7 +395,20 @@ def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("page_id").agg(F.count(F.lit(1)).alias("lines"), count(filters.navigation_line(F.col("t"))).alias("navigation"), count(filters.call_to_action(F.col("t"))).alias("calls"))
 
 
-@query("clean_text")
+_RX = lambda xs: "|".join(re.escape(x).replace(chr(39), chr(39) * 2).replace("\\ ", " ") for x in xs)
+_LINE_OUT = (
+    f"(regexp_matches(t, '^(?:{_RX(X.CODE_STARTS)})') OR (strlen(t) > 20 AND length(regexp_replace(t, '[^{{}}();#=<>\\[\\]]', '', 'g')) / greatest(strlen(t), 1) > 0.15) OR (starts_with(t, 'at ') AND contains(t, '(') AND contains(t, ':')) "
+    f"OR {_hits('lower(t)', X.CTA_PHRASES)} > 0 OR strlen(t) < 3 OR len(string_split(t, ' > ')) >= 3 OR regexp_matches(t, '^\\^\\s*(?:$|[A-Za-z](?: |$)|[A-Z' || chr(34) || chr(39) || '])') "
+    f"OR (contains(lower(t), 'retrieved ') AND regexp_matches(ltrim(regexp_extract(lower(t), '^.*?retrieved (\\s*\\S*)', 1)), '^(?:{'|'.join(X.MONTH_NAMES)}|20|19)')) OR (contains(lower(t), 'archived') AND contains(lower(t), 'from the original')))"
+)
+
+
+@query(
+    "clean_text",
+    f"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS i FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, i, raw FROM (SELECT *, trim(raw) AS t FROM l) WHERE NOT {_LINE_OUT}),
+j AS (SELECT doc_id, string_agg(regexp_replace(raw, '(?i)\\[\\s*(?:[0-9,\\- ]*|{_RX(X.EDITORIAL_MARKERS)})\\s*\\]', '', 'g'), chr(10) ORDER BY i) AS x FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN regexp_replace(translate(coalesce(x, ''), '‘’“”–—' || chr(160) || chr(8203) || chr(65279), chr(39) || chr(39) || chr(34) || chr(34) || '--   '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', ' ', 'g') END AS clean_text FROM documents LEFT JOIN j USING (doc_id)""",
+)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without code, navigation and reference lines."""
     return load(spark, sf_dir, "documents").select("doc_id", filters.clean_body(F.col("text")).alias("clean_text"))
@@ -517,7 +566,14 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.claims(_ranked_phrases(spark, sf_dir), fuzzy=False)
 
 
-@query("fuzzy_claims")
+@query(
+    "fuzzy_claims",
+    f"""WITH p AS (SELECT query_id AS scope, url, {_ORG.format(_HOST.format('url'))} AS org, cand_id, generate_subscripts(p, 1) AS pos, lower(unnest(p)) AS phrase FROM (SELECT query_id, url, cand_id, {_PHRASES.format('body_text')} AS p FROM rank_candidates)),
+f AS (SELECT scope, phrase, min((cand_id, pos)) AS first, list_distinct(list_filter({_WORDS.format('phrase')}, lambda x: strlen(x) > 3)) AS w FROM p GROUP BY scope, phrase),
+l AS (SELECT a.scope, a.phrase AS pa, b.phrase AS pb, a.first FROM f a JOIN f b ON a.scope = b.scope AND a.phrase <> b.phrase AND len(a.w) >= 3 AND len(b.w) >= 3 AND len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.4),
+u AS (SELECT scope, phrase, url, org, (cand_id, pos) AS seq FROM p UNION ALL SELECT l.scope, l.pa, p.url, p.org, (p.cand_id, p.pos) FROM l JOIN p ON p.scope = l.scope AND p.phrase = l.pb AND (p.cand_id, p.pos) > l.first)
+SELECT scope, phrase, arg_min(url, seq) AS source_url, count(DISTINCT org) AS orgs, CASE WHEN count(DISTINCT org) >= 2 THEN 'Verified' ELSE 'Partial' END AS verification, CASE WHEN count(DISTINCT org) >= 2 THEN 0.9 ELSE 0.7 END AS confidence FROM u GROUP BY scope, phrase""",
+)
 def fuzzy_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims with phrases of 40 % common long words counted together."""
     return verification.claims(_ranked_phrases(spark, sf_dir))
@@ -548,6 +604,24 @@ def numeric_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.numeric_contradictions(verification.number_claims(_ranked_phrases(spark, sf_dir))).select("scope", "topic", "unit", "severity")
 
 
+_STATED = "'The yearly cost of the wall in ' || domain || ' is ' || CAST(100 + (cand_id % 7) * 40 AS VARCHAR) || ' million pounds by the count'"
+
+
+@query(
+    "stated_contradictions",
+    f"""WITH p AS (SELECT query_id AS scope, url, cand_id, {_WORDS.format(_STATED)} AS w FROM rank_candidates), c AS (SELECT scope, array_to_string(w[5:9], ' ') AS topic, w[11] AS unit, CAST(w[10] AS DOUBLE) AS v, url, cand_id FROM p)
+SELECT scope, topic, unit, min(v) AS lo, max(v) AS hi, CASE WHEN (max(v) - min(v)) / min(v) > 1 THEN 'Hard' ELSE 'Soft' END AS severity FROM c GROUP BY scope, topic, unit HAVING count(*) >= 2 AND (max(v) - min(v)) / min(v) > 0.2""",
+)
+def stated_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions among sentences written over the candidates so that hosts disagree with themselves."""
+    said = F.concat(F.lit("The yearly cost of the wall in "), F.col("domain"), F.lit(" is "), (100 + (F.col("cand_id") % 7) * 40).cast("string"), F.lit(" million pounds by the count"))
+    rows = load(spark, sf_dir, "rank_candidates").select("query_id", "url", "cand_id", said.alias("phrase"))
+    p = rows.select(F.col("query_id").alias("scope"), "url", F.lit("").alias("org"), F.struct(F.col("cand_id").alias("ord"), F.lit(0).alias("pos")).alias("seq"), F.lower("phrase").alias("phrase"), F.col("phrase").alias("phrase_raw"))
+    numbers = verification.number_claims(p)
+    spans = numbers.groupBy("scope", "topic", "unit").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return verification.numeric_contradictions(numbers).select("scope", "topic", "unit", "severity").join(spans, ["scope", "topic", "unit"])
+
+
 @query(
     "tfidf_terms",
     f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+'), lambda x: strlen(x) >= 2 AND NOT list_contains({_list(X.SUMMARY_STOPWORDS)}, x)) AS t FROM documents), d AS (SELECT doc_id, t FROM t WHERE len(t) > 0),
@@ -561,9 +635,9 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("summaries")
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-sentence summaries of each query's best candidates."""
-    c = ranking.fused(load(spark, sf_dir, "rank_candidates"), k=10).join(load(spark, sf_dir, "search_queries"), "query_id")
-    return synthesis.summaries(c.select("query_id", "query_text", "body_text", "url", "title", F.col("rank").alias("place")), "query_id", "query_text", "body_text", "url", "title", "place", most_docs=10)
+    """Five-sentence summaries of each query's candidates, as many as the fusion leaves."""
+    c = ranking.fused(load(spark, sf_dir, "rank_candidates")).join(load(spark, sf_dir, "search_queries"), "query_id")
+    return synthesis.summaries(c.select("query_id", "query_text", "body_text", "url", "title", F.col("rank").alias("place")), "query_id", "query_text", "body_text", "url", "title", "place")
 
 
 # --- evaluation
@@ -766,7 +840,17 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.queue_order(load(spark, sf_dir, "events"), "event_type", "ts", "event_id", 1000).select("event_id", "event_type")
 
 
-@query("governor_replay")
+@query(
+    "governor_replay",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS domain, event_id AS tie, floor(epoch(ts)) AS s, event_type = 'error' AS soft, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+z AS (SELECT domain, 0 AS k, CAST(-1 AS BIGINT) AS tie, 500 AS delay, 0 AS bad, CAST(NULL AS DOUBLE) AS opened, 0 AS used, '' AS admission FROM (SELECT DISTINCT domain FROM e)),
+g AS (SELECT * FROM z UNION ALL SELECT domain, k, tie,
+CASE admission WHEN 'admit' THEN CASE WHEN soft THEN least(30000, delay * 2) ELSE greatest(50, delay - 125) END ELSE delay END,
+CASE admission WHEN 'admit' THEN CASE WHEN soft THEN bad + 1 ELSE 0 END ELSE bad END,
+CASE admission WHEN 'admit' THEN CASE WHEN soft AND (bad + 1 >= 5 OR opened IS NOT NULL) THEN s END ELSE opened END, CASE admission WHEN 'admit' THEN used + 1 ELSE used END, admission
+FROM (SELECT g.domain, e.k, e.tie, e.s, e.soft, g.delay, g.bad, g.opened, g.used, CASE WHEN g.used >= 1000 THEN 'over_budget' WHEN g.opened IS NOT NULL AND e.s - g.opened < 300 THEN 'wait' ELSE 'admit' END AS admission FROM g JOIN e ON e.domain = g.domain AND e.k = g.k + 1))
+SELECT domain, tie, admission, CAST(delay AS INT) AS delay_ms, CASE WHEN admission = 'over_budget' THEN 'closed' WHEN opened IS NOT NULL THEN 'open' ELSE 'closed' END AS breaker FROM g WHERE k > 0""",
+)
 def governor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pace, budget and breaker of every user's event stream, errors counting as soft blocks."""
     ev = load(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "error", "soft_block").otherwise("real_content"))
@@ -778,24 +862,150 @@ def governor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "crawl_levels",
-    """WITH RECURSIVE k AS (SELECT DISTINCT url FROM site_pages), e AS (SELECT DISTINCT p.url AS src, n.url AS url FROM (SELECT url, unnest(list_distinct([l.url FOR l IN links])) AS u FROM site_pages) p JOIN k n ON n.url = p.u) SELECT url, CAST(0 AS INT) AS depth FROM k WHERE contains(url, '/science/') UNION ALL SELECT url, CAST(1 AS INT) FROM (SELECT DISTINCT url FROM e WHERE contains(src, '/science/')) WHERE NOT contains(url, '/science/')""",
+    """WITH RECURSIVE k AS (SELECT DISTINCT url FROM site_pages), e AS (SELECT p.url AS src, n.url AS url, min(CAST(x AS INT)) AS x FROM (SELECT url, unnest([l.url FOR l IN links]) AS u, unnest([coalesce(l.is_external, false) FOR l IN links]) AS x FROM site_pages) p JOIN k n ON n.url = p.u GROUP BY ALL),
+r AS (SELECT url, 0 AS depth FROM k WHERE contains(url, '/science/') UNION SELECT e.url, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3 AND (r.depth = 0 OR e.x = 0)) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url""",
 )
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reached from the science section, by depth."""
     pages = load(spark, sf_dir, "site_pages").select("url", "links")
-    return crawl.crawl(pages, pages.where(F.contains("url", F.lit("/science/"))), 1)
+    return crawl.crawl(pages, pages.where(F.contains("url", F.lit("/science/"))), 3)
+
+
+_ASK, _CLAIM = "recent report on the climate budget", "the council of a town met about its harbour"
+_PAGE_URL = "(SELECT url FROM site_pages WHERE len(links) > 0 ORDER BY page_id LIMIT 1)"
+
+
+def _bm25_sql(text: str, k: int) -> str:
+    """The kept index's k best documents of one plain question: rank, doc_id, score."""
+    words = _list(sorted(set(text.lower().split())))
+    return f"""f AS (SELECT doc_id, 'title' AS field, {_TOKENS.format("coalesce(title, '')")} AS t FROM documents UNION ALL SELECT doc_id, 'text', {_TOKENS.format("coalesce(text, '')")} FROM documents),
+s AS (SELECT field, count(*) AS n, avg(len(t)) AS mean FROM f GROUP BY field),
+p AS (SELECT doc_id, field, len AS dl, term, count(*) AS tf FROM (SELECT doc_id, field, len(t) AS len, unnest(t) AS term FROM f) WHERE list_contains({words}, term) GROUP BY ALL), d AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+w AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM p JOIN d USING (field, term) JOIN s USING (field) GROUP BY doc_id),
+h AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM w QUALIFY rank <= {k})"""
+
+
+def _first_page(spark: SparkSession, sf_dir: str) -> str:
+    found = load(spark, sf_dir, "site_pages").where("size(links) > 0").select("page_id", "url").orderBy("page_id").first()
+    return found.url if found else ""
+
 
+def _tool(spark: SparkSession, sf_dir: str, name: str, **given) -> DataFrame:
+    return tools.Tools(spark, sf_dir).call(name, given)
 
-@query("tool_search_index")
+
+@query("tool_search_index", f"WITH {_bm25_sql(_ASK, 20)} SELECT CAST(rank AS INT) AS rank, url, title, domain, score, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(crawled_at))) / 3600) AS BIGINT) AS age_hours, floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(crawled_at))) / 3600) > 24 AS stale FROM h JOIN documents USING (doc_id)")
 def tool_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index tool's answer to a fixed question."""
-    return tools.Tools(spark, sf_dir).search_index("recent report on the climate budget", 20)
+    return _tool(spark, sf_dir, "search_index", query=_ASK, max_results=20)
+
+
+@query("tool_quick_search", f"WITH {_bm25_sql(_ASK, 10)} SELECT CAST(rank AS INT) AS rank, url, title, score, round(least(score * 0.1, 0.95), 4) AS confidence, 'Unverified' AS verification FROM h JOIN documents USING (doc_id)")
+def tool_quick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick search's answer; its passages are those of `snippets`."""
+    return _tool(spark, sf_dir, "quick_search", query=_ASK).drop("content")
+
+
+@query("tool_instant_search")
+def tool_instant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant search's answer."""
+    return _tool(spark, sf_dir, "instant_search", query=_ASK)
+
+
+@query("tool_streaming_search")
+def tool_streaming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early and final results."""
+    return _tool(spark, sf_dir, "streaming_search", query=_ASK)
 
 
 @query("tool_deep_research")
 def tool_deep_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The research tool's answer to a fixed question."""
-    return tools.Tools(spark, sf_dir).deep_research("impact of the storm on the harbour")
+    return _tool(spark, sf_dir, "deep_research", query="impact of the storm on the harbour", depth=2)
+
+
+@query("tool_explore_topic")
+def tool_explore_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic with its aspects."""
+    return _tool(spark, sf_dir, "explore_topic", topic="climate budget", breadth=2)
+
+
+@query("tool_verify_claim", f"WITH {_bm25_sql(_CLAIM, 10)}, a AS (SELECT rank, url, title, score, {_ORG.format(_HOST.format('url'))} AS org FROM h JOIN documents USING (doc_id)) SELECT CAST(rank AS INT) AS rank, url, title, score, CAST((SELECT count(DISTINCT org) FROM a) AS INT) AS sources, CASE WHEN (SELECT count(DISTINCT org) FROM a) >= 5 THEN 'Verified' ELSE 'Insufficient' END AS status FROM a")
+def tool_verify_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent sources for a claim."""
+    return _tool(spark, sf_dir, "verify_claim", claim=_CLAIM).drop("content")
+
+
+@query("tool_compare_sources")
+def tool_compare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fetched pages side by side."""
+    some = [r.url for r in load(spark, sf_dir, "crawled_pages").where("status = 200").orderBy("fetch_id").select("url").limit(3).collect()]
+    return _tool(spark, sf_dir, "compare_sources", urls=some or ["none"], aspect="cost")
+
+
+@query("tool_fetch_page", f"SELECT url, title, left(body_text, 2000) AS preview, metadata.status_code AS status FROM site_pages WHERE url = {_PAGE_URL}")
+def tool_fetch_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with its preview."""
+    return _tool(spark, sf_dir, "fetch_page", url=_first_page(spark, sf_dir) or "none")
+
+
+@query("tool_extract")
+def tool_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything extracted from the first fetched page."""
+    first = load(spark, sf_dir, "crawled_pages").where("status = 200 and length(body) > 500").orderBy("fetch_id").select("url").first()
+    return _tool(spark, sf_dir, "extract", url=first.url if first else "none").drop("json_ld").transform(_flat)
+
+
+_EDGES_SQL = "SELECT url AS src, generate_subscripts(links, 1) - 1 AS place, unnest(links) AS l FROM site_pages"
+
+
+@query(
+    "tool_follow_links",
+    f"""WITH e AS ({_EDGES_SQL}), a AS (SELECT l.url AS url, min(place) AS position, arg_min(l.anchor_text, (src, place)) AS anchor_text, min(l.is_external) AS is_external FROM e WHERE src = {_PAGE_URL} GROUP BY 1 ORDER BY position, url LIMIT 50),
+b AS (SELECT l.url AS url, min(place) AS position, arg_min(l.anchor_text, (src, place)) AS anchor_text, min(l.is_external) AS is_external FROM e WHERE src IN (SELECT url FROM a) AND l.url NOT IN (SELECT url FROM a) GROUP BY 1 ORDER BY position, url LIMIT 50)
+SELECT depth, position, url, anchor_text, is_external FROM (SELECT 1 AS depth, * FROM a UNION ALL SELECT 2, * FROM b) ORDER BY depth, position, url LIMIT 50""",
+)
+def tool_follow_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a page and of the pages it leads to."""
+    return _tool(spark, sf_dir, "follow_links", url=_first_page(spark, sf_dir) or "none", depth=2)
+
+
+@query("tool_paginate")
+def tool_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page and those its URL pattern names next."""
+    return _tool(spark, sf_dir, "paginate", url=_first_page(spark, sf_dir) or "none")
+
+
+@query("tool_find_similar")
+def tool_find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents most like a text, from the kept vectors."""
+    return _tool(spark, sf_dir, "find_similar", text="the storm reached the harbour of the town")
+
+
+@query("tool_get_entities", "SELECT * FROM (VALUES ('ann.lee@numa.example', 'email'), ('$45', 'money')) AS t(name, type)")
+def tool_get_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern entities of a text."""
+    return _tool(spark, sf_dir, "get_entities", text="write to ann.lee@numa.example about $45 million").where("type in ('email', 'money')")
+
+
+@query(
+    "tool_get_link_graph",
+    f"""WITH e AS (SELECT DISTINCT src, l.url AS dst, l.anchor_text AS anchor_text, l.is_external AS is_external FROM ({_EDGES_SQL})),
+o AS (SELECT * FROM e WHERE src = {_PAGE_URL} ORDER BY src, dst, anchor_text LIMIT 100), i AS (SELECT * FROM e WHERE dst = {_PAGE_URL} ORDER BY dst, src, anchor_text LIMIT 100)
+SELECT *, 'out' AS direction, 1 AS depth FROM o UNION ALL SELECT *, 'in', 1 FROM i""",
+)
+def tool_get_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links out of and into a page."""
+    return _tool(spark, sf_dir, "get_link_graph", url=_first_page(spark, sf_dir) or "none")
+
+
+@query("duplicate_verdicts")
+def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crawled page: known URL within a day, equal content, near content or unique, in order of arrival."""
+    pages = load(spark, sf_dir, "site_pages").select("page_id", "url", "body_text", "crawled_at")
+    fps = hashing.simhash_frame(spread(pages.select("page_id", "body_text")), "page_id", "body_text")
+    rows = pages.join(fps.withColumnRenamed("id", "page_id"), "page_id").select("page_id", "url", "crawled_at", hashing.content_hash(F.col("body_text")).alias("content"), F.when(F.col("body_text").isNotNull(), F.col("fp")).alias("fp"))
+    return dedup.three_level(rows, "page_id", "url", "crawled_at", "content", "fp", 86_400)
 
 
 @query("ingested_pages")

@@ -14,7 +14,7 @@ from webloom.functions import urls
 from webloom.functions.text import index_tokens, snippet
 from webloom.operators import enrich, entities, ranking, retrieval, synthesis, text_index, verification
 from webloom.plans import crawl as C
-from webloom.session import shared_dir
+from webloom.session import shared_dir, stage_table
 from webloom.sources import extract
 from webloom.streaming.events import progressive
 from webloom.tables import load
@@ -118,43 +118,47 @@ class Tools:
         early = self.instant_search(query, min(5, max_results))
         return progressive(early, self.quick_search(query, max_results))
 
-    def deep_research(self, query: str, max_pages: int = 500, depth: int = 3, time_limit: int = 120) -> DataFrame:
-        """The ten best of a crawl through the whole funnel.
+    def _research(self, queries: list[str], max_pages: int, depth: int, time_limit: int) -> DataFrame:
+        """The ten best of each query through the whole funnel, queries numbered from 0.
 
-        Seeds are the index's hits of every form of the query; their links are followed to `depth` over the page
-        table, as many pages as max_pages and the time limit (PAGES_A_SECOND) allow; pages of both waves, ranked by the index
-        where it knows them, are the candidates.
+        Seeds are the index's hits of every form of a query; the links of the first query's seeds are followed to
+        `depth` over the page table, as many pages as max_pages and the time limit (PAGES_A_SECOND) allow. What the
+        index holds is ranked by it, the pages reached come without ranks.
         """
-        asked = self.spark.createDataFrame([(0, query)], "id long, q string")
-        forms = enrich.reformulated(asked, "id", "q", int(self.as_of[:4])).select(F.col("position").cast("long").alias("query_id"), F.col("variant").alias("query_text"))
+        asked = self.spark.createDataFrame(list(enumerate(queries)), "id long, q string")
+        forms = enrich.reformulated(asked, "id", "q", int(self.as_of[:4])).select((F.col("id") * 100 + F.col("position")).cast("long").alias("form"), F.col("variant").alias("query_text"))
         budget = max(1, min(max_pages, PAGES_A_SECOND * time_limit))
-        hits = self.index().search_all(forms, "query_id", "query_text", k=max(1, budget // 6), id_col="doc")
-        best = hits.groupBy("doc").agg(F.max("score").alias("bm25_score"))
-        place = Window.orderBy(F.desc("bm25_score"), "doc")
-        first = best.orderBy(F.desc("bm25_score"), "doc").limit(budget).withColumn("bm25_rank", F.row_number().over(place).cast("long"))
+        hits = self.index().search_all(forms, "form", "query_text", k=max(1, budget // 6), id_col="doc")
+        best = hits.groupBy(F.floor(F.col("form") / 100).alias("query_id"), "doc").agg(F.max("score").alias("bm25_score"))
+        place = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "doc")
+        first = best.withColumn("bm25_rank", F.row_number().over(place).cast("long")).where(F.col("bm25_rank") <= budget)
         docs = self.table("documents").select(F.col("doc_id").alias("doc"), "url", "title", F.col("text").alias("body_text"), F.col("crawled_at").alias("published_date"), "domain")
-        seeds = first.join(docs, "doc").select("url", "title", "body_text", "published_date", "domain", "bm25_score", "bm25_rank")
-        pages = self.table("site_pages").select("url", "links", "title", "body_text", "published_date", "domain", "crawled_at")
-        reached = C.crawl(pages, seeds.select("url"), depth - 1, budget).select("url").distinct() if depth > 1 else None
-        rows = seeds
-        if reached is not None:
+        rows = first.join(docs, "doc").select("query_id", "url", "title", "body_text", "published_date", "domain", "bm25_score", "bm25_rank")
+        if depth > 1:
+            rows = stage_table(rows, "research-seeds")
+            mine = rows.where("query_id = 0").select("url")
+            pages = self.table("site_pages").select("url", "links", "title", "body_text", "published_date", "domain", "crawled_at")
+            reached = C.crawl(pages, mine, depth - 1, budget).select("url").distinct().join(mine, "url", "left_anti")
             newest = pages.join(reached, "url", "left_semi").groupBy("url").agg(*[F.max_by(c, "crawled_at").alias(c) for c in ("title", "body_text", "published_date", "domain")])
-            rows = seeds.unionByName(newest.join(seeds.select("url"), "url", "left_anti"), allowMissingColumns=True)
-        rows = rows.withColumns({"query_id": F.lit(0).cast("long"), "cand_id": F.xxhash64("url", "title", "body_text"), "vector_rank": F.lit(None).cast("long"), "vector_score": F.lit(None).cast("double")}).dropDuplicates(["cand_id"])
+            rows = rows.unionByName(newest.withColumn("query_id", F.lit(0).cast("long")), allowMissingColumns=True)
+        key = F.xxhash64("query_id", "url", "title", "body_text")
+        rows = rows.withColumns({"cand_id": key, "vector_rank": F.lit(None).cast("long"), "vector_score": F.lit(None).cast("double")}).dropDuplicates(["cand_id"])
         rows = enrich.with_tier(rows, "domain", enrich.tier_table(self.spark))
-        one = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
-        return ranking.funnel(rows, one, self.as_of).drop("query_id", "cand_id")
+        return ranking.funnel(rows, asked.select(F.col("id").alias("query_id"), F.col("q").alias("query_text")), self.as_of).drop("cand_id")
+
+    def deep_research(self, query: str, max_pages: int = 500, depth: int = 3, time_limit: int = 120) -> DataFrame:
+        """The ten best of a search in several wordings and of the pages its results lead to."""
+        return self._research([query], max_pages, depth, time_limit).drop("query_id")
 
     def explore_topic(self, topic: str, breadth: int = 3) -> DataFrame:
-        """Research on a topic and on the aspects that its best documents name most; breadth: how many aspects."""
+        """Research on a topic and on the `breadth` words that most of its best documents share."""
         best = self._search(topic, 20)
         said = best.select(F.explode(F.array_distinct(F.filter(index_tokens(F.col("text")), lambda w: F.length(w) >= 6))).alias("w")).where(~F.contains(F.lit(topic.lower()), F.col("w")))
-        aspects = [r.w for r in said.groupBy("w").count().orderBy(F.desc("count"), "w").limit(breadth).collect()]
-        out = self.deep_research(topic, 200, 2, 60).withColumn("aspect", F.lit(topic))
-        for w in aspects:
-            out = out.unionByName(self.deep_research(f"{topic} {w}", 60, 1, 60).withColumn("aspect", F.lit(w)))
-        w = Window.partitionBy("url").orderBy(F.desc("score"), "aspect", "position")
-        return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+        aspects = [topic, *(r.w for r in said.groupBy("w").count().orderBy(F.desc("count"), "w").limit(breadth).collect())]
+        found = self._research([topic, *(f"{topic} {w}" for w in aspects[1:])], 200, 2, 60)
+        named = found.withColumn("aspect", F.element_at(F.array(*map(F.lit, aspects)), (F.col("query_id") + 1).cast("int")))
+        w = Window.partitionBy("url").orderBy(F.desc("score"), "query_id", "position")
+        return named.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "query_id")
 
     def verify_claim(self, claim: str, min_sources: int = 5) -> DataFrame:
         hits = self._search(claim, 2 * min_sources)
