@@ -14,6 +14,13 @@ class Crawl:
     per_domain: int = 50
     soft_block_min_bytes: int = 200
     retry_after_default: int = 30
+    time_limit_seconds: int = 120
+    concurrency: int = 8
+    retries: int = 3
+    backoff_ms: int = 500
+    cache_entries: int = 2000
+    cache_seconds: int = 600
+    data_layers: bool = True
 
 
 @dataclass
@@ -43,12 +50,27 @@ class Cache:
     scores: int = 50_000
 
 
+@dataclass
+class Governor:
+    """Pace in milliseconds within [50, 30,000] around a base of 500, jitter within [0, 0.999]."""
+
+    base_ms: int = 500
+    jitter: float = 0.2
+    budget: int = 1000
+    failures: int = 5
+    cooldown_seconds: float = 300.0
+
+    def clamped(self) -> Governor:
+        return Governor(min(30_000, max(50, self.base_ms)), min(0.999, max(0.0, self.jitter)), max(0, self.budget), max(1, self.failures), max(0.0, self.cooldown_seconds))
+
+
 @dataclass
 class Config:
     crawl: Crawl = field(default_factory=Crawl)
     index: Index = field(default_factory=Index)
     rank: Rank = field(default_factory=Rank)
     cache: Cache = field(default_factory=Cache)
+    governor: Governor = field(default_factory=Governor)
 
     @classmethod
     def load(cls, path: str) -> Config:

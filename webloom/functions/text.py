@@ -109,3 +109,13 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
     import re
 
     return text.rlike("|".join(re.escape(p) for p in phrases))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first code points of a text, as models read no more."""
+    return F.substring(text, 1, most)
+
+
+def iso_time(at: Column) -> Column:
+    """2025-06-01T00:00:00Z of a timestamp, in UTC."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

@@ -78,6 +78,14 @@ def inferred(pairs: DataFrame, a: str, b: str, model: NliModel | None, least: fl
         return pairs.limit(0).withColumns({"label": F.lit("").cast("string"), "confidence": F.lit(0.0)})
     from webloom.operators.verification import inference_label
 
-    logits = F.udf(lambda x, y: [float(v) for v in model.logits([(x or "", y or "")])[0]], "array<double>", useArrow=True)
-    out = pairs.withColumn("__l", inference_label(logits(F.col(a), F.col(b)), model.labels)).where(F.col("__l.confidence") > least)
-    return out.withColumns({"label": F.col("__l.label"), "confidence": F.col("__l.confidence")}).drop("__l")
+    keyed = pairs.withColumns({"__a": F.coalesce(F.col(a), F.lit("")), "__b": F.coalesce(F.col(b), F.lit(""))}).withColumn("__h", F.xxhash64("__a", "__b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = model.logits(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[float(v) for v in x] for x in got], pa.list_(pa.float64()))], names=["__k", "__logits"])
+
+    # each distinct pair is asked once, a batch at a time
+    scored = keyed.select(F.col("__h").alias("__k"), "__a", "__b").dropDuplicates(["__k"]).mapInArrow(run, "__k long, __logits array<double>")
+    joined = keyed.join(scored, F.col("__h") == F.col("__k")).withColumn("__l", inference_label(F.col("__logits"), model.labels)).where(F.col("__l.confidence") > least)
+    return joined.withColumns({"label": F.col("__l.label"), "confidence": F.col("__l.confidence")}).drop("__l", "__a", "__b", "__h", "__k", "__logits")

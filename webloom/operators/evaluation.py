@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import label_form
@@ -30,3 +30,24 @@ def coverage(pages: DataFrame, tier: str, clean: str, blocked: str) -> DataFrame
     agg = [F.count(F.lit(1)).alias("pages"), F.sum("c").alias("clean"), F.avg("c").alias("coverage")]
     every = flags.rollup("tier").agg(*agg)
     return every.unionByName(flags.where("b").agg(*agg).select(F.lit("(blocked)").alias("tier"), "pages", "clean", "coverage"))
+
+
+def means(metrics_: DataFrame) -> DataFrame:
+    """(queries, mean_ndcg, mean_precision); no row's value is null where nothing was judged."""
+    return metrics_.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("mean_ndcg"), F.coalesce(F.avg("precision"), F.lit(0.0)).alias("mean_precision"))
+
+
+def answers(results: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, rank, url): the result URLs of tool answers in order; an answer that is no such JSON has none."""
+    parsed = F.from_json(F.col(json_col), "struct<results:array<struct<url:string>>>")
+    return results.select(F.col(id_col).alias("id"), F.posexplode(parsed["results"]["url"]).alias("p", "url")).where("url is not null").select("id", (F.col("p") + 1).alias("rank"), "url")
+
+
+def scored_runs(asked: DataFrame, ranked: DataFrame, labels: DataFrame, query: str = "query_id") -> DataFrame:
+    """Metrics of every query asked; a call that failed or found nothing scores 0."""
+    got = metrics(relevance(ranked, labels, query), query=query)
+    return asked.select(query).distinct().join(got, query, "left").fillna(0.0, ["dcg", "ndcg", "precision"])
+
+
+def tier_label(tier: Column) -> Column:
+    return F.coalesce(F.nullif(F.lower(F.trim(tier)), F.lit("")), F.lit("untiered"))

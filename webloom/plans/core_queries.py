@@ -1037,3 +1037,93 @@ def sentence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity edges between the candidates of each query."""
     c = load(spark, sf_dir, "rank_candidates")
     return synthesis.sentence_edges(synthesis.tfidf(c, "cand_id", "body_text"), c.select(F.col("cand_id").alias("doc"), F.col("query_id").alias("scope")))
+
+
+# --- stores, queues, ranks attached
+
+
+@query("cache_counts", "SELECT 'documents' AS \"table\", count(*) AS entries FROM documents UNION ALL SELECT 'vectors', count(*) FROM embedding_entries UNION ALL SELECT 'pages', count(*) FROM site_pages UNION ALL SELECT 'queries', count(*) FROM search_queries")
+def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the four stores."""
+    return stores.stats({"documents": load(spark, sf_dir, "documents"), "vectors": load(spark, sf_dir, "embedding_entries"), "pages": load(spark, sf_dir, "site_pages"), "queries": load(spark, sf_dir, "search_queries")})
+
+
+@query("page_cache_hits", "SELECT (SELECT count(*) FROM site_pages WHERE url IN (SELECT url FROM crawled_pages)) AS hits, (SELECT count(*) FROM site_pages WHERE url IS NULL OR url NOT IN (SELECT url FROM crawled_pages WHERE url IS NOT NULL)) AS misses, (SELECT count(DISTINCT url) FROM crawled_pages) AS entries")
+def page_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of all page URLs in the table of fetches."""
+    return stores.hit_counts(load(spark, sf_dir, "site_pages"), load(spark, sf_dir, "crawled_pages").where("url is not null"), "url")
+
+
+@query("queue_ticks", "SELECT event_id, event_type, CAST(floor((row_number() OVER (ORDER BY event_type DESC, ts, event_id) - 1) / 3) AS BIGINT) AS tick FROM (SELECT * FROM events ORDER BY event_type DESC, ts, event_id LIMIT 1000)")
+def queue_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which tick the next thousand jobs are taken, three at a time."""
+    return E.queue_ticks(load(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_id", "event_type", "tick")
+
+
+@query("mean_quality")
+def mean_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quality over the labelled queries."""
+    m = evaluation.means(ndcg_precision(spark, sf_dir))
+    return m.select("queries", F.round("mean_ndcg", 5).alias("mean_ndcg"), F.round("mean_precision", 5).alias("mean_precision"))
+
+
+registry.sql["mean_quality"] = f"SELECT count(*) AS queries, round(avg(ndcg), 5) AS mean_ndcg, round(avg(precision), 5) AS mean_precision FROM ({registry.sql['ndcg_precision']})"
+
+
+_ALL_HITS = registry.sql["bm25_topk"].replace("WHERE rank <= 10", "WHERE rank <= 50")
+
+
+def _index_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return _index(spark, sf_dir).search_all(load(spark, sf_dir, "search_queries"), "query_id", "query_text", ["text"], k, "doc_id").join(load(spark, sf_dir, "documents").select("doc_id", "url", "title", "crawled_at"), "doc_id")
+
+
+@query(
+    "hybrid_ranks",
+    f"""WITH h AS (SELECT query_id, url, min(rank) AS rank, max(score) AS score FROM ({_ALL_HITS}) JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT c.query_id, cand_id, h.rank AS bm25_rank, h.score AS bm25_score FROM rank_candidates c LEFT JOIN h ON h.query_id = c.query_id AND h.url = c.url""",
+)
+def hybrid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their places in the index's 50 best of each query; those it lacks have none."""
+    hits = _index_hits(spark, sf_dir, 50).select("query_id", "url", "score", "rank")
+    c = load(spark, sf_dir, "rank_candidates").select("query_id", "cand_id", "url")
+    return ranking.with_hybrid_ranks(c, hits, hits.limit(0)).select("query_id", "cand_id", "bm25_rank", "bm25_score")
+
+
+@query(
+    "index_first",
+    f"""WITH h AS (SELECT query_id, doc_id, url, title, score, rank, crawled_at FROM ({_ALL_HITS}) JOIN documents USING (doc_id) WHERE rank <= 20),
+f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h WHERE floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(crawled_at)) < 90 * 86400 AND score > 0.5)
+SELECT query_id, CAST(place AS INT) AS place, doc_id, url, title, title AS content, score, 0.7 AS confidence, 'Partial' AS verification, 0.7 AS coverage FROM f WHERE n >= 5 AND place <= 5""",
+)
+def index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that the index alone answers with five documents of the last ninety days."""
+    return ranking.index_first(_index_hits(spark, sf_dir, 20).withColumnRenamed("crawled_at", "indexed_at"), 5, AS_OF, 90 * 24)
+
+
+@query("over_budget", "SELECT query_id, cand_id, CAST(rank AS INT) AS rank, 0.5 AS confidence, 'Unverified' AS verification, 0.3 AS coverage FROM (SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id ORDER BY cand_id) AS rank FROM rank_candidates) WHERE rank <= 10")
+def over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is answered when the time is over."""
+    return ranking.over_budget(load(spark, sf_dir, "rank_candidates").select("query_id", "cand_id"), "query_id", "cand_id", 10)
+
+
+@query(
+    "coverage_scores",
+    f"""WITH d AS (SELECT query_id, {_HOST.format('url')} AS domain FROM rank_candidates) SELECT query_id, count(DISTINCT {_ORG.format('domain')}) AS unique_orgs, round(count(DISTINCT {_ORG.format('domain')}) / 3, 6) AS coverage FROM d GROUP BY query_id""",
+)
+def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations behind each query's candidates against the three wanted."""
+    _, per_query = ranking.checked_stage(load(spark, sf_dir, "rank_candidates").select("query_id", "cand_id", "url", "body_text", F.col("cand_id").alias("rank")), fuzzy=False)
+    return per_query.select("query_id", "unique_orgs", F.round("coverage", 6).alias("coverage"))
+
+
+@query("spent_budgets", "SELECT CAST(user_id AS VARCHAR) AS account, round(greatest(0.0, sum(value)), 4) AS spent, round(greatest(0.0, 500 - greatest(0.0, sum(value))), 4) AS remaining FROM events GROUP BY user_id")
+def spent_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spent and left of a budget of 500 a user."""
+    m = E.meter(load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("account"), "value"), "account", "value", 500.0)
+    return m.select("account", F.round("spent", 4).alias("spent"), F.round("remaining", 4).alias("remaining"))
+
+
+@query("retried_fetches", "SELECT fetch_id FROM crawled_pages WHERE status IS NULL OR status >= 500 OR status = 429")
+def retried_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches that are asked for again."""
+    return load(spark, sf_dir, "crawled_pages").where(E.retried(F.col("status"))).select("fetch_id")

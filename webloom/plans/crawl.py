@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import frontier_form
+from webloom.functions.urls import frontier_form, host
 from webloom.session import stage_table
 from webloom.sources.feeds import next_page
 
@@ -53,3 +53,26 @@ def paginate(pages: DataFrame, start: str, max_pages: int = 10, url: str = "url"
         at = next_page(at)
     spark = pages.sparkSession
     return spark.createDataFrame(wanted, "position int, __u string").join(pages, F.col("__u") == F.col(url)).drop("__u")
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """urls with allowed and crawl_delay of their host's rules (host, allowed_prefixes, denied_prefixes, crawl_delay); hosts without rules allow everything.
+
+    The longest matching prefix decides, an allowing one on a tie.
+    """
+    path = F.regexp_replace(F.regexp_replace(F.col(url), "#.*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", "")
+    known = rules.select(F.col("host").alias("__h"), "allowed_prefixes", "denied_prefixes", "crawl_delay")
+    joined = urls.withColumn("__host", host(F.col(url))).join(known, F.col("__host") == F.col("__h"), "left").withColumn("__p", path)
+    longest = lambda c: F.coalesce(F.array_max(F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda p: F.startswith(F.col("__p"), p)), lambda p: F.length(p))), F.lit(-1))
+    a, d = longest(F.col("allowed_prefixes")), longest(F.col("denied_prefixes"))
+    return joined.withColumn("allowed", (d <= 0) | (a >= d)).drop("__host", "__h", "__p", "allowed_prefixes", "denied_prefixes")
+
+
+def follow_pages(pages: DataFrame, start: str, max_pages: int = 10, url: str = "url", links: str = "links") -> DataFrame:
+    """(position, page...): a page and those after it, by a link whose rel says next, else by the URL's pattern; at most max_pages lookups of one row."""
+    wanted, at = [], start
+    while at and len(wanted) < max_pages and at not in [u for _, u in wanted]:
+        wanted.append((len(wanted), at))
+        here = pages.where(F.col(url) == at).select(F.get(F.filter(links, lambda x: F.array_contains(F.split(F.lower(F.coalesce(x["rel"], F.lit(""))), r"\s+"), "next")), F.lit(0))["url"].alias("n")).first()
+        at = (here.n if here is not None and here.n else None) or next_page(at)
+    return pages.sparkSession.createDataFrame(wanted, "position int, __u string").join(pages, F.col("__u") == F.col(url)).drop("__u")

@@ -354,7 +354,7 @@ def richer(new: str, old: str) -> bool:
     return len(new) >= 200 and (len(old) < 50 or len(new) > 1.2 * len(old))
 
 
-def extract(source: str | None, url: str | None) -> dict:
+def extract(source: str | None, url: str | None, data_layers: bool = True) -> dict:
     """One page: title, text, confidence, extractor, metadata, headings, links, tables."""
     source, url = source or "", url or ""
     t = Tree(_DROP.sub("", source))
@@ -385,9 +385,9 @@ def extract(source: str | None, url: str | None) -> dict:
     description = description or (art.get("description") if isinstance(art.get("description"), str) else None)
     author = author or _author(art.get("author"))
     published = published or parse_date(art.get("datePublished") if isinstance(art.get("datePublished"), str) else None)
-    if text and richer(text, body):
+    if data_layers and text and richer(text, body):
         body, sure, by = text, max(sure, 0.75), "structured"
-    if sure < 0.6 or len(body) < 200:
+    if data_layers and (sure < 0.6 or len(body) < 200):
         h = hydration(source)
         if h.get("body") and richer(h["body"], body):
             body, sure, by = h["body"], max(sure, 0.75), "hydration"
@@ -449,15 +449,15 @@ _ARROW = {
 }
 
 
-def extracted(pages: DataFrame, id_col: str, source_col: str, url_col: str) -> DataFrame:
-    """(id, url, ...RESULT): every page extracted; pages without markup give empty text."""
+def extracted(pages: DataFrame, id_col: str, source_col: str, url_col: str, data_layers: bool = True) -> DataFrame:
+    """(id, url, ...RESULT): every page extracted; pages without markup give empty text. data_layers: whether structured data and hydration may fill thin bodies."""
     names = [x.strip().split(" ")[0] for x in re.split(r", (?![^<]*>)", RESULT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                got = [extract(s, u) for u, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                got = [extract(s, u, data_layers) for u, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 cols = [pa.array([g[n] for g in got], _ARROW.get(n, pa.string())) for n in names]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "url", *names])
 

@@ -101,3 +101,76 @@ def load_dedup_state(spark: SparkSession, path: str, now_seconds: int, ttl_secon
     if ttl_seconds:
         urls = urls.where(F.lit(now_seconds) - F.unix_timestamp("at") <= ttl_seconds)
     return urls, contents, fps
+
+
+def flush(new: DataFrame, path: str, key: str, at: str = "stored_at") -> None:
+    """Append one batch of cache entries; of a key's entries in the batch the latest stays. Readers take the latest over all batches (`newest_entries`)."""
+    order = Window.partitionBy(key).orderBy(F.desc(at))
+    new.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r").write.mode("append").parquet(path)
+
+
+def newest_entries(spark: SparkSession, path: str, key: str, at: str = "stored_at", cutoff: int | None = None) -> DataFrame:
+    """The latest entry of every key, none stored at or before the cutoff (a loaded cache)."""
+    rows = spark.read.parquet(path)
+    latest = Window.partitionBy(key).orderBy(F.desc(at))
+    live = rows if cutoff is None else rows.where(F.col(at) > cutoff)
+    return live.withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r")
+
+
+class WriteBehind:
+    """Pending batches of cache tables, flushed on commit and when the block ends, also by an error."""
+
+    def __init__(self, paths: dict[str, tuple[str, str]]) -> None:
+        self.paths = paths
+        self.pending: dict[str, list[DataFrame]] = {name: [] for name in paths}
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        self.pending[name].append(rows)
+
+    def commit(self) -> dict[str, int]:
+        """How many batches of every table were written."""
+        done = {}
+        for name, batches in self.pending.items():
+            path, key = self.paths[name]
+            for rows in batches:
+                flush(rows, path, key)
+            done[name] = len(batches)
+            self.pending[name] = []
+        return done
+
+    def __enter__(self) -> WriteBehind:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.commit()
+
+
+def flush_stream(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = 30):
+    """A running query that appends a stream to a cache table every `seconds` (None: what is there, once)."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def put_queries(cache: DataFrame, new: DataFrame, now: int, ttl_seconds: int = 14_400, cap: int = 100) -> DataFrame:
+    """The query cache after new answers: those without results are not taken, expired ones go, the newest `cap` stay. Columns id, results, cached_at (seconds)."""
+    both = cache.unionByName(new.where("results > 0")).where(F.lit(now) - F.col("cached_at") <= ttl_seconds)
+    latest = Window.partitionBy("id").orderBy(F.desc("cached_at"))
+    return both.withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r").orderBy(F.desc("cached_at"), "id").limit(cap)
+
+
+def hit_counts(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """(hits, misses, entries) of a cache for a stream of lookups."""
+    known = cache.select(F.col(key).alias("__k")).distinct()
+    looked = wanted.select(F.col(key)).join(known, F.col(key) == F.col("__k"), "left")
+    counts = looked.agg(F.count("__k").alias("hits"), (F.count(F.lit(1)) - F.count("__k")).alias("misses"))
+    return counts.join(known.agg(F.count(F.lit(1)).alias("entries")))
+
+
+def enqueue(jobs: DataFrame, path: str) -> None:
+    """Append jobs (url, priority, queued_at) to a queue table."""
+    jobs.select("url", F.col("priority").cast("int").alias("priority"), F.col("queued_at").cast("timestamp").alias("queued_at")).write.mode("append").parquet(path)
+
+
+def queue_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(priority, jobs, oldest) of a queue table."""
+    return spark.read.parquet(path).groupBy("priority").agg(F.count(F.lit(1)).alias("jobs"), F.min("queued_at").alias("oldest"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def unique_within(stream: DataFrame, key: str, at: str, ttl: str = "1 hour") -> DataFrame:
@@ -173,3 +174,70 @@ def sessions(events: DataFrame, user: str, at: str, gap: str = "30 minutes") ->
 def progressive(partial: DataFrame, refined: DataFrame) -> DataFrame:
     """Early and final results in one frame, told apart by `stage`."""
     return partial.withColumn("stage", F.lit("partial")).unionByName(refined.withColumn("stage", F.lit("refined")), allowMissingColumns=True)
+
+
+def queue_ticks(jobs: DataFrame, priority: str, at: str, tie: str, per_tick: int = 3, most: int = 1000) -> DataFrame:
+    """jobs with `tick`: the first `most` by priority, then first come, are taken per_tick at a time."""
+    first = queue_order(jobs, priority, at, tie, most)
+    # at most `most` rows are left, which one task orders
+    order = Window.orderBy(F.desc(priority), at, tie)
+    return first.withColumn("tick", F.floor((F.row_number().over(order) - 1) / per_tick))
+
+
+def requeued(jobs: DataFrame, errors: str, at: str, lowest: int = 0) -> DataFrame:
+    """Failed jobs as they come back: not before 2^min(errors, 6) seconds, with the lowest priority."""
+    seconds = backoff_seconds(F.col(errors))
+    return jobs.where(F.col(errors) > 0).withColumns({"not_before": F.timestamp_seconds(F.unix_timestamp(F.col(at).cast("timestamp")) + seconds), "priority": F.lit(lowest)})
+
+
+def retry_delays(attempts: int, backoff_ms: int = 500) -> list[int]:
+    """Milliseconds before each retry: backoff * 2^(n - 1)."""
+    return [backoff_ms * 2 ** (n - 1) for n in range(1, attempts + 1)]
+
+
+def retried(status: Column) -> Column:
+    """Whether a response is asked for again: server errors, no answer, and 429, but no other 4xx."""
+    return status.isNull() | (status >= 500) | (status == 429)
+
+
+def meter(costs: DataFrame, account: str, cost: str, cap: float) -> DataFrame:
+    """(account, spent, remaining): what is left is never below 0."""
+    spent = F.greatest(F.lit(0.0), F.sum(F.col(cost).cast("double")))
+    return costs.groupBy(account).agg(F.round(spent, 6).alias("spent")).withColumn("remaining", F.greatest(F.lit(0.0), F.round(F.lit(cap) - F.col("spent"), 6)))
+
+
+def staged(frames: dict[str, DataFrame], started: float, deadline_seconds: float, now: float) -> DataFrame:
+    """Frames in the order given, each row with stage, seq and whether the deadline had passed when it was emitted."""
+    out = None
+    for seq, (stage, rows) in enumerate(frames.items()):
+        one = rows.withColumns({"stage": F.lit(stage), "seq": F.lit(seq), "past_deadline": F.lit(now - started > deadline_seconds)})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps the progress of running streams and passes it on to subscribers."""
+
+    def __init__(self, most: int = 100) -> None:
+        super().__init__()
+        self.most, self.seen, self.subscribers = most, [], []
+
+    def subscribe(self, call) -> None:
+        self.subscribers.append(call)
+
+    def _tell(self, what: str, detail: dict) -> None:
+        self.seen = [*self.seen, (what, detail)][-self.most :]
+        for call in self.subscribers:
+            call(what, detail)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._tell("started", {"name": event.name})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self._tell("progress", {"batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._tell("idle", {})
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._tell("ended", {"error": event.exception})
