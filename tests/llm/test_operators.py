@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips or held-out accuracy, with odd inputs."""
 
+import functools
 import math
 import random
 from collections import Counter, defaultdict
@@ -170,6 +171,41 @@ def test_neighbours_recall(spark):
     assert sum(len(got[i] & set(top[i])) for i in asked) / (10 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 60])
+def test_lists_divided_again(spark, monkeypatch, cell_rows):
+    """Beyond MAX_LISTS coarse lists are divided; the work of a query stays that of a few lists of list_rows vectors."""
+    monkeypatch.setattr(knn, "MAX_LISTS", 4)
+    monkeypatch.setattr(knn, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(knn, "SPLIT_ROWS", 700)
+    monkeypatch.setattr(knn, "fit", functools.partial(knn.fit, list_rows=128))
+    x = clustered(6000, seed=3)
+    s, top = truth(x)
+    df = vectors_frame(spark, x, ODD)
+    near = [set(t) for t in top]
+    want = {(i, j) for i in range(len(x)) for j in top[i] if i < j and s[i, j] >= 0.9 and i in near[j]}
+    got = {(r.id_a, r.id_b) for r in knn.mutual_pairs(df, "id", "v", 0.9).collect()}
+    assert got <= want and len(got & want) >= 0.95 * len(want) and len(want) > 900
+    by = defaultdict(list)
+    for r in knn.neighbours(df, "id", "v", query_step=50).collect():
+        by[r.id].append(r.other)
+    assert set(by) == set(range(0, len(x), 50)) and all(len(v) == len(set(v)) == 10 for v in by.values())
+
+
+def test_work_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_LISTS", 4)
+    pairs = []
+    for n in (2_000, 4_000, 8_000):
+        x = clustered(n, seed=5)
+        rows = knn.usable(vectors_frame(spark, x), "id", "v", 64)
+        index = knn.fit(rows, 64, 10, 4, 0.9, list_rows=64)
+        plain = knn.index_of(index)
+        cells = knn._celled(rows.mapInArrow(lambda it, plain=plain: knn._assigned(it, plain, 1), "list long, part long, role tinyint, id long, raw binary"), index)
+        sides = cells.groupBy("cell").agg(F.sum((F.col("role").bitwiseAND(1) > 0).cast("long")).alias("d"), F.sum((F.col("role").bitwiseAND(2) > 0).cast("long")).alias("q"))
+        pairs.append(sides.agg(F.sum(F.col("d") * F.col("q"))).first()[0])
+    # pairs compared: doubling the rows about doubles them, far from four times
+    assert pairs[1] < 2.8 * pairs[0] and pairs[2] < 2.8 * pairs[1]
+
+
 def test_hot_copies_and_tiny_tables(spark):
     x = np.vstack([np.tile(np.arange(1, 65, dtype=np.float32), (400, 1)), clustered(100, seed=4)])
     got = {(r.id_a, r.id_b) for r in knn.mutual_pairs(vectors_frame(spark, x), "id", "v", 0.9).collect()}

@@ -1,7 +1,9 @@
 """The k most similar vectors of every vector, by an adaptive dimension scan within probed lists.
 
 Directions are partitioned into lists by spherical k-means fitted on a bounded sample (SAMPLE_PER_LIST
-rows a list, MAX_LISTS lists). Every vector lies in the list of its nearest centroid and, as a query,
+rows a list, MAX_LISTS lists). Beyond MAX_LISTS * list_rows vectors each of these coarse lists is divided again, into as many
+lists as it has list_rows vectors, by k-means of its own over a sample of SUB_SAMPLE rows a list that stays
+distributed; so lists keep their size however many vectors there are, and work grows with n log n. Every vector lies in the list of its nearest centroid and, as a query,
 visits its `probes` nearest lists. Within a list, queries and vectors are rotated by one random orthogonal
 matrix and compared in column blocks: after each block the partial squared distance, scaled up, is an
 estimate of the whole one, and a hypothesis test drops the pairs whose estimate is too far beyond the
@@ -20,7 +22,7 @@ than k + 1 usable rows give fewer neighbours; repeated rows count as rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import stage_table
+
 LIST_ROWS = 1024
 MAX_LISTS = 4096
 SAMPLE_PER_LIST = 64
 CELL_ROWS = 4096
+SUB_SAMPLE = 24
+SPLIT_ROWS = 65_536
 EPSILON = 2.1
 PARTITION_BYTES = 8 << 20
 BLOCKS = (16, 32, 64)
@@ -46,6 +52,10 @@ class Index:
     k: int
     min_similarity: float | None
     rows: int = 0
+    # where the lists are divided again: (list, sub, centroid, chunks), how many sublists a query visits, and tasks a list is placed by
+    sublists: DataFrame | None = None
+    sub_probes: int = 1
+    parts: np.ndarray | None = None
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -128,7 +138,117 @@ def fit(rows: DataFrame, dim: int, k: int, probes: int | float, min_similarity:
     rows_in = np.bincount(home, minlength=lists) * (n / max(1, len(sample)))
     chunks = np.maximum(1, np.ceil(rows_in / CELL_ROWS)).astype(np.int64)
     visits = probes_for(sample, order, home, k, probes) if isinstance(probes, float) else max(1, probes)
-    return Index(centroids, rotation, chunks, min(visits, lists), k, min_similarity, n)
+    index = Index(centroids, rotation, chunks, min(visits, lists), k, min_similarity, n)
+    if n // list_rows <= MAX_LISTS:
+        return index
+    return _divided(rows, index, rows_in, list_rows, seed)
+
+
+def _divided(rows: DataFrame, index: Index, rows_in: np.ndarray, list_rows: int, seed: int) -> Index:
+    """index with every list divided into lists of about list_rows vectors."""
+    dim = index.centroids.shape[1]
+    share = min(1.0, SUB_SAMPLE / list_rows)
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(np.asarray(batch.column(0).flatten(), np.float32).reshape(-1, dim))
+            yield pa.RecordBatch.from_arrays([pa.array((x @ index.centroids.T).argmax(1)), batch.column(0)], names=["list", "v"])
+
+    def divide(table: pa.Table) -> pa.Table:
+        number = table.column("list")[0].as_py()
+        x = _unit(np.asarray(table.column("v").combine_chunks().flatten(), np.float32).reshape(-1, dim))
+        subs = int(np.clip(round(len(x) / SUB_SAMPLE), 1, len(x)))
+        c = kmeans(x[: SUB_SAMPLE * MAX_LISTS], subs, seed, rounds=6)
+        held = np.bincount((x @ c.T).argmax(1), minlength=subs) / share
+        chunks = np.maximum(1, np.ceil(held / CELL_ROWS)).astype(np.int32)
+        return pa.table({"list": pa.array(np.full(subs, number)), "sub": pa.array(np.arange(subs, dtype=np.int32)), "centroid": pa.array(list(c), pa.list_(pa.float32())), "chunks": pa.array(chunks)})
+
+    placed = drawn.select("v").mapInArrow(homes, "list long, v array<float>")
+    subs = placed.groupBy("list").applyInArrow(divide, "list long, sub int, centroid array<float>, chunks int")
+    parts = np.maximum(1, np.ceil(rows_in / SPLIT_ROWS)).astype(np.int64)
+    return replace(index, sublists=stage_table(subs, "sublists"), sub_probes=max(4, index.probes), parts=parts)
+
+
+def _assigned(batches: Iterator[pa.RecordBatch], index: Index, query_step: int) -> Iterator[pa.RecordBatch]:
+    """Every vector once for each coarse list it lies in or visits, with the task of the list it goes to."""
+    dim = index.centroids.shape[1]
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        if not len(ids):
+            continue
+        x = np.ascontiguousarray(np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dim))
+        s = _unit(x) @ index.centroids.T
+        p = index.probes
+        near = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(ids), 1))
+        home = s.argmax(1)
+        asks = ids % query_step == 0
+        r, j = np.nonzero(asks[:, None] & (near != home[:, None]))
+        at = np.concatenate([np.arange(len(ids)), r])
+        lists = np.concatenate([home, near[r, j]])
+        roles = np.concatenate([np.where(asks, 3, 1), np.full(len(r), 2)]).astype(np.int8)
+        mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        part = (mix[at] % index.parts[lists].astype(np.uint64)).astype(np.int64)
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(part), pa.array(roles), pa.array(ids[at]), raw.take(pa.array(at))], names=["list", "part", "role", "id", "raw"])
+
+
+def _into_sublists(rows: pa.Table, subs: pa.Table, index: Index) -> pa.Table:
+    """Rows of a coarse list in the cells of its sublists; a sublist larger than a cell is met chunk by chunk."""
+    dim = index.centroids.shape[1]
+    if not rows.num_rows:
+        return pa.table({"cell": pa.array([], pa.int64()), "role": pa.array([], pa.int8()), "id": pa.array([], pa.int64()), "raw": pa.array([], pa.binary())})
+    number = rows.column("list")[0].as_py()
+    c = np.asarray(subs.column("centroid").combine_chunks().flatten(), np.float32).reshape(-1, dim) if subs.num_rows else np.zeros((1, dim), np.float32)
+    order = np.argsort(subs.column("sub").to_numpy()) if subs.num_rows else np.zeros(1, int)
+    g = subs.column("chunks").to_numpy().astype(np.int64)[order] if subs.num_rows else np.ones(1, np.int64)
+    c = c[order]
+    first = np.concatenate([[0], np.cumsum(g**2)])
+    ids, role = rows.column("id").to_numpy(), rows.column("role").to_numpy()
+    x = _unit(np.frombuffer(b"".join(rows.column("raw").to_pylist()), np.float32).reshape(-1, dim))
+    s = x @ c.T
+    home, p = s.argmax(1), min(index.sub_probes, len(c))
+    near = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < len(c) else np.tile(np.arange(len(c)), (len(ids), 1))
+    mix = (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
+    at, cells, roles = [], [], []
+
+    def spread(r: np.ndarray, own: np.ndarray, kind: int) -> None:
+        """Data meets all query chunks of its list, a query all data chunks."""
+        n = g[own]
+        rep = np.repeat(np.arange(len(r)), n)
+        step = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+        mine = (mix[r] % n.astype(np.uint64)).astype(np.int64)
+        at.append(r[rep])
+        cells.append(first[own][rep] + (mine[rep] * n[rep] + step if kind == 1 else step * n[rep] + mine[rep]))
+        roles.append(np.full(len(rep), kind))
+
+    both = ((role & 3) == 3) & (near == home[:, None]).any(1) & (g[home] == 1)
+    r = np.flatnonzero(both)
+    at.append(r)
+    cells.append(first[home[r]])
+    roles.append(np.full(len(r), 3))
+    r = np.flatnonzero(((role & 1) > 0) & ~both)
+    spread(r, home[r], 1)
+    r, j = np.nonzero(((role & 2) > 0)[:, None] & ~(both[:, None] & (near == home[:, None])))
+    spread(r, near[r, j], 2)
+    take = pa.array(np.concatenate(at))
+    key = np.int64(number) * np.int64(1 << 40) + np.concatenate(cells).astype(np.int64)
+    return pa.table({"cell": pa.array(key), "role": pa.array(np.concatenate(roles).astype(np.int8)), "id": rows.column("id").take(take), "raw": rows.column("raw").take(take)})
+
+
+_CELL_DDL = "cell long, role tinyint, id long, raw binary"
+
+
+def _celled(assigned: DataFrame, index: Index) -> DataFrame:
+    spark, plain = assigned.sparkSession, index_of(index)
+    parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(index.parts)], "list long, n int")
+    subs = index.sublists.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("part"), "sub", "centroid", "chunks")
+    return assigned.groupBy("list", "part").cogroup(subs.groupBy("list", "part")).applyInArrow(lambda a, b: _into_sublists(a, b, plain), _CELL_DDL)
+
+
+def index_of(index: Index) -> Index:
+    """The index without its table, as it travels to tasks."""
+    return replace(index, sublists=None)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], index: Index, query_step: int) -> Iterator[pa.RecordBatch]:
@@ -262,8 +382,12 @@ def _grouped(cells: DataFrame, index: Index, query_step: int):
 
 def candidates(rows: DataFrame, index: Index, query_step: int = 1) -> DataFrame:
     """(id, other, similarity): each asking vector's best k of every cell it visits. query_step: ids divisible by it ask."""
-    cells = rows.mapInArrow(lambda it: _cells(it, index, query_step), "cell long, role tinyint, id long, raw binary")
-    return _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
+    plain = index_of(index)
+    if index.sublists is not None:
+        cells = _celled(rows.mapInArrow(lambda it: _assigned(it, plain, query_step), "list long, part long, role tinyint, id long, raw binary"), index)
+    else:
+        cells = rows.mapInArrow(lambda it: _cells(it, plain, query_step), _CELL_DDL)
+    return _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, plain), "id long, other long, similarity double")
 
 
 def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, probes: int | float = 0.95, query_step: int = 1, seed: int = 7) -> DataFrame:
@@ -275,25 +399,28 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int =
     asking = rows.where(F.pmod("id", F.lit(query_step)) == 0).join(scanned.select("id"), "id", "left_anti") if scanned is not rows else None
     found = candidates(scanned, index, query_step)
     if asking is not None:
+        plain = index_of(index)
         both = scanned.select("id", "v", F.lit(False).alias("asks")).unionByName(asking.select("id", "v", F.lit(True).alias("asks")))
-        cells = both.mapInArrow(lambda it: _cells_of(it, index, query_step), "cell long, role tinyint, id long, raw binary")
-        found = _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, index), "id long, other long, similarity double")
+        if index.sublists is not None:
+            cells = _celled(both.mapInArrow(lambda it: _copies(it, plain, query_step, _assigned), "list long, part long, role tinyint, id long, raw binary"), index)
+        else:
+            cells = both.mapInArrow(lambda it: _copies(it, plain, query_step, _cells), _CELL_DDL)
+        found = _grouped(cells, index, query_step).applyInArrow(lambda t: _search(t, plain), "id long, other long, similarity double")
     place = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
-def _cells_of(batches: Iterator[pa.RecordBatch], index: Index, query_step: int) -> Iterator[pa.RecordBatch]:
-    """Cells of scanned vectors, and of surplus copies as queries only."""
+def _copies(batches: Iterator[pa.RecordBatch], index: Index, query_step: int, place) -> Iterator[pa.RecordBatch]:
+    """What `place` gives for scanned vectors, and for surplus copies as queries only."""
     for batch in batches:
         only = batch.column(2)
         for flag in (False, True):
             part = batch.filter(pa.compute.equal(only, flag)).select([0, 1])
-            for out in _cells(iter([part]), index, query_step):
+            for out in place(iter([part]), index, query_step):
                 if flag:
-                    role = np.asarray(out.column(1))
-                    asks = pa.array((role & 2) > 0)
-                    out = out.filter(asks)
-                    out = pa.RecordBatch.from_arrays([out.column(0), pa.array(np.full(out.num_rows, 2, np.int8)), out.column(2), out.column(3)], names=out.schema.names)
+                    at = out.schema.get_field_index("role")
+                    out = out.filter(pa.array((np.asarray(out.column(at)) & 2) > 0))
+                    out = out.set_column(at, "role", pa.array(np.full(out.num_rows, 2, np.int8)))
                 yield out
 
 
