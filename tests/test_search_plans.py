@@ -106,3 +106,30 @@ def test_every_tool_answers(spark):
         assert rows.columns and tools.to_json(rows).count() == rows.count(), name
     deep = t.call("follow_links", {"url": page, "depth": 2})
     assert {r.depth for r in deep.select("depth").distinct().collect()} <= {1, 2} and deep.count() >= t.call("follow_links", {"url": page}).count()
+
+
+def test_ingest_into_an_index(spark, tmp_path):
+    from webloom.plans import ingest
+
+    para = "<p>The council of the town met on Monday to talk about the storm and the harbour, and it asked the builders for a new plan before winter.</p>"
+    page = lambda extra: f"<html><body><article><h1>Storm</h1>{para * 5}<p>{extra}</p></article></body></html>"
+    other = "<html><body><article>" + "".join(f"<p>The mill number {i} of the valley was painted by its owner {i * 7} years ago, and its wheel still turns when the river is high.</p>" for i in range(6)) + "</article></body></html>"
+    rows = [(1, "https://a.example/1", page("It is dear."), "text/html", 200, 0), (2, "https://a.example/1", page("It is dear."), "text/html", 200, 60), (3, "https://a.example/2", page("It is dear."), "text/html", 200, 90), (4, "https://a.example/3", other, "text/html", 200, 95), (5, "https://a.example/4", "{}", "image/png", 200, 99), (6, "https://a.example/5", None, "text/html", 200, 99)]
+    fetches = spark.createDataFrame(rows, "fetch_id long, url string, body string, content_type string, status int, s long").withColumn("fetched_at", F.timestamp_seconds("s"))
+    kept = ingest.ingest_into(fetches, str(tmp_path / "index"), str(tmp_path / "pages"))
+    assert sorted(r.id for r in kept.collect()) == [1, 4]
+    assert ids(text_index.read(spark, str(tmp_path / "index")).search("harbour storm")) == [1]
+    ingest.ingest_into(fetches.where("fetch_id = 4").withColumn("fetch_id", F.lit(40).cast("long")), str(tmp_path / "index"), str(tmp_path / "pages"))
+    assert set(ids(text_index.read(spark, str(tmp_path / "index")).search("mill"))) == {4, 40}
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from webloom import session
+
+    mark = session.staged_mark()
+    df = session.stage_table(spark.range(5), "drop")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.drop_staged(spark, mark) == 1 and not os.path.exists(path)

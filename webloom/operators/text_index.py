@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,7 +79,7 @@ class TextIndex:
         spark = self.postings.sparkSession
         if not any(kind != "not" for kind, _, _ in clauses) or not self.docs:
             return spark.createDataFrame([], "doc long, score double, rank int")
-        buckets = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"))).distinct().collect()]
+        buckets = sorted({zlib.crc32(w.encode("utf-8")) % BUCKETS for w in words})
         mine = lambda df: df.where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
         some = fields or list(self.lengths)
         freq = {(r.term, r.field): r.df for r in mine(self.terms).groupBy("term", "field").agg(F.sum("df").alias("df")).collect()}
@@ -135,6 +136,17 @@ def read(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(postings, terms, stats, max((n for n, _ in stats.values()), default=0))
 
 
+_KEPT: dict[tuple[str, str], TextIndex] = {}
+
+
+def read_kept(spark: SparkSession, path: str) -> TextIndex:
+    """read() of an index whose name follows its content (kept_for), remembered for the session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _KEPT:
+        _KEPT[key] = read(spark, path)
+    return _KEPT[key]
+
+
 def exists(spark: SparkSession, path: str, mark: str = "lengths") -> bool:
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{mark}")
     return bool(root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root))

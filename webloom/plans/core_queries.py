@@ -62,7 +62,7 @@ _QSIGNS = f"{_hits('lower(query_text)', X.NEWS_SIGNALS)} AS n, {_hits('lower(que
 def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     """The kept index of the documents, built by the first query that needs it."""
     docs = load(spark, sf_dir, "documents")
-    return text_index.read(spark, text_index.kept_for(spark, docs, "doc_id", ["title", "text"], shared_dir(spark)))
+    return text_index.read_kept(spark, text_index.kept_for(spark, docs, "doc_id", ["title", "text"], shared_dir(spark)))
 
 
 @query(
@@ -125,10 +125,22 @@ def hybrid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(t, v, "cand_id", ["query_id"]).select("query_id", "cand_id", "title", "text_rank", "vector_rank", F.round("score", 9).alias("score"))
 
 
-@query("hash_embedding")
+_EMBED_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}'']+'), lambda x: strlen(x) > 1 AND NOT list_contains(" + _list(X.EMBED_STOPWORDS).replace("{", "{{").replace("}", "}}") + ", x))"
+_MD5_60 = "CAST(('0x' || substr(md5({0}), 1, 15)) AS BIGINT)"
+
+
+@query(
+    "hash_embedding",
+    f"""WITH t AS (SELECT doc_id, coalesce({_EMBED_TOKENS.format("text")}, []) AS t FROM documents),
+g AS (SELECT doc_id, unnest(t) AS g, 1.0 AS w FROM t UNION ALL SELECT doc_id, unnest(CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END), 1.5 FROM t
+UNION ALL SELECT doc_id, unnest(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) ELSE [] END), 2.0 FROM t),
+c AS (SELECT doc_id, {_MD5_60.format("'0:' || g")} % 64 AS place, CAST(sum(CASE WHEN {_MD5_60.format("'1:' || g")} % 2 = 0 THEN w ELSE 0 - w END) AS DOUBLE) AS s FROM g GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(place AS INT) AS place, round(coalesce(s / nullif(n, 0), 0), 6) + CAST(0 AS DOUBLE) AS value FROM documents CROSS JOIN (SELECT unnest(range(0, 64)) AS place) LEFT JOIN c USING (doc_id, place) LEFT JOIN n USING (doc_id)""",
+)
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature-hash embeddings of all documents."""
-    return retrieval.hash_embedding(load(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    """Feature-hash embeddings of all documents, a row a dimension."""
+    v = retrieval.hash_embedding(load(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    return v.select("doc_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("doc_terms", f"SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL")
@@ -279,7 +291,20 @@ def query_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "search_queries").select("query_id", *[c.alias(k) for k, c in enrich.topics(F.col("query_text")).items()])
 
 
-@query("reformulations")
+_SWAPS = "[" + ", ".join("{{'t': '" + t + "', 's': '" + x + "'}}" for t, xs in X.SYNONYMS for x in xs) + "]"
+_TOPIC = lambda name, words: f"CASE WHEN {_hits('q', words)} > 0 THEN {{}} ELSE [] END"
+
+
+@query(
+    "reformulations",
+    f"""WITH a AS (SELECT query_id, query_text, lower(query_text) AS q, len(list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda w: w <> '')) AS n FROM search_queries WHERE query_text IS NOT NULL),
+b AS (SELECT *, [query_text] || list_filter(list_transform(list_filter({_SWAPS.replace('{{', '{').replace('}}', '}')}, lambda p: contains(q, p.t)), lambda p: replace(q, p.t, p.s)), lambda v: v <> q) AS l, replace(replace(replace(q, 'why ', ''), 'how ', ''), 'what is ', '') AS stated FROM a),
+c AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) || CASE WHEN n <= 3 AND NOT starts_with(q, 'what') AND NOT starts_with(q, 'how') THEN ['what is ' || q] ELSE [] END AS base FROM b),
+d AS (SELECT query_id, (base || CASE WHEN NOT contains(q, '?') AND n >= 2 AND regexp_matches(q, '^(why|how|what)') AND NOT list_contains(base, stated) THEN [stated] ELSE [] END
+|| {_TOPIC('technical', X.TECHNICAL_TOPICS).format("[q || ' documentation', q || ' tutorial']")} || {_TOPIC('scientific', X.SCIENTIFIC_TOPICS).format("[q || ' research paper']")}
+|| {_TOPIC('medical', X.MEDICAL_TOPICS).format("[q || ' clinical study']")} || {_TOPIC('news', X.NEWS_TOPICS).format("[q || ' 2025']")})[1:6] AS v FROM c)
+SELECT query_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS position, unnest(v) AS variant FROM d""".replace("\\\\s", "\\s"),
+)
 def reformulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to six forms of every search query."""
     return enrich.reformulated(load(spark, sf_dir, "search_queries"), "query_id", "query_text", 2025)
@@ -906,16 +931,23 @@ def tool_quick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tool(spark, sf_dir, "quick_search", query=_ASK).drop("content")
 
 
-@query("tool_instant_search")
+_INSTANT_SQL = f"""c AS (SELECT url, title, rank, list_filter(regexp_split_to_array(lower('{_ASK}'), ' +'), lambda x: strlen(x) > 2) AS w, lower(concat_ws(' ', title, text)) AS d FROM h JOIN documents USING (doc_id)),
+i AS (SELECT url, title, round(len(list_filter(w, lambda x: contains(d, x))) / greatest(1, len(w)), 6) AS score, rank FROM c WHERE len(list_filter(w, lambda x: contains(d, x))) > 0 ORDER BY score DESC, rank LIMIT 5)"""
+
+
+@query("tool_instant_search", f"WITH {_bm25_sql(_ASK, 50)}, {_INSTANT_SQL} SELECT url, title, score FROM i")
 def tool_instant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The instant search's answer."""
-    return _tool(spark, sf_dir, "instant_search", query=_ASK)
+    """The instant search's answer; its passages are those of `snippets`."""
+    return _tool(spark, sf_dir, "instant_search", query=_ASK).drop("content")
 
 
-@query("tool_streaming_search")
+@query(
+    "tool_streaming_search",
+    f"WITH {_bm25_sql(_ASK, 50)}, {_INSTANT_SQL} SELECT url, title, score, 'partial' AS stage FROM i UNION ALL SELECT url, title, score, 'refined' FROM h JOIN documents USING (doc_id) WHERE rank <= 10",
+)
 def tool_streaming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early and final results."""
-    return _tool(spark, sf_dir, "streaming_search", query=_ASK)
+    return _tool(spark, sf_dir, "streaming_search", query=_ASK).select("url", "title", "score", "stage")
 
 
 @query("tool_deep_research")
@@ -1032,11 +1064,20 @@ def query_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(retrieval.matches("+text:storm -title:harbour", {"title": F.col("title"), "text": F.col("text")})).select("doc_id")
 
 
-@query("sentence_graph")
+@query(
+    "sentence_graph",
+    f"""WITH r AS (SELECT query_id, cand_id, body_text FROM rank_candidates QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({_RRF}, 9) DESC, cand_id) <= 50),
+t AS (SELECT query_id, cand_id, list_filter(regexp_split_to_array(lower(body_text), '[^\\p{{L}}\\p{{N}}'']+'), lambda x: strlen(x) >= 2 AND NOT list_contains({_list(X.SUMMARY_STOPWORDS)}, x)) AS t FROM r), d AS (SELECT * FROM t WHERE len(t) > 0),
+c AS (SELECT query_id, cand_id, term, count(*) / any_value(n) AS tf FROM (SELECT query_id, cand_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT query_id, cand_id, term, tf * (ln((SELECT count(*) FROM d) / df) + 1) AS w FROM c JOIN f USING (term)), n AS (SELECT cand_id, sqrt(sum(w * w)) AS n FROM w GROUP BY cand_id),
+p AS (SELECT a.query_id AS scope, a.cand_id AS a, b.cand_id AS b, sum(a.w * b.w) AS d FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND a.cand_id < b.cand_id GROUP BY ALL)
+SELECT scope, a, b, round(d / (x.n * y.n), 6) AS similarity FROM p JOIN n x ON x.cand_id = p.a JOIN n y ON y.cand_id = p.b WHERE d / (x.n * y.n) > 0.05""".replace("\\\\p", "\\p"),
+)
 def sentence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity edges between the candidates of each query."""
-    c = load(spark, sf_dir, "rank_candidates")
-    return synthesis.sentence_edges(synthesis.tfidf(c, "cand_id", "body_text"), c.select(F.col("cand_id").alias("doc"), F.col("query_id").alias("scope")))
+    """Similarity edges between the at most fifty best candidates of each query."""
+    c = ranking.fused(load(spark, sf_dir, "rank_candidates")).select("query_id", "cand_id", "body_text")
+    edges = synthesis.sentence_edges(synthesis.tfidf(c, "cand_id", "body_text"), c.select(F.col("cand_id").alias("doc"), F.col("query_id").alias("scope")))
+    return edges.withColumn("similarity", F.round("similarity", 6))
 
 
 # --- stores, queues, ranks attached

@@ -89,7 +89,7 @@ class Tools:
 
     def index(self) -> text_index.TextIndex:
         if self._index is None:
-            self._index = text_index.read(self.spark, text_index.kept_for(self.spark, self.table("documents"), "doc_id", ["title", "text"], shared_dir(self.spark)))
+            self._index = text_index.read_kept(self.spark, text_index.kept_for(self.spark, self.table("documents"), "doc_id", ["title", "text"], shared_dir(self.spark)))
         return self._index
 
     def _with_texts(self, hits: DataFrame) -> DataFrame:

@@ -51,9 +51,31 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_STAGED: list[str] = []
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return it read back: cuts lineage, survives executors."""
+    """Write df once as Parquet in the shared folder and return it read back: cuts lineage, survives executors.
+
+    Results read such tables as long as they are used; drop_staged removes them when a caller is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_mark() -> int:
+    """How many tables were staged so far, to drop only later ones."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Remove the tables this process staged (after the mark `since`); frames that read them are of no use then."""
+    gone = _STAGED[since:]
+    del _STAGED[since:]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(gone)

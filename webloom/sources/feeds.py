@@ -5,8 +5,10 @@ from __future__ import annotations
 import html as H
 import json
 import re
+from collections.abc import Iterator
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit, urlunsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,13 +73,23 @@ def parse_feed(body: str | None) -> list[dict]:
     return out
 
 
-ITEM = "array<struct<url:string,title:string,summary:string,content:string,published:string>>"
+def _listed(batch: pa.RecordBatch, found: list[tuple[int, int, dict]], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows (id of the batch's row, position, text columns) of what was found in each row."""
+    ids = batch.column(0).take(pa.array([i for i, _, _ in found], pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array([n for _, n, _ in found], pa.int32()), *[pa.array([x[k] for _, _, x in found], pa.string()) for k in names]], names=["id", "position", *names])
 
 
 def feed_items(feeds: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """(id, position, url, title, summary, content, published)."""
-    parse = F.udf(parse_feed, ITEM, useArrow=True)
-    return feeds.select(F.col(id_col).alias("id"), F.posexplode(parse(F.col(body_col))).alias("position", "i")).select("id", "position", "i.*")
+    names = ("url", "title", "summary", "content", "published")
+    kind = dict(feeds.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_feed(b) for b in batch.column(1).to_pylist()]
+            yield _listed(batch, [(i, n, x) for i, items in enumerate(found) for n, x in enumerate(items)], names)
+
+    return feeds.select(F.col(id_col).alias("id"), body_col).mapInArrow(run, f"id {kind}, position int, " + ", ".join(f"{n} string" for n in names))
 
 
 def item_for_url(items: DataFrame, wanted: DataFrame, url: str) -> DataFrame:
@@ -262,8 +274,16 @@ def parse_results(url: str | None, body: str | None, most: int = 20) -> list[dic
 
 
 def result_rows(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
-    parse = F.udf(parse_results, "array<struct<engine:string,url:string,title:string,snippet:string,position:int>>", useArrow=True)
-    return pages.select(F.col(id_col).alias("id"), F.inline(parse(F.col(url_col), F.col(body_col))))
+    """(id, position, engine, url, title, snippet) of result pages."""
+    names = ("engine", "url", "title", "snippet")
+    kind = dict(pages.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_results(u, b) for u, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield _listed(batch, [(i, x["position"], x) for i, items in enumerate(found) for x in items], names)
+
+    return pages.select(F.col(id_col).alias("id"), url_col, body_col).mapInArrow(run, f"id {kind}, position int, " + ", ".join(f"{n} string" for n in names))
 
 
 def metasearch_rows(responses: DataFrame, id_col: str, json_col: str) -> DataFrame:

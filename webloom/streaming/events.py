@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -42,48 +43,66 @@ PACE_LEAST, PACE_MOST, PACE_BASE = 50, 30_000, 500
 HARD, SOFT = ("captcha", "banned"), ("soft_block", "js_challenge", "rate_limited", "waf_403")
 
 
-def govern(events: list[tuple[float, str]], budget: int = 1000, failures: int = 5, cooldown: float = 300.0, base: int = PACE_BASE) -> list[tuple[str, int, str]]:
+class _Governor:
+    """Pace, breaker and budget of one domain, an event at a time."""
+
+    def __init__(self, budget: int = 1000, failures: int = 5, cooldown: float = 300.0, base: int = PACE_BASE) -> None:
+        self.budget, self.failures, self.cooldown, self.base = budget, failures, cooldown, base
+        self.delay, self.bad, self.opened, self.denied, self.used = base, 0, None, False, 0
+
+    def step(self, at: float, kind: str) -> tuple[str, int, str]:
+        if self.denied:
+            return "denied", self.delay, "open"
+        if self.used >= self.budget:
+            return "over_budget", self.delay, "closed"
+        if self.opened is not None and at - self.opened < self.cooldown:
+            return "wait", self.delay, "open"
+        half, self.opened = self.opened is not None, None
+        self.used += 1
+        if kind in HARD:
+            self.denied = True
+        elif kind in SOFT:
+            self.delay, self.bad = min(PACE_MOST, self.delay * 2), self.bad + 1
+            if self.bad >= self.failures or half:
+                self.opened = at
+        else:
+            self.delay, self.bad = max(PACE_LEAST, self.delay - self.base // 4), 0
+        return "admit", self.delay, "open" if self.opened is not None or self.denied else "closed"
+
+
+def govern(events: list[tuple[float, str]], **options) -> list[tuple[str, int, str]]:
     """(admission, delay ms, breaker) of every event in order; events: (seconds, class).
 
     Real content shortens the delay by a quarter of the base, a soft signal doubles it, within limits. After
     `failures` soft signals in a row the breaker opens for `cooldown` seconds, then one attempt decides; a
     hard ban denies for good; the budget caps attempts.
     """
-    delay, bad, opened, denied, used, out = base, 0, None, False, 0, []
-    for at, kind in events:
-        if denied:
-            out.append(("denied", delay, "open"))
-            continue
-        if used >= budget:
-            out.append(("over_budget", delay, "closed"))
-            continue
-        if opened is not None and at - opened < cooldown:
-            out.append(("wait", delay, "open"))
-            continue
-        half, opened = opened is not None, None
-        used += 1
-        if kind in HARD:
-            denied = True
-        elif kind in SOFT:
-            delay, bad = min(PACE_MOST, delay * 2), bad + 1
-            if bad >= failures or half:
-                opened = at
-        else:
-            delay, bad = max(PACE_LEAST, delay - base // 4), 0
-        out.append(("admit", delay, "open" if opened is not None or denied else "closed"))
-    return out
+    state = _Governor(**options)
+    return [state.step(at, kind) for at, kind in events]
+
+
+def _walked(rows: DataFrame, key: str, new_state, step, out: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """rows (key, tie, s, value) of each key in order of (s, tie), one row of `step` each; batches pass by with one state, so no key is held in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, own = None, object()
+        for b in batches:
+            got = []
+            for k, s, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if k != own:
+                    state, own = new_state(), k
+                got.append(step(state, s, v))
+            cols = list(zip(*got, strict=True)) if got else [[]] * len(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, out.values(), strict=True)]], names=[key, "tie", *out])
+
+    return rows.repartition(key).sortWithinPartitions(key, "s", "tie").mapInArrow(run, ddl)
 
 
 def governed(events: DataFrame, domain: str, at: str, kind: str, tie: str, **options) -> DataFrame:
     """(domain, tie, admission, delay_ms, breaker): each domain's events replayed in order."""
     rows = events.select(F.col(domain).cast("string").alias("domain"), F.col(tie).cast("long").alias("tie"), F.unix_timestamp(F.col(at).cast("timestamp")).cast("double").alias("s"), F.col(kind).alias("kind"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "tie"])
-        got = govern(list(zip(pdf["s"], pdf["kind"], strict=True)), **options)
-        return pd.DataFrame({"domain": pdf["domain"], "tie": pdf["tie"], "admission": [g[0] for g in got], "delay_ms": [g[1] for g in got], "breaker": [g[2] for g in got]})
-
-    return rows.groupBy("domain").applyInPandas(run, "domain string, tie long, admission string, delay_ms int, breaker string")
+    out = {"admission": pa.string(), "delay_ms": pa.int32(), "breaker": pa.string()}
+    return _walked(rows, "domain", lambda: _Governor(**options), lambda g, s, k: g.step(s, k), out, "domain string, tie long, admission string, delay_ms int, breaker string")
 
 
 def governor_stream(stream: DataFrame, domain: str, at: str, kind: str, base: int = PACE_BASE, failures: int = 5) -> DataFrame:
@@ -137,19 +156,14 @@ def frontier(urls: DataFrame, domain: str, depth: str, arrival: str, per_domain:
 
 def ledger(costs: DataFrame, account: str, at: str, tie: str, cost: str, cap: float) -> DataFrame:
     """costs with accepted and spent: a cost is reserved if it still fits under the cap; refunds are negative costs."""
-    kind = dict(costs.dtypes)[tie]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, spent, ok, total = pdf.sort_values(["s", "tie"]), 0.0, [], []
-        for c in pdf["cost"]:
-            fits = c <= 0 or spent + c <= cap + 1e-9
-            spent = max(0.0, spent + c) if fits else spent
-            ok.append(fits)
-            total.append(round(spent, 6))
-        return pd.DataFrame({"account": pdf["account"], "tie": pdf["tie"], "accepted": ok, "spent": total})
+    def step(spent: list[float], at: int, c: float) -> tuple[bool, float]:
+        fits = c <= 0 or spent[0] + c <= cap + 1e-9
+        spent[0] = max(0.0, spent[0] + c) if fits else spent[0]
+        return fits, round(spent[0], 6)
 
     rows = costs.select(F.col(account).cast("string").alias("account"), F.col(tie).alias("tie"), F.unix_micros(F.col(at).cast("timestamp")).alias("s"), F.col(cost).cast("double").alias("cost"))
-    return rows.groupBy("account").applyInPandas(run, f"account string, tie {kind}, accepted boolean, spent double")
+    kind = dict(costs.dtypes)[tie]
+    return _walked(rows, "account", lambda: [0.0], step, {"accepted": pa.bool_(), "spent": pa.float64()}, f"account string, tie {kind}, accepted boolean, spent double")
 
 
 def jitter(text: str) -> float:
