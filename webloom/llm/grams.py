@@ -200,7 +200,7 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, int]], steps: int = 100, ridge: float = 5e-4) -> tuple[np.ndarray, float]:
     """Logistic regression with L2 and balanced classes on slots scaled by their log ratio between the classes; the same result every time."""
     y = np.array([r[1] for r in rows], np.float64)
     idx = np.concatenate([r[0] for r in rows])

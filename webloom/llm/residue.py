@@ -154,11 +154,11 @@ def _featured(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Re
             labels, held, titles, texts = [], [], [], []
             for title, body, status, domain, draw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 text = without_furniture(body)
-                label = weak_label(title, text, status)
-                if label != 1 and draw >= (share if label == 0 else 4 * share):
+                label, own = weak_label(title, text, status), families(title or "", text)
+                # pages that show a cue beside an article are few and teach most
+                if label != 1 and not own and draw >= (share if label == 0 else 4 * share):
                     continue
-                own = families(title or "", text) if label == 1 else {}
-                labels.append([label, *(weak_label(title, text, status, g) if g in own else label for g in _GROUPS[1:])])
+                labels.append([label, *(weak_label(title, text, status, g) if g in own and label == 1 else label for g in _GROUPS[1:])])
                 held.append(zlib.crc32((domain or "").encode()) % 5 == 0)
                 titles.append(title)
                 texts.append(text)
