@@ -20,7 +20,7 @@ def long_words(phrase: Column) -> Column:
     return F.array_distinct(F.filter(words(phrase), lambda w: F.octet_length(w) > 3))
 
 
-def fuzzy_sources(p: DataFrame, least: float = 0.4, common: int = 1_000) -> DataFrame:
+def fuzzy_sources(p: DataFrame, least: float = 0.4) -> DataFrame:
     """(scope, phrase, url, org, seq): a phrase's own sources and those of later phrases that share 40 % of its long words.
 
     Pairs meet through a shared word; to reach 40 % of at most the longer phrase's words they share one of
