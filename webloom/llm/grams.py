@@ -102,7 +102,7 @@ class Texts:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         key = np.sort(np.concatenate([(owner << BITS) | slot for slot, owner in self.parts]))
-        key = key[np.append(True, key[1:] != key[:-1])]
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
         return key & ((1 << BITS) - 1), key >> BITS
 
     def lists(self, distinct: bool) -> list[np.ndarray]:
