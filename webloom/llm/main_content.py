@@ -298,7 +298,7 @@ def fit_weights(pages: DataFrame, id_col: str, body_col: str, sample_pages: int
         if again and article.any():
             # sentences of sidebars that read like an article's say where a line stands, not what it says: they teach nothing about words
             told = (y == 1) | (z < np.quantile(z[article], LIKE_ARTICLE))
-        w, b = grams.fit([(idx[i], int(y[i])) for i in np.flatnonzero(told)], steps=60, ridge=1e-4)
+        w, b = grams.fit([(idx[i], int(y[i])) for i in np.flatnonzero(told)], steps=60 if again == ROUNDS - 1 else 20, ridge=1e-4)
         z = np.array([(w[i].sum() + b) / max(1, len(i)) ** 0.5 for i in idx])
     some = told & (text == 1)
     text_from = parting(z[some], y[some])
