@@ -101,7 +101,7 @@ def with_utc_ms(df: DataFrame, value: str, zone: str, locale: str, digits: str =
     # "İ" and its kin may change length when lowered; no format contains them
     hit = F.regexp_replace(text, PATTERN, _replacement())
     names = {p: f"__ts_{p}" for p in _PARTS}
-    out_df = df.withColumn("__ts", F.when(F.startswith(hit, F.lit(_HIT)), F.split(F.substring(hit, F.lit(2), F.length(hit)), _SEP)))
+    out_df = df.withColumn("__ts", F.when(F.startswith(hit, F.lit(_HIT)), F.split(F.substring(hit, 2, 2_147_483_647), _SEP)))
     part = lambda p: F.nullif(F.get(F.col("__ts"), _PARTS.index(p)), F.lit(""))
     out_df = _with_fields(out_df, {names[p]: part(p) for p in _PARTS})
     c = {p: F.col(n) for p, n in names.items()}
